@@ -65,6 +65,10 @@ _FRAMES = frozenset(tuple(x.split()) for x in FRAMES)
 _CLOSINGS = frozenset(tuple(x.split()) for x in CLOSINGS)
 # Longer words of those phrases: a typo in them would hide the phrase.
 _PHRASE_WORDS = frozenset(w for x in (*FRAMES, *CLOSINGS, *(a for a, _ in SAME_WORDING)) for w in x.split() if len(w) >= 5)
+# Ordinary words that are one slip away from one of them.
+_KNOWN = frozenset(w for x in (*FRAMES, *CLOSINGS, *(y for pair in SAME_WORDING for y in pair)) for w in x.split()) | frozenset(
+    "least last late test reports quickly sort shot shirt than think thank pleased".split()
+)
 _FILLERS = frozenset("please thanks the a an of hi q".split())
 _PIECE = re.compile(r"0x[0-9a-fA-F]+|\d{4}-\d\d?-\d\d?|\d\d?/\d\d?/\d{4}|\d[\d.,]*\d|\d|[^\W\d_]+(?:'[^\W\d_]+)?|[Ξ$€%]")
 
@@ -83,7 +87,7 @@ for _word in sorted(_PHRASE_WORDS):
 @lru_cache(maxsize=100_000)
 def _phrase_word(word: str) -> str:
     """The phrase word that is one slip away from a word, else the word."""
-    if word in _PHRASE_WORDS or len(word) < 4:
+    if word in _KNOWN or len(word) < 4:
         return word
     near = {w for form in {word, *_edits(word)} for w in _NEAR_PHRASE_WORDS.get(form, ())}
     near = {w for w in near if banded_distance(word, w, 1) <= 1 or (sorted(word) == sorted(w) and sum(x != y for x, y in zip(word, w)) == 2)}
