@@ -298,9 +298,8 @@ def core_clusters(profiles: DataFrame) -> DataFrame:
     return connected_components(links.unionByName(together), "a", "b").withColumnRenamed("node", "core").withColumnRenamed("component", "cluster")
 
 
-def _entities_of(cluster: pd.DataFrame) -> pd.DataFrame:
+def _entities_of(rows: list[dict]) -> list[str]:
     """Entity of each distinct profile of one cluster; weights are row counts."""
-    rows = cluster.to_dict("records")
     persons = {}
     for r in rows:
         if r["first"]:
@@ -339,7 +338,25 @@ def _entities_of(cluster: pd.DataFrame) -> pd.DataFrame:
         elif len(persons) == 1 and len(next(iter(persons.values()))) <= 1:
             entity = f"p|{next(iter(persons))}|"
         out.append(entity if entity is not None else f"alone|{i}")
-    return cluster.assign(entity=[f"{c}|{e}" for c, e in zip(cluster["cluster"], out)])
+    return [f"{r['cluster']}|{e}" for r, e in zip(rows, out)]
+
+
+def _by_cluster(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Clusters arrive one after the other; a group may go on in the next batch."""
+    held: list[dict] = []
+    for batch in batches:
+        done: list[dict] = []
+        names: list[str] = []
+        for row in batch.to_dict("records"):
+            if held and held[0]["cluster"] != row["cluster"]:
+                done += held
+                names += _entities_of(held)
+                held = []
+            held.append(row)
+        if done:
+            yield pd.DataFrame(done).assign(entity=names)
+    if held:
+        yield pd.DataFrame(held).assign(entity=_entities_of(held))
 
 
 def linked_records(records: DataFrame) -> DataFrame:
@@ -351,7 +368,7 @@ def linked_records(records: DataFrame) -> DataFrame:
     facts = ["cluster", "first", "initial", "middle", "type", "extra", "person"]
     distinct = placed.groupBy(facts).agg(F.count("*").alias("n"))
     schema = "cluster string, first string, initial string, middle string, type string, extra string, person boolean, n bigint, entity string"
-    entities = distinct.groupBy("cluster").applyInPandas(_entities_of, schema).drop("n")
+    entities = distinct.repartition("cluster").sortWithinPartitions("cluster").mapInPandas(_by_cluster, schema).drop("n")
     return placed.join(entities, facts).where("entity not like '%|alone|%'").select("address", "entity")
 
 
