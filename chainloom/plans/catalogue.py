@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chainloom.plans import shapes
+from chainloom.plans import operators_catalogue, shapes
 
-_PARTS = (shapes,)
+_PARTS = (shapes, operators_catalogue)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

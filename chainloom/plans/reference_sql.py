@@ -70,6 +70,8 @@ def with_relations(sql: str, start: str, end: str) -> str:
     if not parts:
         return sql
     body = sql.strip()
+    if body.lower().startswith("with recursive "):
+        return "with recursive " + ", ".join(parts) + ", " + body[15:]
     if body.lower().startswith("with "):
         return "with " + ", ".join(parts) + ", " + body[5:]
     return "with " + ", ".join(parts) + " " + body
