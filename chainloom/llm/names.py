@@ -136,13 +136,57 @@ def damerau(a: str, b: str) -> int:
     return row[-1]
 
 
+def _cut(word: str, times: int) -> set[str]:
+    """The word and what up to ``times`` deletions make of it."""
+    out, last = {word}, {word}
+    for _ in range(times):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out |= last
+    return out
+
+
+class Neighbours:
+    """Known words within a small Damerau-Levenshtein distance of a word: both
+    sides meet on common deletions and are then verified."""
+
+    def __init__(self, known: dict[str, str], distance: int, shortest: int):
+        self.known, self.distance, self.forms = known, distance, {}
+        for word in sorted(known):
+            if len(word) >= shortest:
+                for form in _cut(word, distance):
+                    self.forms.setdefault(form, []).append(word)
+
+    def of(self, word: str) -> list[str]:
+        near = {w for form in _cut(word, self.distance) for w in self.forms.get(form, ())}
+        if self.distance == 1:
+            near = {w for w in near if within_one(w, word)}
+        else:
+            near = {w for w in near if damerau(w, word) <= self.distance}
+        return sorted({self.known[w] for w in near})
+
+
+_NEAR_TYPES, _NEAR_FIRSTS = Neighbours(_TYPE_OF, 1, 4), Neighbours(_FIRST_OF, 1, 4)
+_LONG = {w: w for w in TYPES if len(w) >= 7} | {w: _FIRST_OF[w] for w in NICKNAMES if len(w) >= 7}
+_NEAR_LONG = Neighbours(_LONG, 2, 7)
+_PARSERS: dict[frozenset[str], Parser] = {}
+
+
 class Parser:
     """Parses names with a given set of common words."""
 
     def __init__(self, common: frozenset[str]):
         self.common = common
+        self.near_common = Neighbours({w: w for w in common}, 1, 4)
         self.resolve = lru_cache(maxsize=300_000)(self._resolve)
 
+    @staticmethod
+    def of(common: frozenset[str]) -> Parser:
+        """One parser a worker, so that its memory outlives a task."""
+        if common not in _PARSERS:
+            _PARSERS.clear()
+            _PARSERS[common] = Parser(common)
+        return _PARSERS[common]
+
     def _resolve(self, word: str) -> tuple[str, str]:
         """(kind, canonical word); kind: type, first, common, word."""
         if word in _TYPE_OF:
@@ -152,17 +196,14 @@ class Parser:
         if word in self.common:
             return "common", word
         if len(word) >= 4:
-            for table, kind in ((_TYPE_OF, "type"), (_FIRST_OF, "first")):
-                near = sorted({table[w] for w in table if len(w) >= 4 and within_one(w, word)})
-                if near:
-                    return kind, near[0]
-            near = sorted(w for w in self.common if len(w) >= 4 and within_one(w, word))
-            if near:
-                return "common", near[0]
+            for near, kind in ((_NEAR_TYPES, "type"), (_NEAR_FIRSTS, "first"), (self.near_common, "common")):
+                found = near.of(word)
+                if found:
+                    return kind, found[0]
             if len(word) >= 7:
-                near = sorted({_FIRST_OF[w] for w in NICKNAMES if len(w) >= 7 and damerau(w, word) <= 2} | {w for w in TYPES if len(w) >= 7 and damerau(w, word) <= 2})
-                if len(near) == 1:
-                    return ("type" if near[0] in TYPES else "first"), near[0]
+                found = _NEAR_LONG.of(word)
+                if len(found) == 1:
+                    return ("type" if found[0] in TYPES else "first"), found[0]
         return "word", word
 
     def record(self, owner: str | None, label: str | None, aliases) -> dict | None:
@@ -235,7 +276,7 @@ def record_profiles(records: DataFrame, common: frozenset[str]) -> DataFrame:
     shared = records.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parser = Parser(shared.value)
+        parser = Parser.of(shared.value)
         for batch in batches:
             rows = []
             for address, owner, label, aliases in zip(batch["address"], batch["owner"], batch["primary_label"], batch["aliases"]):
