@@ -345,7 +345,7 @@ def restored_documents(documents: DataFrame) -> DataFrame:
 
     fixes = found.mapInPandas(run, "doc_id bigint, place int, passage string, chain string, fixed string")
     by_doc = fixes.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("place", "passage", "fixed"))).alias("fixes"),
+        F.array_sort(F.collect_set(F.struct("place", "passage", "fixed"))).alias("fixes"),
         F.array_sort(F.collect_set("chain")).alias("chains"),
         F.max(F.col("passage").contains(_LOST)).alias("lost"),
     )
@@ -357,7 +357,7 @@ def restored_documents(documents: DataFrame) -> DataFrame:
             for text, fixes in zip(batch["text"], batch["fixes"]):
                 parts, at = [], 0
                 for fix in fixes:
-                    if text[fix["place"] : fix["place"] + len(fix["passage"])] != fix["passage"]:
+                    if fix["place"] < at or text[fix["place"] : fix["place"] + len(fix["passage"])] != fix["passage"]:
                         continue  # another row of a repeated id
                     parts += [text[at : fix["place"]], fix["fixed"]]
                     at = fix["place"] + len(fix["passage"])

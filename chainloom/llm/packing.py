@@ -85,7 +85,7 @@ def pack(sizes: list[int], capacity: int) -> list[int]:
 def _pack_groups(items: DataFrame, level: int) -> DataFrame:
     schema = "spec_id bigint, capacity bigint, doc_id bigint, piece bigint, token_start bigint, n_tokens bigint, container_id string, fill bigint"
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
         numbers = pack(group["n_tokens"].tolist(), int(group["capacity"].iloc[0]))
         group["container_id"] = [f"{key[0]}-{level}-{key[1]}-{n}" for n in numbers]

@@ -44,7 +44,7 @@ def tie_edges(groups: DataFrame) -> DataFrame:
     )
     nodes = F.concat(F.array_compact(F.array(node("g:", "group_id"), node("t:", "template_id"))), members)
     listed = groups.select(nodes.alias("nodes")).where("size(nodes) > 0")
-    return listed.select(F.col("nodes")[0].alias("src"), F.explode("nodes").alias("dst")).distinct()
+    return listed.select(F.get("nodes", F.lit(0)).alias("src"), F.explode("nodes").alias("dst")).distinct()
 
 
 def tied_sets(cases: DataFrame, groups: DataFrame) -> DataFrame:
