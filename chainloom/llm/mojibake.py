@@ -40,6 +40,8 @@ from pyspark.sql import functions as F
 from chainloom.sources.checkpoints import stored
 
 MODEL_BITS = 20
+#: Sources whose weights may go to every executor (some 10 MB); more are joined.
+MOST_SOURCES = 30_000
 #: Log penalty of leaving a token as it is inside a damaged passage.
 PENALTY = 9.0
 PASSAGE = re.compile(r"(?<=[.!?。！？])[ \t]+|[\r\n]+")
@@ -256,7 +258,13 @@ def _score(passages: DataFrame, model: CharacterModel) -> DataFrame:
     return passages.mapInPandas(run, "doc_id bigint, source string, place int, passage string, gains array<double>, best double")
 
 
-def _weights(scored: DataFrame, totals: DataFrame, rounds: int) -> DataFrame:
+def _with_weights(scored: DataFrame, weights: DataFrame, sources: int) -> DataFrame:
+    """A broadcast while the sources are counted to be few, else a shuffled join
+    (a hot source is split by the skew join)."""
+    return scored.join(F.broadcast(weights) if sources <= MOST_SOURCES else weights, "source")
+
+
+def _weights(scored: DataFrame, totals: DataFrame, rounds: int, sources: int) -> DataFrame:
     """EM over the chain weights of each source: (source, weights array).
 
     Passages whose best chain is hopeless (``best`` below -8) have posterior 1
@@ -266,7 +274,7 @@ def _weights(scored: DataFrame, totals: DataFrame, rounds: int) -> DataFrame:
     prior = [0.97] + [0.03 / (k - 1)] * (k - 1)
     weights = totals.select("source", F.array(*map(F.lit, prior)).alias("weights"))
     for _ in range(rounds):
-        joined = scored.join(weights, "source")
+        joined = _with_weights(scored, weights, sources)
         logs = F.transform(F.arrays_zip("gains", "weights"), lambda x: x["gains"] + F.log(x["weights"]))
         tops = joined.select("source", logs.alias("logs")).withColumn("top", F.array_max("logs"))
         likely = tops.select("source", F.transform("logs", lambda x: F.exp(x - F.col("top"))).alias("e"))
@@ -286,10 +294,10 @@ def _weights(scored: DataFrame, totals: DataFrame, rounds: int) -> DataFrame:
     return weights
 
 
-def _posterior(scored: DataFrame, weights: DataFrame) -> DataFrame:
+def _posterior(scored: DataFrame, weights: DataFrame, sources: int) -> DataFrame:
     """Adds chain (index) and certainty of the most probable chain."""
     logs = F.transform(F.arrays_zip("gains", "weights"), lambda x: x["gains"] + F.log(x["weights"]))
-    joined = scored.join(weights, "source").withColumn("logs", logs).withColumn("top", F.array_max("logs"))
+    joined = _with_weights(scored, weights, sources).withColumn("logs", logs).withColumn("top", F.array_max("logs"))
     clean = F.exp(F.col("logs")[0] - F.col("top"))
     z = F.aggregate(F.transform("logs", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda a, x: a + x)
     return joined.withColumn("chain", F.array_position("logs", F.col("top")).cast("int") - 1).withColumn("damaged", 1 - clean / z)
@@ -312,12 +320,13 @@ def read_chains(documents: DataFrame, rounds: int = 4, certain: float = 0.9) ->
     texts = documents.where(r"text is not null and text rlike '[^\\x00-\\x7f]'").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")
     passages = stored(texts.mapInPandas(cut, "doc_id bigint, source string, place int, passage string"))
     totals = stored(passages.groupBy("source").agg(F.count("*").alias("n")))
+    sources = totals.count()
     rough = _train(passages)
     first = stored(_score(passages, rough).where("best > -8").select("doc_id", "place", "source", "gains"))
-    guessed = _posterior(first, _weights(first, totals, rounds)).where("damaged > 0.5").select("doc_id", "place")
+    guessed = _posterior(first, _weights(first, totals, rounds, sources), sources).where("damaged > 0.5").select("doc_id", "place")
     held_clean = passages.join(guessed, ["doc_id", "place"], "left_anti")
     second = stored(_score(passages, _train(held_clean, rough)).where((F.col("best") > -8) | F.col("passage").contains(_LOST)))
-    judged = _posterior(second, _weights(second, totals, rounds))
+    judged = _posterior(second, _weights(second, totals, rounds, sources), sources)
     lost = F.col("passage").contains(_LOST)
     sure = (F.col("damaged") >= certain) & (F.col("chain") > 0) & (F.col("best") > 3)
     names = F.array(*map(F.lit, CHAIN_NAMES))

@@ -13,7 +13,8 @@ unused space does not grow with the number of groups either.
 Texts above the capacity become full containers and one remainder; no other text
 is split.  Defined results: null and empty texts have 0 tokens and are assigned
 like any other item (they take no room); repeated rows of one id are separate
-items; an unknown tokenizer or a capacity that is null or below 1 gives no rows.
+items; an unknown tokenizer or a capacity that is null or below 1 gives no rows; more
+than ``MOST_SPECS`` specifications are refused (they go to every executor).
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ from pyspark.sql import functions as F
 from chainloom.llm.bpe import DEFAULT_FOLDER, count_tokens
 from chainloom.sources.checkpoints import stored
 
+#: Specifications that may go to every executor; a longer table is an error.
+MOST_SPECS = 10_000
+
 
 class BestFit:
     """Open bins by remaining capacity, with a max-free segment tree of counts."""
@@ -98,7 +102,7 @@ def _pack_groups(items: DataFrame, level: int) -> DataFrame:
 def _dealt(items: DataFrame, group_items: int) -> DataFrame:
     """Adds ``bucket``: as many evenly hashed groups a spec as its size asks for."""
     groups = items.groupBy("spec_id").agg(F.ceil(F.count("*") / F.lit(group_items)).cast("bigint").alias("groups"))
-    return items.join(groups, "spec_id").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.col("groups"))).drop("groups")
+    return items.join(F.broadcast(groups), "spec_id").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.col("groups"))).drop("groups")
 
 
 def fill_containers(documents: DataFrame, specs: DataFrame, folder: str = DEFAULT_FOLDER, group_items: int = 20_000, repack_below: float = 0.97) -> DataFrame:
@@ -113,8 +117,10 @@ def fill_containers(documents: DataFrame, specs: DataFrame, folder: str = DEFAUL
     )
     # No more names than vocabulary files in the folder.
     names = [r["tokenizer"] for r in wanted.select("tokenizer").distinct().collect()]
+    if wanted.count() > MOST_SPECS:
+        raise ValueError(f"more than {MOST_SPECS} container specifications")
     counted = stored(count_tokens(documents, names, folder))
-    sized = counted.join(wanted, "tokenizer").select("spec_id", "capacity", "doc_id", "n_tokens")
+    sized = counted.join(F.broadcast(wanted), "tokenizer").select("spec_id", "capacity", "doc_id", "n_tokens")
     pieces = sized.withColumn("pieces", F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("n_tokens") / F.col("capacity"))))
     cut = pieces.select(
         "spec_id", "capacity", "doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)).alias("piece"), F.col("n_tokens").alias("whole")
