@@ -34,13 +34,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 class Stored:
-    """A table written to the shared folder, with its path for removal."""
+    """A table written to the shared folder, with its path for removal.
+
+    Joins over it shuffle: the size of a compressed file says little about the
+    memory a broadcast would take.  Where a side is known to be small, the join
+    says so itself, after counting it.
+    """
 
     def __init__(self, df: DataFrame):
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark)}/stored-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path).hint("merge")
 
     def drop(self) -> None:
         jvm = self.spark.sparkContext._jvm
