@@ -42,7 +42,7 @@ GOLD = {
         from block_facts group by {DAY} order by activity_date""",
     "g14_top_tokens": """select token_address, count(*) as transfer_count from token_transfer_facts group by token_address
         order by transfer_count desc, token_address limit 10""",
-    "g15_token_volume": """select token_symbol, sum(normalized_amount) as total_normalized_amount from token_transfer_facts
+    "g15_token_volume": """select token_symbol, sum(cast(normalized_amount as decimal(38,9))) as total_normalized_amount from token_transfer_facts
         where normalized_amount is not null and token_symbol is not null group by token_symbol order by total_normalized_amount desc, token_symbol limit 10""",
     "g16_token_standards": f"select {STANDARD} as token_standard, count(*) as transfer_count from token_transfer_facts group by {STANDARD} order by token_standard",
     "g17_top_transfer_senders": """select from_address as sender_address, count(*) as transfer_count from token_transfer_facts where from_address is not null
@@ -73,7 +73,7 @@ GOLD = {
     "g27_sender_classes": """select labels.concept_class as sender_concept_class, count(*) as transaction_count, coalesce(sum(tx.value_wei), 0) as total_value_wei
         from transaction_facts as tx join entity_labels as labels on tx.from_address = labels.address group by labels.concept_class
         order by total_value_wei desc, sender_concept_class nulls first limit 10""",
-    "g28_owner_token_volume": """select labels.owner as recipient_owner, transfers.token_symbol as token_symbol, sum(transfers.normalized_amount) as total_normalized_amount
+    "g28_owner_token_volume": """select labels.owner as recipient_owner, transfers.token_symbol as token_symbol, sum(cast(transfers.normalized_amount as decimal(38,9))) as total_normalized_amount
         from token_transfer_facts as transfers join entity_labels as labels on transfers.to_address = labels.address
         where transfers.normalized_amount is not null and transfers.token_symbol is not null group by labels.owner, transfers.token_symbol
         order by total_normalized_amount desc, recipient_owner nulls first, token_symbol limit 20""",
@@ -109,7 +109,7 @@ TEMPLATES = {
         order by block_timestamp desc, transaction_hash limit 20""",
     "t12_tx_grouped_by_owner": """select from_owner as owner, count(*) as transaction_count from labeled_transactions where from_owner is not null
         group by from_owner order by transaction_count desc, owner limit 20""",
-    "t13_token_volume_by_symbol": """select token_symbol, sum(normalized_amount) as volume, count(*) as transfer_count from token_transfer_facts
+    "t13_token_volume_by_symbol": """select token_symbol, sum(cast(normalized_amount as decimal(38,9))) as volume, count(*) as transfer_count from token_transfer_facts
         where token_symbol is not null and normalized_amount is not null group by token_symbol""",
     "t14_transfers_of_token": f"""select transaction_hash, log_index, cast(block_timestamp as string) as at, normalized_amount from token_transfer_facts
         where token_symbol = {BUSY_SYMBOL} order by block_timestamp desc, transaction_hash, log_index limit 20""",
@@ -176,7 +176,7 @@ COMPETENCY = {
           where from_concept_class = 'MevActor' and is_success is true and to_address is not null group by to_address)
         select distinct t.from_address as account, t.to_address as exchange_address from labeled_token_transfers t join funded f on t.from_address = f.account
         where t.to_concept_class = 'ExchangeAccount' and t.block_timestamp >= f.funded_at""",
-    "c25_dex_volume": """select token_symbol, sum(normalized_amount) as volume from labeled_token_transfers
+    "c25_dex_volume": """select token_symbol, sum(cast(normalized_amount as decimal(38,9))) as volume from labeled_token_transfers
         where (from_concept_class = 'DexProtocol' or to_concept_class = 'DexProtocol') and token_symbol is not null and normalized_amount is not null
         group by token_symbol order by volume desc, token_symbol limit 1""",
     "c26_bridge_outflow": """with funded as (select to_address as bridge, block_timestamp as at from labeled_transactions
