@@ -206,23 +206,22 @@ def comparable(text: str) -> str:
 
 def is_copy(question: str, response: str) -> bool:
     """Nothing but the question: framed, quoted, repeated, retyped or shouted."""
-    want = comparable(question)
-    if len(want) < 8:
-        return False
-    body = _UNFRAME.sub("", _FRAME.sub("", response))
-    got = comparable(body)
-    if not got:
-        return False
-    if got == want or (len(got) % len(want) == 0 and got == want * (len(got) // len(want))):
-        return True
-    # Framing words around the question or around its copy: one contains the other
-    # and every value of the question is there.
+    unframed = lambda text: _UNFRAME.sub("", _FRAME.sub("", text))
+    wants = {w for w in (comparable(question), comparable(unframed(question))) if len(w) >= 8}
+    gots = {g for g in (comparable(response), comparable(unframed(response))) if g}
     values = [comparable(x) for x in _ADDRESSLIKE.findall(bare(question))]
-    if want in got:
-        rest = got.replace(want, "", 8)
-        return len(rest) <= 24 and not re.search(r"\d", rest)
-    if got in want and len(got) >= 0.6 * len(want):
-        return all(v in got for v in values)
+    for want in wants:
+        for got in gots:
+            if len(got) % len(want) == 0 and got == want * (len(got) // len(want)):
+                return True
+            # Framing words around the copy: it holds the question and no further value.
+            if want in got:
+                rest = got.replace(want, "", 8)
+                if len(rest) <= 24 and not re.search(r"\d", rest):
+                    return True
+            # Framing words around the question: the copy holds all of its values.
+            elif got in want and len(got) >= 0.6 * len(want) and all(v in got for v in values):
+                return True
     return False
 
 

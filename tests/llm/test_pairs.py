@@ -26,6 +26,11 @@ def test_copies(text):
     assert judge(QUESTION, text)[0] == "copied_question"
 
 
+def test_copies_of_a_framed_question():
+    framed = "Q: " + QUESTION
+    assert judge(framed, f"{framed} {framed}")[0] == judge(framed, framed)[0] == judge(framed, QUESTION)[0] == "copied_question"
+
+
 def test_copy_of_another_question_is_none():
     assert not is_copy(QUESTION, QUESTION.replace("10", "20"))
 
