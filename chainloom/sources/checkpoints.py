@@ -6,12 +6,14 @@ unset (tests, notebooks on one machine) a temporary folder is taken.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: list[str] = []
+_STORED: set = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -44,15 +46,29 @@ class Stored:
     def __init__(self, df: DataFrame):
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark)}/stored-{uuid.uuid4().hex}"
+        _STORED.add(self)
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path).hint("merge")
 
     def drop(self) -> None:
+        _STORED.discard(self)
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@atexit.register
+def drop_all() -> None:
+    """Removes the tables of this application; also runs when the driver ends.
+    DataFrames over them cannot be computed afterwards."""
+    for kept in list(_STORED):
+        try:
+            if kept.spark.sparkContext._jsc is not None:
+                kept.drop()
+        except Exception:  # the session is gone; the cluster's own clean-up has to do
+            _STORED.discard(kept)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet (typed, compressed, with statistics) and read again."""
     return Stored(df).df
