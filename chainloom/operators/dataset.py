@@ -27,10 +27,9 @@ def cycle_pool(rows: DataFrame, index: str, pool: list[str]) -> DataFrame:
 def share_quota(rows: DataFrame, key: str, most: float) -> DataFrame:
     """(key, n, share, within): each value's share of the non-null rows."""
     counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    total = rows.agg(F.count(key).alias("total"))
-    share = F.round(F.col("n") / F.col("total"), 9)
-    # the total is one row
-    return counts.join(F.broadcast(total)).select(key, "n", share.alias("share"), (share <= most).alias("within"))
+    total = rows.agg(F.count(key)).first()[0]
+    share = F.round(F.col("n") / F.lit(total), 9)
+    return counts.select(key, "n", share.alias("share"), (share <= most).alias("within"))
 
 
 def hashed_split(rows: DataFrame, family: Column, seed: str, development: int = 10) -> DataFrame:
@@ -78,15 +77,17 @@ def cohen_kappa(pairs: DataFrame) -> DataFrame:
     """Input (a, b), one row per item rated twice; one row (items, observed,
     expected, kappa); kappa is null without items and 1 at full agreement."""
     cells = pairs.where("a is not null and b is not null").groupBy("a", "b").agg(F.count("*").alias("n"))
-    total = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("items"), F.coalesce(F.sum(F.when(F.col("a") == F.col("b"), F.col("n"))), F.lit(0)).alias("same"))
-    rows = cells.groupBy(F.col("a").alias("rating")).agg(F.sum("n").alias("ra"))
-    columns = cells.groupBy(F.col("b").alias("rating")).agg(F.sum("n").alias("rb"))
-    chance = rows.join(columns, "rating").agg(F.coalesce(F.sum(F.col("ra") * F.col("rb")), F.lit(0)).alias("product"))
+    none = F.lit(0).cast("bigint")
+    # both margins by rating in one aggregation
+    rows = cells.select(F.col("a").alias("rating"), F.col("n").alias("ra"), none.alias("rb"), F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(none).alias("same"))
+    columns = cells.select(F.col("b").alias("rating"), none.alias("ra"), F.col("n").alias("rb"), none.alias("same"))
+    margins = rows.unionByName(columns).groupBy("rating").agg(F.sum("ra").alias("ra"), F.sum("rb").alias("rb"), F.sum("same").alias("same"))
+    sums = margins.agg(*[F.coalesce(F.sum(x), none).alias(n) for x, n in ((F.col("ra"), "items"), (F.col("same"), "agreed"), (F.col("ra") * F.col("rb"), "product"))])
     n = F.col("items").cast("double")
-    both = total.join(F.broadcast(chance))  # one row each
-    observed, expected = F.col("same") / n, F.col("product") / (n * n)
-    kappa = F.when(F.col("items") > 0, F.when(expected == 1, F.lit(1.0)).otherwise((observed - expected) / (1 - expected)))
-    return both.select("items", F.when(F.col("items") > 0, F.round(observed, 9)).alias("observed"), F.when(F.col("items") > 0, F.round(expected, 9)).alias("expected"), F.round(kappa, 9).alias("kappa"))
+    some = F.col("items") > 0
+    observed, expected = F.when(some, F.col("agreed") / n), F.when(some, F.col("product") / (n * n))
+    kappa = F.when(expected == 1, F.lit(1.0)).when(some, (observed - expected) / (1 - expected))
+    return sums.select("items", F.round(observed, 9).alias("observed"), F.round(expected, 9).alias("expected"), F.round(kappa, 9).alias("kappa"))
 
 
 def unambiguous_names(labels: DataFrame) -> DataFrame:

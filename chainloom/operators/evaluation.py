@@ -130,11 +130,14 @@ def bootstrap_ratio(matches: DataFrame, replicates: int = 1000, seed: int = 42)
     weight = F.lit(0)
     for b in bounds:
         weight = weight + F.when(draw >= b, 1).otherwise(0)
-    drawn = matches.select("prediction_id", F.col("matched").cast("int").alias("hit"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    ratios = drawn.select("replicate", "hit", weight.alias("w")).groupBy("replicate").agg((F.sum(F.col("hit") * F.col("w")) / F.sum("w")).alias("r"))
-    whole = matches.agg(F.count("*").alias("n"), F.avg(F.col("matched").cast("double")).alias("ratio"))
-    limits = ratios.agg(F.percentile("r", 0.025).alias("low"), F.percentile("r", 0.975).alias("high"))
-    return whole.join(F.broadcast(limits))  # one row each
+    # replicate 0 is the data itself: every case weighs 1
+    drawn = matches.select("prediction_id", F.col("matched").cast("int").alias("hit"), F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("replicate"))
+    weighed = drawn.select("replicate", "hit", F.when(F.col("replicate") == 0, 1).otherwise(weight).alias("w"))
+    ratios = weighed.groupBy("replicate").agg((F.sum(F.col("hit") * F.col("w")) / F.sum("w")).alias("r"), F.sum("w").alias("n"))
+    drawn_ratio, own = F.when(F.col("replicate") > 0, F.col("r")), F.col("replicate") == 0
+    return ratios.agg(
+        F.max(F.when(own, F.col("n"))).alias("n"), F.max(F.when(own, F.col("r"))).alias("ratio"), F.percentile(drawn_ratio, 0.025).alias("low"), F.percentile(drawn_ratio, 0.975).alias("high")
+    )
 
 
 def failure_classes(predictions: DataFrame, cases: DataFrame) -> DataFrame:

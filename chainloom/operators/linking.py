@@ -31,27 +31,22 @@ SCHEMA_DOCUMENTS = {
 TIME_WORDS = ("between", "from", "until", "window", "day", "daily", "date", "when", "per")
 
 
-def schema_documents(spark) -> DataFrame:
-    """(relation, terms): a fixed catalogue of eight rows."""
-    rows = [(name, sorted(set(text.split()))) for name, text in SCHEMA_DOCUMENTS.items()]
-    return spark.createDataFrame(rows, "relation string, terms array<string>")
-
-
 def link_schema(questions: DataFrame, k: int = 3) -> DataFrame:
     """Input (key, question); output (key, relation, score, place): the k relations
     that share most words, ties by name.  Temporal words count for every relation
-    with a time column."""
+    with a time column.  The catalogue is eight literals, so nothing is joined or
+    shuffled."""
     tokens = F.array_distinct(words(fold_accents(F.col("question"))))
     asked = questions.where("question is not null").select("key", tokens.alias("tokens")).where("size(tokens) > 0")
-    documents = F.broadcast(schema_documents(questions.sparkSession))  # eight rows
-    timed = F.col("relation").contains("facts") | F.col("relation").contains("labeled")
-    hits = F.size(F.array_intersect("tokens", "terms")) / F.size("tokens")
-    when = F.when(timed & F.arrays_overlap("tokens", F.array(*map(F.lit, TIME_WORDS))), F.lit(0.05)).otherwise(F.lit(0.0))
-    scored = asked.join(documents, F.arrays_overlap("tokens", "terms")).select("key", "relation", F.round(hits + when, 9).alias("score"))
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("n"), "relation"))), 1, k)
-    return scored.groupBy("key").agg(best.alias("best")).select("key", F.posexplode("best").alias("p", "b")).select(
-        "key", F.col("b.relation").alias("relation"), (-F.col("b.n")).alias("score"), (F.col("p") + 1).alias("place")
-    )
+    when = F.when(F.arrays_overlap("tokens", F.array(*map(F.lit, TIME_WORDS))), F.lit(0.05)).otherwise(F.lit(0.0))
+    scored = []
+    for name, text in SCHEMA_DOCUMENTS.items():
+        hits = F.size(F.array_intersect("tokens", F.array(*map(F.lit, sorted(set(text.split()))))))
+        timed = when if "facts" in name or "labeled" in name else F.lit(0.0)
+        score = F.round(hits / F.size("tokens") + timed, 9)
+        scored.append(F.when(hits > 0, F.struct((-score).alias("n"), F.lit(name).alias("relation"))))
+    best = F.slice(F.array_sort(F.array_compact(F.array(*scored))), 1, k)
+    return asked.select("key", F.posexplode(best).alias("p", "b")).select("key", F.col("b.relation").alias("relation"), (-F.col("b.n")).alias("score"), (F.col("p") + 1).alias("place"))
 
 
 def entity_phrases(labels: DataFrame) -> DataFrame:

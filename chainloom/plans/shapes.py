@@ -125,8 +125,9 @@ TEMPLATES = {
     "t20_owner_net_native_flow": """with flows as (
           select to_owner as owner, value_wei as incoming, cast(0 as decimal(38,0)) as outgoing from labeled_transactions where to_owner is not null and is_success is true
           union all select from_owner, cast(0 as decimal(38,0)), value_wei from labeled_transactions where from_owner is not null and is_success is true),
-        net as (select owner, sum(incoming) as incoming_wei, sum(outgoing) as outgoing_wei, sum(incoming) - sum(outgoing) as net_wei from flows group by owner)
-        select owner, incoming_wei, outgoing_wei, net_wei, rank() over (order by abs(net_wei) desc) as flow_rank from net order by abs(net_wei) desc, owner limit 20""",
+        net as (select owner, sum(incoming) as incoming_wei, sum(outgoing) as outgoing_wei, sum(incoming) - sum(outgoing) as net_wei from flows group by owner),
+        top as (select owner, incoming_wei, outgoing_wei, net_wei from net order by abs(net_wei) desc, owner limit 20)
+        select owner, incoming_wei, outgoing_wei, net_wei, rank() over (order by abs(net_wei) desc) as flow_rank from top""",
     "t21_category_owner_distribution": """with per as (select category, count(distinct owner) as owner_count, count(*) as account_count from entity_labels group by category)
         select category, owner_count, account_count, cast(account_count as double) / nullif(owner_count, 0) as accounts_per_owner,
         dense_rank() over (order by owner_count desc, account_count desc) as category_rank from per""",
@@ -140,9 +141,10 @@ TEMPLATES = {
         shares as (select owner, n, cast(n as double) / sum(n) over (partition by owner) as share, sum(n) over (partition by owner) as total from pairs)
         select owner, max(total) as transaction_count, count(*) as counterparty_count, round(sum(share * share), 9) as concentration
         from shares group by owner having max(total) >= 10""",
-    "t24_treasury_token_diversity": """select from_owner as owner, count(distinct token_address) as contract_count, count(distinct to_address) as recipient_count, count(*) as transfer_count,
-        rank() over (order by count(distinct token_address) desc, count(distinct to_address) desc) as diversity_rank from labeled_token_transfers
-        where from_concept_class = 'TreasuryAccount' and from_owner is not null group by from_owner""",
+    "t24_treasury_token_diversity": """with per as (select from_owner as owner, count(distinct token_address) as contract_count, count(distinct to_address) as recipient_count,
+          count(*) as transfer_count from labeled_token_transfers where from_concept_class = 'TreasuryAccount' and from_owner is not null group by from_owner),
+        top as (select owner, contract_count, recipient_count, transfer_count from per order by contract_count desc, recipient_count desc, owner limit 50)
+        select owner, contract_count, recipient_count, transfer_count, rank() over (order by contract_count desc, recipient_count desc) as diversity_rank from top""",
     "t25_repeated_pair_flow": """select from_address, to_address, count(*) as transaction_count, sum(value_wei) as total_value_wei from transaction_facts
         where to_address is not null group by from_address, to_address having count(*) >= 2 order by transaction_count desc, total_value_wei desc, from_address, to_address limit 50""",
 }
@@ -199,14 +201,14 @@ CHECKS = {
     "b1_label_contract": """select count(*) as row_count, count(distinct address) as address_count, count(distinct owner) as owner_count,
         count_if(address_role = 'treasury') as treasury_count, count_if(address_role = 'operational') as operational_count,
         count(*) = count(distinct address) as passed from entity_labels""",
-    "b2_transaction_count": """select f.n as relation_rows, r.n as raw_rows, f.n = r.n as passed from (select count(*) as n from transaction_facts) f
-        cross join (select count(distinct transaction_hash) as n from transaction_facts) r""",
-    "b3_block_count": """select f.n as relation_rows, r.n as raw_rows, f.n = r.n as passed from (select count(*) as n from block_facts) f
-        cross join (select count(distinct block_hash) as n from transaction_facts) r""",
+    "b2_transaction_count": """select count(*) as relation_rows, count(distinct transaction_hash) as key_rows, count(*) = count(distinct transaction_hash) as passed
+        from transaction_facts""",
+    "b3_block_count": """select count(*) as relation_rows, count(distinct block_hash) as key_rows, sum(transaction_count) as transaction_rows,
+        sum(transaction_count) = (select count(*) from transaction_facts) as passed from block_facts""",
     "b4_contract_dimension": """select count(*) as row_count, count(distinct address) as address_count,
         count_if(created_at >= timestamp '2026-07-01 00:00:00') as late_count, count(*) = count(distinct address) as passed from contract_dimension""",
-    "b5_label_cardinality": """select f.n as fact_rows, l.n as labelled_rows, f.n = l.n as passed from (select count(*) as n from transaction_facts) f
-        cross join (select count(*) as n from labeled_transactions) l""",
+    "b5_label_cardinality": """select count(*) as labelled_rows, count(distinct transaction_hash) as labelled_keys,
+        count(*) = (select count(*) from transaction_facts) as passed from labeled_transactions""",
     "b6_labeled_transfers": """select count(*) as row_count, count(distinct concat(transaction_hash, '#', cast(log_index as string))) as key_count,
         count_if(normalized_amount is not null and is_erc20 is not true) as standard_violations,
         count_if(normalized_amount is not null and token_decimals not between 0 and 38) as precision_violations from labeled_token_transfers""",
