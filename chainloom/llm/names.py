@@ -206,13 +206,21 @@ class Parser:
                     return ("type" if found[0] in TYPES else "first"), found[0]
         return "word", word
 
+    def apart(self, words: list[str]) -> list[str]:
+        """Words of which one is a common word written onto a core, in two."""
+        out = []
+        for word in words:
+            cut = next((i for i in range(4, len(word) - ORG_CORE + 1) if word[:i] in self.common and word[:i] not in _FIRST_OF), 0)
+            out += [word[:cut], word[cut:]] if cut and word not in self.common else [word]
+        return out
+
     def record(self, owner: str | None, label: str | None, aliases) -> dict | None:
         """Profile of a record from all of its names; None without a core."""
         cores, firsts, letters, kinds, extras = Counter(), Counter(), Counter(), Counter(), Counter()
         names = [words_of(owner), words_of(label, True), *(words_of(a) for a in (aliases if aliases is not None else []))]
         person = False
         for words in names:
-            parsed = [(*self.resolve(w), w) for w in words if len(w) > 1]
+            parsed = [(*self.resolve(w), w) for w in self.apart(words) if len(w) > 1]
             initials = [w for w in words if len(w) == 1]
             found = [w for kind, w, _ in parsed if kind == "word"]
             first = [w for kind, w, _ in parsed if kind == "first"]
