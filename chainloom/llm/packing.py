@@ -4,7 +4,7 @@ Best-fit decreasing: items in falling order of size, each into the open bin with
 the least remaining capacity that still holds it.  A segment tree over remaining
 capacities 0..C answers that in O(log C).
 
-Items are dealt by a hash of their id to groups of about ``group_items`` and
+Items are dealt by a hash to groups of about ``group_items`` and
 each group is packed in one task, so no task grows with the corpus.  A group
 leaves only a few badly filled bins; the items of bins filled less than
 ``repack_below`` are dealt again to fewer groups and packed once more, so the
@@ -100,9 +100,11 @@ def _pack_groups(items: DataFrame, level: int) -> DataFrame:
 
 
 def _dealt(items: DataFrame, group_items: int) -> DataFrame:
-    """Adds ``bucket``: as many evenly hashed groups a spec as its size asks for."""
+    """Adds ``bucket``: as many evenly hashed groups a spec as its size asks for.
+    The row's place in the stored input is part of the hash, so that repeated or
+    null ids spread as well."""
     groups = items.groupBy("spec_id").agg(F.ceil(F.count("*") / F.lit(group_items)).cast("bigint").alias("groups"))
-    return items.join(F.broadcast(groups), "spec_id").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.col("groups"))).drop("groups")
+    return items.join(F.broadcast(groups), "spec_id").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.col("groups"))).drop("groups")
 
 
 def fill_containers(documents: DataFrame, specs: DataFrame, folder: str = DEFAULT_FOLDER, group_items: int = 20_000, repack_below: float = 0.97) -> DataFrame:
