@@ -1,7 +1,7 @@
 """Linking words of questions to relations and labelled entities, and retrieval.
 
-Phrases meet their targets by equi-joins on exploded n-grams; fuzzy proposals are
-blocked by a shared trigram of the rarer kind before any similarity is computed.
+Phrases meet their targets by equi-joins on exploded n-grams, fuzzy proposals on
+segments that two similar words share.
 Nearest neighbours take a stated query set against all rows, in blocks.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chainloom.functions.strings import segments, windows
 from chainloom.functions.text import addresses_in, fold_accents, indel_similarity, words
 
 # What each relation of the catalogue is about.
@@ -88,24 +89,56 @@ def longest_mentions(mentions: DataFrame) -> DataFrame:
     return mentions.withColumn("covered", covered).where("not covered").drop("covered")
 
 
+def entity_words(labels: DataFrame, shortest: int = 5) -> DataFrame:
+    """(phrase, owner): words of owners' names that occur with one owner only."""
+    named = labels.where("owner is not null").select("owner", F.explode(words(fold_accents(F.col("owner")))).alias("phrase")).where(F.length("phrase") >= shortest)
+    one = named.groupBy("phrase").agg(F.min("owner").alias("owner"), F.max("owner").alias("other"))
+    return one.where("owner = other").select("phrase", "owner")
+
+
+def _similar_keys(strings: DataFrame, column: str, least: float, longer: bool) -> DataFrame:
+    """(meet, string): keys of strings in the role of the longer or shorter one.
+    At a similarity of ``least`` the indel distance is at most (1 - least) times
+    both lengths, hence at most 2 (1 - least) times the longer one's."""
+
+    def edits(length: int) -> int:
+        return int(2 * (1 - least) * length + 1e-9)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for text in batch["string"]:
+                own = len(text)
+                if longer:
+                    keys = {f"{own}|{i}|{text[s : s + n]}" for i, (s, n) in enumerate(segments(own, edits(own)))}
+                else:
+                    most = int(own * (2 - least) / least + 1e-9)
+                    keys = {f"{size}|{i}|{text[s : s + n]}" for size in range(own, most + 1) for i, s, n in windows(own, size, edits(size))}
+                rows += [(key, text) for key in keys]
+            yield pd.DataFrame(rows, columns=["meet", "string"])
+
+    return strings.select(F.col(column).alias("string")).distinct().mapInPandas(run, "meet string, string string").withColumnRenamed("string", column)
+
+
 def fuzzy_mentions(mentions: DataFrame, phrases: DataFrame, least: float = 0.85) -> DataFrame:
     """Input (key, word) and (phrase, owner); output (key, word, phrase, owner,
     score) with an indel similarity of at least ``least``.
 
-    At 0.85 two strings of up to n letters share a run of three, so candidates meet
-    on trigrams and on a length band; each candidate pair is verified once.
+    Distinct strings meet on segments of the longer one at the places where the
+    shorter one can hold them, which loses no pair; each candidate is verified once.
     """
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substring(F.col(c), i, F.lit(3))))
-    left = mentions.select("word").distinct().select("word", F.explode(grams("word")).alias("gram"))
-    right = phrases.select("phrase").distinct().select("phrase", F.explode(grams("phrase")).alias("gram"))
-    near = F.least(F.length("word"), F.length("phrase")) / F.greatest(F.length("word"), F.length("phrase")) >= least / (2 - least)
-    candidates = left.join(right, "gram").where(near).select("word", "phrase").distinct()
+    pairs = None
+    for word_is_longer in (True, False):
+        left = _similar_keys(mentions, "word", least, word_is_longer)
+        right = _similar_keys(phrases, "phrase", least, not word_is_longer)
+        met = left.join(right, "meet").select("word", "phrase")
+        pairs = met if pairs is None else pairs.unionByName(met)
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([indel_similarity(x, y) for x, y in zip(a, b)])
 
-    scored = candidates.withColumn("score", ratio("word", "phrase")).where(F.col("score") >= least)
+    scored = pairs.distinct().withColumn("score", ratio("word", "phrase")).where(F.col("score") >= least)
     return scored.join(phrases, "phrase").join(mentions, "word").select("key", "word", "phrase", "owner", "score")
 
 

@@ -172,8 +172,9 @@ def o199_phrase_mentions(spark, folder):
 @_query()
 def o200_fuzzy_names(spark, folder):
     labels = ledger.entity_labels(spark, folder)
-    typed = labels.where("primary_label is not null").select(F.col("address").alias("key"), F.concat_ws(" ", text.words(text.fold_accents(F.col("primary_label")))).alias("word"))
-    return linking.fuzzy_mentions(typed.where("length(word) >= 4"), linking.entity_phrases(labels)).select("key", "phrase", F.round("score", 9).alias("score"))
+    typed = labels.where("primary_label is not null").select(F.col("address").alias("key"), F.explode(F.array_distinct(text.words(text.fold_accents(F.col("primary_label"))))).alias("word"))
+    found = linking.fuzzy_mentions(typed.where("length(word) >= 5"), linking.entity_words(labels))
+    return found.select("key", "word", "phrase", F.round("score", 9).alias("score"))
 
 
 _UNIT = "[cast(x as double) / sqrt(list_inner_product(cast(embedding as double[]), cast(embedding as double[]))) for x in embedding]"

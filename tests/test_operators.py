@@ -150,9 +150,22 @@ def test_mentions(spark):
     assert rows(linking.address_mentions(texts, labels).select("key", "owner")) == [(1, "Acme Markets")]
     typed = spark.createDataFrame([(9, "acme marketz"), (8, "zzzz")], "key int, word string")
     assert rows(linking.fuzzy_mentions(typed, phrases).select("key", "owner")) == [(9, "Acme Markets")]
+    assert ("acme", "Acme Markets") not in rows(linking.entity_words(labels)) and ("markets", "Acme Markets") in rows(linking.entity_words(labels))
     assert linking.link_schema(spark.createDataFrame([(1, None), (2, "")], "key int, question string")).count() == 0
 
 
+@pytest.mark.parametrize("least", [0.85, 0.7])
+def test_fuzzy_mentions_against_brute_force(spark, least):
+    rng = random.Random(7)
+    base = ["".join(rng.choice("abcd") for _ in range(rng.randint(4, 14))) for _ in range(40)]
+    typed = [w[: rng.randrange(len(w))] + rng.choice("abcd") + w[rng.randrange(len(w)) :] for w in base] + base[:5]
+    words_, phrases = sorted({w for w in typed if w}), sorted(set(base))
+    got = linking.fuzzy_mentions(
+        spark.createDataFrame([(i, w) for i, w in enumerate(words_)], "key int, word string"), spark.createDataFrame([(p, "o") for p in phrases], "phrase string, owner string"), least
+    )
+    assert set(rows(got.select("word", "phrase"))) == {(w, p) for w in words_ for p in phrases if text.indel_similarity(w, p) >= least}
+
+
 def test_n_triples_round_trip_and_shapes(spark):
     graph = spark.createDataFrame(
         [
