@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -13,15 +14,18 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Adds the package to the session's Python files, once an application.  The
-    archive is written next to the checkpoints, or to Spark's local test folder
-    where no shared folder is named."""
+    """Adds the package to the session's Python files, once an application.
+
+    The driver serves the archive to the executors.  It lies next to the
+    checkpoints where those are in a mounted folder, else in a folder of the
+    driver, which holds code only.
+    """
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     folder = shared_folder(spark)
-    local = folder.removeprefix("file://") if folder.startswith(("file:", "/")) else os.getcwd()
+    local = folder.removeprefix("file://") if folder.startswith(("file:", "/")) else tempfile.mkdtemp(prefix="chainloom-")
     os.makedirs(local, exist_ok=True)
     archive = os.path.join(local, f"chainloom-{context.applicationId}.zip")
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
