@@ -92,7 +92,7 @@ def undo(token: str, steps: list[tuple[str, str]]) -> str | None:
             token = bytes([table[ch] for ch in token]).decode(true)
         except (KeyError, UnicodeDecodeError):
             return None
-    if any(unicodedata.category(ch) in ("Cc", "Cn", "Co") for ch in token):
+    if not token.isprintable() and any(unicodedata.category(ch) in ("Cc", "Cn", "Co") for ch in token):
         return None
     return unicodedata.normalize("NFC", token)
 
@@ -124,13 +124,22 @@ class CharacterModel:
 
     def __init__(self, pairs: np.ndarray, singles: np.ndarray):
         self.pairs, self.singles, self.total = pairs, singles, float(singles.sum()) + 1.0
+        self.logs: dict[str, float] = {}
+
+    def _log(self, pair: str) -> float:
+        last, ch = pair
+        seen = float(self.singles[_single(last)])
+        back = (float(self.singles[_single(ch)]) + 0.05) / (self.total + 5e4)
+        if len(self.logs) > 500_000:
+            self.logs.clear()
+        value = self.logs[pair] = math.log((float(self.pairs[_pair(last, ch)]) + 2.0 * back) / (seen + 2.0))
+        return value
 
     def score(self, token: str) -> float:
-        total, last = 0.0, " "
+        total, last, logs = 0.0, " ", self.logs
         for ch in token + " ":
-            seen = float(self.singles[_single(last)])
-            back = (float(self.singles[_single(ch)]) + 0.05) / (self.total + 5e4)
-            total += math.log((float(self.pairs[_pair(last, ch)]) + 2.0 * back) / (seen + 2.0))
+            value = logs.get(last + ch)
+            total += self._log(last + ch) if value is None else value
             last = ch
         return total
 
