@@ -44,6 +44,8 @@ MODEL_BITS = 20
 MOST_SOURCES = 30_000
 #: Log penalty of leaving a token as it is inside a damaged passage.
 PENALTY = 9.0
+#: A chain that gains no more than this can't compete with ``clean``.
+HOPELESS = -8.0
 PASSAGE = re.compile(r"(?<=[.!?。！？])[ \t]+|[\r\n]+")
 _LOST = "�"
 _WORD = re.compile(r"[ \t\r\n]+")
@@ -150,6 +152,7 @@ class Reader:
     def __init__(self, model: CharacterModel):
         self.model = model
         self.known: dict[str, list[tuple[int, float]]] = {}
+        self.kept: dict[str, list[tuple[int, float]]] = {}
 
     def token(self, token: str) -> list[tuple[int, float]]:
         """(chain, gain over the token as it is) for chains that can be undone."""
@@ -168,21 +171,31 @@ class Reader:
             self.known[token] = found
         return found
 
+    def useful(self, token: str) -> list[tuple[int, float]]:
+        """Chains that explain the token better than leaving it as it is would."""
+        found = self.kept.get(token)
+        if found is None:
+            if len(self.kept) > 300_000:
+                self.kept.clear()
+            found = self.kept[token] = [(k, g) for k, g in self.token(token) if g > -PENALTY]
+        return found
+
     def passage(self, text: str) -> list[float]:
-        """Gain in log likelihood of each chain over ``clean``."""
-        gains = [0.0] * len(CHAIN_NAMES)
-        touched = [False] * len(CHAIN_NAMES)
-        words = [w for w in _WORD.split(text) if not w.isascii()]
-        for word in words:
-            possible = dict(self.token(word))
-            for k in range(1, len(CHAIN_NAMES)):
-                gain = possible.get(k)
-                if gain is not None and gain > -PENALTY:
-                    gains[k] += gain
-                    touched[k] = touched[k] or gain > 0
-                else:
-                    gains[k] -= PENALTY
-        return [g if t or not k else -1e6 for k, (g, t) in enumerate(zip(gains, touched))]
+        """Gain in log likelihood of each chain over ``clean``; chains that improve
+        no token are out."""
+        words, sums, counts, better = 0, {}, {}, set()
+        for word in _WORD.split(text):
+            if not word.isascii():
+                words += 1
+                for k, gain in self.useful(word):
+                    sums[k] = sums.get(k, 0.0) + gain
+                    counts[k] = counts.get(k, 0) + 1
+                    if gain > 0:
+                        better.add(k)
+        gains = [0.0] + [-1e6] * (len(CHAIN_NAMES) - 1)
+        for k in better:
+            gains[k] = sums[k] - PENALTY * (words - counts[k])
+        return gains
 
 
 def repair_passage(text: str, chain: str, reader: Reader | None = None) -> str:
@@ -253,16 +266,18 @@ def _train(passages: DataFrame, before: CharacterModel | None = None) -> Charact
 
 
 def _score(passages: DataFrame, model: CharacterModel) -> DataFrame:
-    """Adds ``gains``; passages for which no chain can compete are counted only."""
+    """Adds ``gains`` and ``best``; passages for which no chain can compete (and
+    that lost nothing) are left out, they are clean at any weight."""
     shared = passages.sparkSession.sparkContext.broadcast((model.pairs, model.singles))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(CharacterModel(*shared.value))
         for batch in batches:
-            batch = batch.copy()
-            batch["gains"] = [reader.passage(t) for t in batch["passage"]]
-            batch["best"] = [max(g[1:]) for g in batch["gains"]]
-            yield batch
+            gains = [reader.passage(t) for t in batch["passage"]]
+            best = [max(g[1:]) for g in gains]
+            keep = [b > HOPELESS or _LOST in t for b, t in zip(best, batch["passage"])]
+            out = batch.assign(gains=gains, best=best)
+            yield out[keep]
 
     return passages.mapInPandas(run, "doc_id bigint, source string, place int, passage string, gains array<double>, best double")
 
@@ -276,7 +291,7 @@ def _with_weights(scored: DataFrame, weights: DataFrame, sources: int) -> DataFr
 def _weights(scored: DataFrame, totals: DataFrame, rounds: int, sources: int) -> DataFrame:
     """EM over the chain weights of each source: (source, weights array).
 
-    Passages whose best chain is hopeless (``best`` below -8) have posterior 1
+    Passages whose best chain is hopeless (``best`` at most HOPELESS) have posterior 1
     for ``clean`` at any weight the prior allows, so they enter as a count.
     """
     k = len(CHAIN_NAMES)
@@ -331,10 +346,10 @@ def read_chains(documents: DataFrame, rounds: int = 4, certain: float = 0.9) ->
     totals = stored(passages.groupBy("source").agg(F.count("*").alias("n")))
     sources = totals.count()
     rough = _train(passages)
-    first = stored(_score(passages, rough).where("best > -8").select("doc_id", "place", "source", "gains"))
+    first = stored(_score(passages, rough).where(F.col("best") > HOPELESS).select("doc_id", "place", "source", "gains"))
     guessed = _posterior(first, _weights(first, totals, rounds, sources), sources).where("damaged > 0.5").select("doc_id", "place")
     held_clean = passages.join(guessed, ["doc_id", "place"], "left_anti")
-    second = stored(_score(passages, _train(held_clean, rough)).where((F.col("best") > -8) | F.col("passage").contains(_LOST)))
+    second = stored(_score(passages, _train(held_clean, rough)))
     judged = _posterior(second, _weights(second, totals, rounds, sources), sources)
     lost = F.col("passage").contains(_LOST)
     sure = (F.col("damaged") >= certain) & (F.col("chain") > 0) & (F.col("best") > 3)
