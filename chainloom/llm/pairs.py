@@ -12,11 +12,11 @@ Rules that need one row only (placeholders, refusals, copies, language, open
 quotes and brackets) run in one Arrow pass.  Shortened statements that still
 parse are found among the neighbours: every response's last statement is
 reduced to its shape (literals and output names abstracted), the shapes are
-counted, sorted by text with their positions kept over partition borders, and
-each shape is compared with its successor.  A shape that is a proper prefix of
-more frequent ones is a shortened version.  Length-limit spikes (lengths far
-more common than their neighbours within a run) then mark responses that stop
-at the limit without an ending.
+counted and sorted by text, and each shape is compared with all that begin with
+it, over partition borders too.  A shape that is a proper prefix of a far more
+frequent one is a shortened version.  Length-limit spikes (lengths far more
+common than their neighbours within a run) then mark responses that stop at the
+limit without an ending, or with a shape that any other shape continues.
 
 Defined results: a null response is ``empty`` whatever its question; a response
 whose question is unknown (null, unmatched or empty) can be ``empty``,
@@ -26,6 +26,7 @@ has at most one defect, in the order of the list above.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -154,6 +155,11 @@ def statement_shape(sql: str) -> tuple[str, bool]:
             continue
         shape.append(low)
         previous = low
+    # A last word that is nowhere else and begins an output name is that name, cut.
+    if shape and re.fullmatch(r"[a-z_]\w*", shape[-1]) and shape[-1] not in shape[:-1] and shape[-1] not in _KEYWORDS:
+        cut = [short for name, short in names.items() if name.startswith(shape[-1]) and name != shape[-1]]
+        if len(cut) == 1 and shape[-1] not in names.values():
+            shape[-1] = cut[0]
     return " ".join(shape), open_end or depth > 0
 
 
@@ -161,6 +167,7 @@ _DANGLING = frozenset(
     "select from where group by order limit and or not in is as date numeric if case when then else between having join on left inner "
     "union all with like , = < > <= >= <> != + - * / ( . distinct cast".split()
 )
+_ABSTRACTED = re.compile(r"(?:^| )(?:S|N|a\d+)$")
 _ENDED = re.compile(r"[.?!。！？…:;)\]\"'”’»`\d]\s*$")
 _SENTENCE_END = re.compile(r"[.?!。！？…]['\"”’»)\]]*\s*$")
 
@@ -294,6 +301,8 @@ def consistent_lines(text: str) -> str:
     return "\n".join(consistent(line) or "" for line in text.splitlines()) if "\n" in text or "\r" in text else consistent(text)
 
 
+#: A shape so many times as frequent shows that the shape it continues is cut.
+RATIO = 5.0
 _JUDGED = "prediction_id bigint, run_id string, defect string, shape string, ending string, length int"
 
 
@@ -306,44 +315,95 @@ def _judge_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
-def shortened_shapes(shapes: DataFrame, ratio: float = 5.0) -> DataFrame:
-    """Input (shape, n), shapes unique; output (shape): those that a far more
-    frequent shape continues.
+def _continues(longer: str, shape: str) -> bool:
+    """Whether a text goes on where the shape stops, be it inside a word.
+    Abstracted tokens are whole: ``a1`` is no beginning of ``a10``."""
+    if not longer.startswith(shape) or len(longer) == len(shape):
+        return False
+    return longer[len(shape)] == " " or not _ABSTRACTED.search(shape)
+
+
+def _common_length(a: str, b: str) -> int:
+    return len(os.path.commonprefix((a, b)))
+
+
+def continued_shapes(shapes: DataFrame) -> DataFrame:
+    """Input (shape, n), shapes unique; output (shape, n, best): those that other
+    shapes continue, with the count of the most frequent one.
 
     The shapes are range-partitioned and sorted; in that order everything that
-    continues a shape follows it directly.  Each partition is scanned backwards
-    with its successor's first shape at hand: one row a partition is all that
-    the driver sees.
+    begins with a shape follows it directly, in its own partition and maybe in
+    the next ones.  Of each partition the driver sees its first and last shape
+    and, for the words and characters of the first one, the highest count among
+    the shapes that share so much with it, so that borders hide nothing.
     """
     ordered = cut_lineage(shapes.repartitionByRange("shape").sortWithinPartitions("shape"))
-    heads = {
-        r["part"]: (r["head"]["shape"], r["head"]["n"])
-        for r in ordered.groupBy(F.spark_partition_id().alias("part"))
-        .agg(F.min(F.struct("shape", "n")).alias("head"))
-        .collect()
+
+    def summary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        first, last, shared, steps = None, None, 0, []
+        for batch in batches:
+            for shape, n in zip(batch["shape"], batch["n"]):
+                shared = min(shared, _common_length(first, shape)) if first is not None else len(shape)
+                first, last = (shape if first is None else first), shape
+                # (most that is shared, what comes next, count); a longer share with a higher count hides this one
+                follower = shape[shared : shared + 1]
+                if not any(size >= shared and (size > shared or after == follower) and m >= n for size, after, m in steps):
+                    steps = [x for x in steps if not (x[0] == shared and x[1] == follower)] + [(shared, follower, int(n))]
+        if first is not None:
+            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "first": [first], "last": [last], "steps": [[{"size": k, "after": c, "n": m} for k, c, m in steps]]})
+
+    borders = {
+        r["part"]: (r["first"], r["last"], [(x["size"], x["after"], x["n"]) for x in r["steps"]])
+        for r in ordered.mapInPandas(summary, "part int, first string, last string, steps array<struct<size: int, after: string, n: bigint>>").collect()
     }
 
+    def beyond(shape: str, part: int) -> int:
+        """Highest count of the shapes in later partitions that continue this one."""
+        best = 0
+        for later in sorted(p for p in borders if p > part):
+            first, last, steps = borders[later]
+            if not first.startswith(shape):
+                break
+            for size, after, n in steps:
+                if size > len(shape) and _continues(first, shape) or size == len(shape) and _continues(shape + after, shape):
+                    best = max(best, n)
+            if not last.startswith(shape):
+                break
+        return best
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        rows = [r for b in batches for r in zip(b["shape"], b["n"])]
-        later = [p for p in heads if p > part]
-        after = [heads[min(later)]] if later else []
-        found, reach = [], {}
-        sequence = rows + after
-        for i in range(len(sequence) - 1, -1, -1):
-            shape, n = sequence[i]
-            best, j = 0, i + 1
-            while j < len(sequence) and sequence[j][0].startswith(shape + " "):
-                best = max(best, sequence[j][1], reach[j][0])
-                j = reach[j][1]
-            reach[i] = (best, max(j, i + 1))
-            if best >= ratio * n and i < len(rows):
-                found.append(shape)
-        yield pd.DataFrame({"shape": pd.Series(found, dtype=object)})
-
-    return ordered.mapInPandas(scan, "shape string")
+        open_: list[list] = []  # [shape, n, best], each the beginning of the next
+        done: list[list] = []
+        for batch in batches:
+            for shape, n in zip(batch["shape"], batch["n"]):
+                while open_ and not shape.startswith(open_[-1][0]):
+                    done.append(open_.pop())
+                for x in open_:
+                    if _continues(shape, x[0]):
+                        x[2] = max(x[2], n)
+                open_.append([shape, n, 0])
+            done = [x for x in done if x[2]]
+            if done:
+                yield pd.DataFrame(done, columns=["shape", "n", "best"])
+            done = []
+        for x in open_:
+            x[2] = max(x[2], beyond(x[0], part))
+        rest = [x for x in open_ if x[2]]
+        if rest:
+            yield pd.DataFrame(rest, columns=["shape", "n", "best"])
+
+    return ordered.mapInPandas(scan, "shape string, n bigint, best bigint")
+
+
+def shortened_shapes(shapes: DataFrame, ratio: float = RATIO) -> DataFrame:
+    """Input (shape, n), shapes unique; output (shape): those that a far more
+    frequent shape continues."""
+    return continued_shapes(shapes).where(F.col("best") >= ratio * F.col("n")).select("shape")
 
 
 def length_spikes(judged: DataFrame, width: int = 4, factor: float = 6.0, least: int = 12) -> DataFrame:
@@ -369,13 +429,15 @@ def defective_pairs(predictions: DataFrame, cases: DataFrame) -> DataFrame:
         rows.select("prediction_id", "run_id", "question", "prediction").mapInPandas(_judge_batches, _JUDGED)
     )
     shapes = judged.where("ending = 'shape'").groupBy("shape").agg(F.count("*").alias("n"))
-    shortened = shortened_shapes(shapes).withColumn("is_short", F.lit(True))
+    # A far more frequent continuation settles it; any continuation does at a length limit.
+    continued = continued_shapes(shapes).select("shape", (F.col("best") >= RATIO * F.col("n")).alias("is_short"))
     spikes = length_spikes(judged.where("defect is null or defect <> 'empty'")).withColumn("at_limit", F.lit(True))
     settled = judged.where("ending not in ('shape', 'unsure')")
     by_shape = (
         judged.where("ending = 'shape'")
-        .join(shortened, "shape", "left")
-        .withColumn("ending", F.when(F.col("is_short"), "open").otherwise("done"))
+        .join(continued, "shape", "left")
+        .join(spikes, ["run_id", "length"], "left")
+        .withColumn("ending", F.when(F.col("is_short") | (F.col("is_short").isNotNull() & F.col("at_limit")), "open").otherwise("done"))
         .select("prediction_id", "defect", "ending")
     )
     by_length = (

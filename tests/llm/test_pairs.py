@@ -1,6 +1,6 @@
 import pytest
 
-from chainloom.llm.pairs import defective_pairs, is_copy, judge, language_of, length_spikes, shortened_shapes, statement_shape
+from chainloom.llm.pairs import continued_shapes, defective_pairs, is_copy, judge, language_of, length_spikes, shortened_shapes, statement_shape
 
 QUESTION = "Show the 10 largest transactions worth 5 ETH or more from 2026-01-01 until 2026-01-20."
 SQL = "SELECT transaction_hash AS tx FROM `a.b.facts`(DATE '2026-01-01', DATE '2026-01-20') WHERE value_wei >= 5 ORDER BY value_wei DESC, tx ASC LIMIT 10"
@@ -71,6 +71,38 @@ def test_shortened_shapes_are_found_over_partition_borders(spark):
     assert {r["shape"] for r in out.collect()} == {"select a from t where b = S", "select a from t where b = S order by a0"}
 
 
+@pytest.mark.parametrize("parts", [1, 2, 3, 7])
+def test_continuations_do_not_depend_on_partitions(spark, parts):
+    stem = "select x from t where b = S"
+    rows = [(stem, 3), (stem + " and c = N", 1), (stem + " and c = N limit N", 2), (stem + " order by x limit N", 500), ("select x from tab where b = S", 40)]
+    rows += [("select x from t", 2), ("select x from t where b = S group by a1", 1), ("select x from t where b = S group by a10", 90), ("select y from u", 9)]
+    want = {}
+    for a, n in rows:
+        on = [m for b, m in rows if b != a and b.startswith(a) and (b[len(a)] == " " or not a.endswith((" S", " N", " a1")))]
+        if on:
+            want[a] = (n, max(on))
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = {r["shape"]: (r["n"], r["best"]) for r in continued_shapes(spark.createDataFrame(rows, "shape string, n bigint")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert out == want and out["select x from t"] == (2, 500)
+
+
+def test_cuts_inside_words_and_hot_cuts_at_a_limit(spark):
+    full = "SELECT hash AS item FROM facts WHERE value >= 5 ORDER BY block_number DESC, item ASC LIMIT {}"
+    texts = [full.format(i) for i in range(10, 40)]
+    word, name = texts[0][: texts[0].index("_number")], texts[0][: texts[0].index("em ASC")]
+    hot = texts[0][: texts[0].index(" DESC")]  # far over a fifth of the full ones
+    answers = texts + [word, name] + [hot] * 20
+    rows = [(i, "r", f"c{i}", t) for i, t in enumerate(answers)]
+    cases = spark.createDataFrame([(f"c{i}", "Show the largest items.") for i in range(len(rows))], "case_id string, question string")
+    got = {r["prediction_id"]: r["defect"] for r in defective_pairs(spark.createDataFrame(rows, "prediction_id bigint, run_id string, case_id string, prediction string"), cases).collect()}
+    assert got == {i: "truncated" for i in range(len(texts), len(rows))}
+
+
 def test_spikes(spark):
     rows = [("r", 200 + i % 40) for i in range(200)] + [("r", 220)] * 90 + [("other", 220)] * 3
     found = length_spikes(spark.createDataFrame(rows, "run_id string, length int")).collect()
