@@ -18,7 +18,7 @@ and output names are abstracted, values are kept.
 
 Copies collapse before anything is joined and are expanded only in the result.
 The only broadcast is the set of common words: words that occur in at least one
-of 1000 texts, hence at most 1000 times the words of a mean text.
+of 1000 distinct texts, hence at most 1000 times the words of a mean text.
 
 Defined results: null and empty texts and queries match nothing; texts of any
 length are used whole; extra columns are left aside.
@@ -42,8 +42,10 @@ from chainloom.sources.checkpoints import stored
 
 #: Edits allowed between canonical bodies.
 EDITS = 4
-#: A word of at least this share of the texts is common.
+#: A word of at least this share of the distinct texts is common.
 COMMON = 0.001
+#: A word of so many letters is a slip where a word one slip away is so many times as frequent.
+SLIP_LENGTH, SLIP_RATIO = 5, 10
 
 # Phrases that frame a question (lower case, no accents).
 FRAMES = (
@@ -262,12 +264,36 @@ def near_classes(train: DataFrame, evals: DataFrame, common: frozenset[str], k:
     return exact.select("train_id", "eval_id").unionByName(near)
 
 
-def common_words(bodies: DataFrame, share: float = COMMON) -> frozenset[str]:
-    """Words of at least ``share`` of the texts; at most (words of a mean text) / share."""
-    total = bodies.count()
-    words = bodies.select(F.explode(F.array_distinct(F.split("body", " "))).alias("word"))
-    found = words.groupBy("word").count().where(F.col("count") >= max(2.0, share * total)).where("word not like '$%' and word <> '#'")
-    return frozenset(r["word"] for r in found.select("word").collect())
+def slips(counts: dict[str, int]) -> set[str]:
+    """Words that are one slip away from a far more frequent word.  Shorter words
+    are left out: one slip there often makes another ordinary word."""
+    forms: dict[str, list[str]] = {}
+    for word in counts:
+        if len(word) >= SLIP_LENGTH - 1:
+            for form in {word, *_edits(word)}:
+                forms.setdefault(form, []).append(word)
+    found = set()
+    for word, n in counts.items():
+        if len(word) >= SLIP_LENGTH:
+            near = {w for form in {word, *_edits(word)} for w in forms.get(form, ()) if counts[w] >= SLIP_RATIO * n}
+            if any(banded_distance(word, w, 1) <= 1 or (sorted(word) == sorted(w) and sum(x != y for x, y in zip(word, w)) == 2) for w in near):
+                found.add(word)
+    return found
+
+
+def common_words(strings: DataFrame, share: float = COMMON) -> frozenset[str]:
+    """Input distinct (signature, body); words of at least ``share`` of them and
+    of two bodies, but no slips; at most (words of a mean text) / share.
+
+    Copies of a text count once and one body never makes a word common, whatever
+    its values, so a mistyped text may be repeated at will.
+    """
+    total = strings.count()
+    words = strings.select("body", F.explode(F.array_distinct(F.split("body", " "))).alias("word")).where("word not like '$%' and word <> '#'")
+    bodies = words.groupBy("word", "body").agg(F.count("*").alias("n")).groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("bodies"))
+    found = bodies.where(F.col("n") >= share * total).collect()
+    wrong = slips({r["word"]: r["n"] for r in found})
+    return frozenset(r["word"] for r in found if r["bodies"] >= 2 and r["word"] not in wrong)
 
 
 def evaluation_texts(cases: DataFrame, held_out: DataFrame) -> DataFrame:
@@ -292,7 +318,7 @@ def overlap_pairs(cases: DataFrame, held_out: DataFrame, k: int = EDITS) -> Data
         canon.groupBy("signature", "body").agg(F.max(F.col("side") == "train").alias("in_train"), F.max(F.col("side") == "eval").alias("in_eval"))
         .withColumn("id", F.monotonically_increasing_id())
     )
-    classes = near_classes(strings.where("in_train").select("id", "signature", "body"), strings.where("in_eval").select("id", "signature", "body"), common_words(canon), k)
+    classes = near_classes(strings.where("in_train").select("id", "signature", "body"), strings.where("in_eval").select("id", "signature", "body"), common_words(strings.select("signature", "body")), k)
     members = canon.join(strings.select("id", "signature", "body"), ["signature", "body"]).select("key", "side", "id")
     by_text = (
         classes.join(members.where("side = 'train'").select(F.col("id").alias("train_id"), F.col("key").alias("train_key")), "train_id")

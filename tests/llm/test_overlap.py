@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from chainloom.llm.overlap import banded_distance, canonical_question, canonical_statement, overlap_found, overlap_report, same_question, segments, windows
+from chainloom.llm.overlap import banded_distance, canonical_question, canonical_statement, common_words, overlap_found, overlap_report, same_question, segments, windows
 
 CASES = "case_id string, question string, gold_sql string, split string, source string"
 HELD = "name string, questions array<string>"
@@ -63,6 +63,21 @@ def test_common_words_are_no_typos():
     assert not same_question("list # successful transactions", "list # unsuccessful transactions", frozenset(["successful", "unsuccessful"]))
 
 
+@pytest.mark.parametrize("copies", [1, 2, 400])
+def test_repeated_typos_are_found_all_the_same(spark, copies):
+    cases = [(f"t{i}", "Which tarnsactions moved 5 ETH?", None, "train", "s") for i in range(copies)] + [("e", "Which transactions moved 5 ETH?", None, "test", "s")]
+    cases += [(f"x{i}", f"Which transactions did account {'abcdefghij'[i]} send?", None, "train", "s") for i in range(10)]
+    found = overlap_found(spark.createDataFrame(cases, CASES), spark.createDataFrame([], HELD))
+    assert {tuple(r) for r in found.collect()} == {("e", f"t{i}") for i in range(copies)}
+
+
+def test_common_words_are_no_slips_and_no_single_bodies(spark):
+    rows = [(str(i), "list # transactions") for i in range(60)] + [(str(i), "show # transactions") for i in range(60)]
+    rows += [(str(i), f"{verb} # tarnsactions") for i in range(3) for verb in ("list", "show")] + [(str(i), "count # acounts") for i in range(60)]
+    found = common_words(spark.createDataFrame(rows, "signature string, body string"))
+    assert found == {"list", "show", "transactions"}
+
+
 def test_statements():
     a = canonical_statement("SELECT x AS p FROM `d.t`(DATE '2026-01-01') WHERE y = 5 ORDER BY p;")
     assert a == canonical_statement("select x as out_1\n from d.t(date '2026-01-01') where y=5 order by out_1")
