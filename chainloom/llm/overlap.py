@@ -6,12 +6,13 @@ list of interchangeable wordings unified.  Values (addresses, dates, numbers)
 leave the body as ``#`` and form the *signature*, which has to be equal: another
 value makes another question.  Words written in capitals (symbols) stay strict.
 
-Distinct (signature, body) strings are then joined by edit distance.  An
-evaluation string is cut into k+1 segments; within k edits at least one segment
+Distinct (signature, body) strings are then joined by edit distance; the k edits
+allowed grow with an evaluation string's length.  It is cut into k+1 segments; within k edits at least one segment
 survives in a training string, and only at few positions (the multi-match-aware
 windows), so both sides meet on (signature, length, segment number, segment).
 Candidates are verified by banded dynamic programming and word by word: a changed
-word must be a typo, not another common word or symbol.
+word must be a typo, not another common word or symbol, and only filler words may
+be put in or left out.  Another wording that no list unifies isn't found by text.
 
 Queries (gold_sql) meet on a canonical statement: layout, letter case, quoting
 and output names are abstracted, values are kept.
@@ -40,8 +41,8 @@ from chainloom.llm.glyphs import consistent
 from chainloom.llm.pairs import _KEYWORDS, _SQL_TOKEN, bare
 from chainloom.sources.checkpoints import stored
 
-#: Edits allowed between canonical bodies.
-EDITS = 4
+#: Edits allowed between canonical bodies: so many, in longer ones one for so many characters.
+EDITS, EDIT_SPAN = 4, 12
 #: A word of at least this share of the distinct texts is common.
 COMMON = 0.001
 #: A word of so many letters is a slip where a word one slip away is so many times as frequent.
@@ -72,10 +73,23 @@ _PHRASE_WORDS = frozenset(w for x in (*FRAMES, *CLOSINGS, *(a for a, _ in SAME_W
 _KNOWN = frozenset(w for x in (*FRAMES, *CLOSINGS, *(y for pair in SAME_WORDING for y in pair)) for w in x.split()) | frozenset(
     "least last late test reports quickly sort shot shirt than think thank pleased".split()
 )
-_FILLERS = frozenset("please thanks the a an of hi q".split())
+_FILLERS = frozenset("please thanks the a an of hi q me us our just also simply kindly now".split())
 _PIECE = re.compile(r"0x[0-9a-fA-F]+|\d{4}-\d\d?-\d\d?|\d\d?/\d\d?/\d{4}|\d[\d.,]*\d|\d|[^\W\d_]+(?:'[^\W\d_]+)?|[Ξ$€%]")
 
 
+def allowed(length: int, k: int = EDITS) -> int:
+    """Edits allowed for an evaluation body of a length; at least ``k``."""
+    return max(k, length // EDIT_SPAN)
+
+
+def trained_lengths(own: int, k: int = EDITS) -> list[int]:
+    """Lengths of the evaluation bodies that a training body of a length can meet."""
+    most = allowed(own, k)
+    while allowed(own + most, k) > most:
+        most = allowed(own + most, k)
+    return [n for n in range(max(1, own - most), own + most + 1) if abs(n - own) <= allowed(n, k)]
+
+
 def _edits(word: str) -> set[str]:
     """Strings that one deletion makes of a word."""
     return {word[:i] + word[i + 1 :] for i in range(len(word))}
@@ -184,18 +198,22 @@ def is_typo(a: str, b: str, common: frozenset[str]) -> bool:
 
 
 def same_question(a: str, b: str, common: frozenset[str], k: int = EDITS) -> bool:
-    """Verification of two bodies with equal signatures."""
-    if banded_distance(a, b, k) > k:
+    """Verification of a training and an evaluation body with equal signatures:
+    within the edits allowed, every changed word a typo, only fillers put in."""
+    most = allowed(len(b), k)
+    if banded_distance(a, b, most) > most:
         return False
     left, right = a.split(), b.split()
     for op, i1, i2, j1, j2 in difflib.SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
         if op == "equal":
             continue
         x, y = left[i1:i2], right[j1:j2]
+        if len(x) != len(y) and "".join(x) != "".join(y):
+            x, y = ([w for w in part if w not in _FILLERS] for part in (x, y))
         if len(x) == len(y):
             if not all(p == q or is_typo(p, q, common) for p, q in zip(x, y)):
                 return False
-        elif "".join(x) != "".join(y) and not all(w in _FILLERS for w in x + y):
+        elif "".join(x) != "".join(y):
             return False
     return True
 
@@ -224,12 +242,12 @@ def _segment_keys(strings: DataFrame, side: str, k: int) -> DataFrame:
             for name, sig, body in zip(batch["id"], batch["signature"], batch["body"]):
                 own = len(body)
                 if side == "eval":
-                    keys = {f"{own}|{i}|{body[s : s + n]}" for i, (s, n) in enumerate(segments(own, k))}
+                    keys = {f"{own}|{i}|{body[s : s + n]}" for i, (s, n) in enumerate(segments(own, allowed(own, k)))}
                 else:
                     keys = {
                         f"{length}|{i}|{body[s : s + n]}"
-                        for length in range(max(1, own - k), own + k + 1)
-                        for i, s, n in windows(own, length, k)
+                        for length in trained_lengths(own, k)
+                        for i, s, n in windows(own, length, allowed(length, k))
                     }
                 rows += [(sig, key, name) for key in keys]
             yield pd.DataFrame(rows, columns=["signature", "segment", "id"])
@@ -240,7 +258,7 @@ def _segment_keys(strings: DataFrame, side: str, k: int) -> DataFrame:
 
 def near_classes(train: DataFrame, evals: DataFrame, common: frozenset[str], k: int = EDITS) -> DataFrame:
     """Inputs (id, signature, body), unique; output (train_id, eval_id): equal
-    signatures and bodies within k edits that ask the same."""
+    signatures and bodies within the edits allowed (at least k) that ask the same."""
     exact = train.select(F.col("id").alias("train_id"), "signature", "body").join(
         evals.select(F.col("id").alias("eval_id"), "signature", "body"), ["signature", "body"]
     )

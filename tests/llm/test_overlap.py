@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from chainloom.llm.overlap import banded_distance, canonical_question, canonical_statement, common_words, overlap_found, overlap_report, same_question, segments, windows
+from chainloom.llm.overlap import allowed, banded_distance, canonical_question, canonical_statement, common_words, overlap_found, overlap_report, same_question, segments, trained_lengths, windows
 
 CASES = "case_id string, question string, gold_sql string, split string, source string"
 HELD = "name string, questions array<string>"
@@ -78,6 +78,28 @@ def test_common_words_are_no_slips_and_no_single_bodies(spark):
     assert found == {"list", "show", "transactions"}
 
 
+def test_edits_grow_with_the_length_and_lose_no_pair():
+    rng = random.Random(5)
+    for size in (*range(15, 130, 7), 600):
+        a = "".join(rng.choice("abcd ") for _ in range(size))
+        for _ in range(20):
+            b = changed(rng, a, rng.randint(0, allowed(size))) or "a"
+            if plain_distance(a, b) <= allowed(len(b)) < len(b):
+                assert len(b) in trained_lengths(len(a))
+                keys = {(i, b[s : s + n]) for i, (s, n) in enumerate(segments(len(b), allowed(len(b))))}
+                assert any((i, a[s : s + n]) in keys for i, s, n in windows(len(a), len(b), allowed(len(b))))
+
+
+def test_five_typos_in_a_long_text_and_a_short_word_more(spark):
+    asked = "Show the five largest successful transactions between two labelled exchange accounts after block 77 by value."
+    typed = "Show the five lrgest succesful transctions betwen two labelled exchnge accounts after block 77 by value."
+    other = asked.replace("successful", "unsuccessful")
+    cases = [("t1", typed, None, "train", "s"), ("t2", asked.replace("Show", "Show me"), None, "train", "s"), ("t3", "Show me the five largst" + asked[21:], None, "train", "s"), ("t4", other + " Now", None, "train", "s")]
+    cases += [(f"x{i}", f"List {w} accounts {v}", None, "train", "s") for i, (w, v) in enumerate((w, v) for w in ("successful", "unsuccessful") for v in ("here", "there", "everywhere"))]
+    found = overlap_found(spark.createDataFrame(cases, CASES), spark.createDataFrame([("h", [asked])], HELD))
+    assert {tuple(r) for r in found.collect()} == {("h#0", "t1"), ("h#0", "t2"), ("h#0", "t3")}
+
+
 def test_statements():
     a = canonical_statement("SELECT x AS p FROM `d.t`(DATE '2026-01-01') WHERE y = 5 ORDER BY p;")
     assert a == canonical_statement("select x as out_1\n from d.t(date '2026-01-01') where y=5 order by out_1")
