@@ -35,6 +35,23 @@ def fold_accents(text: Column) -> Column:
     return F.translate(F.regexp_replace(text, "[\\u0300-\\u036f]", ""), _FROM, _TO)
 
 
+@F.pandas_udf(StringType())
+def _without_marks(texts: pd.Series) -> pd.Series:
+    def fold(text: str | None) -> str | None:
+        if text is None:
+            return None
+        apart = unicodedata.normalize("NFD", text.translate({0x111: "d", 0x110: "D"}))
+        return unicodedata.normalize("NFC", "".join(c for c in apart if unicodedata.category(c) != "Mn"))
+
+    return texts.map(fold)
+
+
+def fold_marks(text: Column) -> Column:
+    """Texts of any script without combining marks; ASCII texts stay in the JVM."""
+    plain = text.rlike(r"^[\x00-\x7f]*$")
+    return F.when(text.isNull() | plain, text).otherwise(_without_marks(F.when(~plain, text)))
+
+
 @F.pandas_udf(StringType())
 def _fold(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()))

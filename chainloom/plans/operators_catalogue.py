@@ -73,6 +73,15 @@ def o068_batch_lookup(spark, folder):
     return facts.join(keys, "transaction_hash", "left_semi").select("transaction_hash", "block_number", "value_wei")
 
 
+@_query("""select transaction_hash, block_number, value_wei from transaction_facts where transaction_hash in
+    (select lower(transaction_hash) from token_transfers)""")
+def o068_batch_lookup_transfers(spark, folder):
+    """The lookup with a whole batch: the hashes of all transfers."""
+    facts = ledger.transaction_facts(spark, folder, START, END)
+    keys = table(spark, folder, "token_transfers").select(F.lower("transaction_hash").alias("transaction_hash")).distinct()
+    return facts.join(keys, "transaction_hash", "left_semi").select("transaction_hash", "block_number", "value_wei")
+
+
 @_query("""with pairs as (select distinct least(from_address, to_address) as low, greatest(from_address, to_address) as high from transaction_facts where to_address is not null and value_wei > 0),
     ranked as (select low || '/' || high as group_id, transaction_hash, value_wei, row_number() over (partition by low, high order by block_timestamp desc, transaction_hash desc) as place
       from transaction_facts join pairs on least(from_address, to_address) = low and greatest(from_address, to_address) = high where to_address is not null)
@@ -93,6 +102,13 @@ def o147_accent_fold(spark, folder):
     return plain.select("case_id", text.fold_accents(F.col("question")).alias("folded"))
 
 
+@_query()
+def o147_accent_fold_all(spark, folder):
+    """Texts of every script; the other engine keeps marks that it doesn't know."""
+    cases = table(spark, folder, "evaluation_cases").where("question is not null")
+    return cases.select("case_id", text.fold_marks(F.col("question")).alias("folded"))
+
+
 @_query()
 def o146_folded_text(spark, folder):
     return table(spark, folder, "evaluation_cases").select("case_id", text.fold_text(F.col("question")).alias("folded"))
@@ -156,6 +172,13 @@ def o192_lexical_score(spark, folder):
     return linking.link_schema(rows.select(F.col("prediction_id").alias("key"), F.col("prediction").alias("question")))
 
 
+@_query()
+def o192_lexical_score_all(spark, folder):
+    """Predictions of every script; the other engine folds and splits some differently."""
+    rows = table(spark, folder, "evaluation_predictions")
+    return linking.link_schema(rows.select(F.col("prediction_id").alias("key"), F.col("prediction").alias("question")))
+
+
 @_query("""with named as (select distinct doc_id as key, unnest(regexp_extract_all(lower(text), '(0x[0-9a-f]{40})', 1)) as address from documents where text is not null)
     select key, n.address as address, owner from named n join entity_labels l on n.address = l.address""")
 def o198_address_mentions(spark, folder):

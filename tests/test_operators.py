@@ -154,6 +154,31 @@ def test_mentions(spark):
     assert linking.link_schema(spark.createDataFrame([(1, None), (2, "")], "key int, question string")).count() == 0
 
 
+def test_queries_over_whole_tables_against_brute_force(spark, tmp_path):
+    import re
+    import unicodedata
+
+    from chainloom.plans import catalogue
+
+    texts = ["Tổng Đơn", "счёт й", "取引 transfer", "e\u0301 token", "ǽ", "한글", "plain transaction value", "", None, "İstanbul từ ngày transactions from"]
+    spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(texts)], "case_id string, question string").write.parquet(f"{tmp_path}/evaluation_cases.parquet")
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "prediction_id bigint, prediction string").write.parquet(f"{tmp_path}/evaluation_predictions.parquet")
+    bare = lambda t: unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", t.replace("đ", "d").replace("Đ", "D")) if unicodedata.category(c) != "Mn"))
+    got = rows(catalogue.queries()["o147_accent_fold_all"](spark, str(tmp_path)))
+    assert sorted(got) == sorted((f"c{i}", bare(t)) for i, t in enumerate(texts) if t is not None)
+    want = []
+    for i, t in enumerate(texts):
+        tokens = set(re.findall("[0-9a-z]+", bare(t).lower())) if t else set()
+        scored = []
+        for name, terms in linking.SCHEMA_DOCUMENTS.items():
+            hits = len(tokens & set(terms.split()))
+            timed = 0.05 if ("facts" in name or "labeled" in name) and tokens & set(linking.TIME_WORDS) else 0.0
+            if hits:
+                scored.append((-round(hits / len(tokens) + timed, 9), name))
+        want += [(i, name, -score, place) for place, (score, name) in enumerate(sorted(scored)[:3], 1)]
+    assert sorted(rows(catalogue.queries()["o192_lexical_score_all"](spark, str(tmp_path)))) == sorted(want)
+
+
 @pytest.mark.parametrize("least", [0.85, 0.7])
 def test_fuzzy_mentions_against_brute_force(spark, least):
     rng = random.Random(7)
