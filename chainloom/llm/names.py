@@ -77,6 +77,8 @@ _LETTERS = re.compile(r"[a-z]+")
 COMMON_SHARE = 1 / 500
 #: Shortest core of an organisation and of a person.
 ORG_CORE, PERSON_CORE = 7, 4
+#: Begins the cores of records that have shorter ones only; they link to equal ones.
+SHORT, SHORT_ALONE = "=", 4
 
 
 def _flat(text: str) -> str:
@@ -242,7 +244,7 @@ class Parser:
         # A shorter form that begins like a longer one stands for it.
         strong = {w: n for w, n in strong.items() if not any(v != w and len(v) > len(w) + 1 and v[:4] == w[:4] for v in strong)}
         if not strong:
-            return None
+            return self._short(names, firsts, letters, kinds, extras, person)
         main = max(strong, key=lambda w: (strong[w], len(w), w))
         same = sorted(w for w in strong if w == main or damerau(w, main) <= 3 or main.endswith(w[1:]) or w.endswith(main))
         top = lambda c: max(c, key=lambda k: (c[k], k)) if c else ""
@@ -258,6 +260,25 @@ class Parser:
         }
 
 
+    def _short(self, names: list[list[str]], firsts: Counter, letters: Counter, kinds: Counter, extras: Counter, person: bool) -> dict | None:
+        """Profile of a record that has short cores only: they are linked as they
+        are, several words in any order, a single one of few letters only with a first
+        name, type or adjective.  Labels name roles too, so only the owner and aliases count."""
+        top = lambda c: max(c, key=lambda k: (c[k], k)) if c else ""
+        spelled = [[w for w in words if len(w) > 1 and self.resolve(w)[0] == "word"] for words in (names[0], *names[2:])]
+        short = next((sorted(set(words)) for words in spelled if words), [])
+        initial = top(Counter({k[1]: n for k, n in letters.items() if k[0] == "f"}))
+        fact = top(firsts) or initial if person else top(kinds) or top(extras)
+        if not short or (len(short) == 1 and (short[0].endswith("io") or not (fact or len(short[0]) >= SHORT_ALONE))):
+            return None
+        core = SHORT + " ".join(short)
+        return {
+            "core": core, "cores": [core], "first": top(firsts) if person else "", "initial": (top(firsts)[:1] or initial) if person else "",
+            "middle": top(Counter({k[1]: n for k, n in letters.items() if k[0] == "m"})) if person else "",
+            "type": "" if person else top(kinds), "extra": "" if person else top(extras), "person": person,
+        }
+
+
 def common_words(records: DataFrame, share: float = COMMON_SHARE) -> frozenset[str]:
     """Words with many different partners; at most 2 / share of them."""
 
@@ -336,13 +357,15 @@ def core_clusters(profiles: DataFrame) -> DataFrame:
         )
     )
     side = lambda x: known.select(F.col("core").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("support", "firsts", "initials", "types", "extras")])
-    near = radius_join(known.select("core")).join(side("a"), "a").join(side("b"), "b")
+    near = radius_join(known.select("core").where(~F.col("core").startswith(SHORT))).join(side("a"), "a").join(side("b"), "b")
     shares = lambda c: F.arrays_overlap(f"a_{c}", f"b_{c}")
     open_ = lambda c: (F.size(f"a_{c}") == 0) | (F.size(f"b_{c}") == 0)
     agrees = (open_("firsts") | shares("firsts")) & (open_("initials") | shares("initials")) & (open_("types") | shares("types")) & (open_("extras") | shares("extras"))
     apart = ~(((F.size("a_firsts") > 0) & (F.size("b_types") > 0)) | ((F.size("a_types") > 0) & (F.size("b_firsts") > 0)))
     rare = F.least("a_support", "b_support") <= F.greatest(F.lit(2), F.greatest("a_support", "b_support") * 0.34)
-    links = near.where(agrees & apart & rare).select("a", "b")
+    # Facts that agree settle it whatever the support; without them one of both has to be rare.
+    same = shares("firsts") | (shares("types") & shares("extras"))
+    links = near.where(agrees & apart & (same | rare)).select("a", "b")
     together = profiles.select(F.col("core").alias("a"), F.explode("cores").alias("b")).distinct()
     return connected_components(links.unionByName(together), "a", "b").withColumnRenamed("node", "core").withColumnRenamed("component", "cluster")
 

@@ -44,5 +44,18 @@ def test_links(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("times", [1, 10])
+def test_frequent_typos_are_linked_where_the_profile_agrees(spark, times):
+    spelled = ["Daniel Vinuhosik"] * 6 * times + ["Daniel Vinuhosikk"] * 4 * times + ["Victoria Vinuhosig"] * 4 * times
+    rows = [(f"0x{i:03}", name, None, None) for i, name in enumerate(spelled)]
+    got = {tuple(r) for r in linked_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(a, b) for a, x, *_ in rows for b, y, *_ in rows if a < b and {x, y} == {"Daniel Vinuhosik", "Daniel Vinuhosikk"}}
+
+
+def test_short_cores_link_to_equal_ones(spark):
+    rows = [("1", "Acme Ltd", None, None), ("2", "ACME Limited", None, None), ("3", "Acmi Ltd", None, None), ("4", "Kix Lep", None, None), ("5", "Lep, Kix", None, None), ("6", "Ax", None, None), ("7", "Ax Ltd", None, None)]
+    assert {tuple(r) for r in linked_pairs(spark.createDataFrame(rows, SCHEMA)).collect()} == {("1", "2"), ("4", "5")}
+
+
 def test_no_rows(spark):
     assert linked_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
