@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,29 +117,22 @@ def exact_mcnemar(b: int, c: int) -> float:
     return min(1.0, 2 * math.fsum(math.exp(x) for x in logs))
 
 
-def bootstrap_ratio(matches: DataFrame, replicates: int = 1000, seed: int = 42) -> DataFrame:
+def bootstrap_ratio(matches: DataFrame, replicates: int = 10_000, seed: int = 42) -> DataFrame:
     """One row (n, ratio, low, high): 95 % interval of the share of matches.
 
-    A Poisson bootstrap: every case weighs as often as a Poisson(1) draw of a hash
-    of (seed, replicate, case) says.  A replicate needs two sums, so tasks send
-    ``replicates`` partial sums, whatever the number of cases.
+    The hits of n cases drawn with replacement are Binomial(n, hits / n), so each
+    replicate is one draw, seeded by (seed, replicate), from two counts.
     """
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("replicate"), F.col("prediction_id")), F.lit(1_000_000)) / 1_000_000
-    bounds, total = [], 0.0
-    for i in range(12):
-        total += math.exp(-1) / math.factorial(i)
-        bounds.append(total)
-    weight = F.lit(0)
-    for b in bounds:
-        weight = weight + F.when(draw >= b, 1).otherwise(0)
-    # replicate 0 is the data itself: every case weighs 1
-    drawn = matches.select("prediction_id", F.col("matched").cast("int").alias("hit"), F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("replicate"))
-    weighed = drawn.select("replicate", "hit", F.when(F.col("replicate") == 0, 1).otherwise(weight).alias("w"))
-    ratios = weighed.groupBy("replicate").agg((F.sum(F.col("hit") * F.col("w")) / F.sum("w")).alias("r"), F.sum("w").alias("n"))
-    drawn_ratio, own = F.when(F.col("replicate") > 0, F.col("r")), F.col("replicate") == 0
-    return ratios.agg(
-        F.max(F.when(own, F.col("n"))).alias("n"), F.max(F.when(own, F.col("r"))).alias("ratio"), F.percentile(drawn_ratio, 0.025).alias("low"), F.percentile(drawn_ratio, 0.975).alias("high")
-    )
+
+    @F.pandas_udf("double")
+    def draw(replicate: pd.Series, n: pd.Series, hits: pd.Series) -> pd.Series:
+        drawn = [np.random.default_rng([seed, r]).binomial(size, h / size) / size if size else None for r, size, h in zip(replicate, n, hits)]
+        return pd.Series(drawn, dtype="float64")
+
+    counts = matches.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("matched").cast("int")), F.lit(0)).alias("hits")).where("n > 0")
+    numbers = matches.sparkSession.range(1, replicates + 1).select(F.col("id").alias("replicate"))
+    ratios = numbers.crossJoin(counts).withColumn("r", draw("replicate", "n", "hits"))
+    return ratios.agg(F.max("n").alias("n"), F.max(F.col("hits") / F.col("n")).alias("ratio"), F.percentile("r", 0.025).alias("low"), F.percentile("r", 0.975).alias("high"))
 
 
 def failure_classes(predictions: DataFrame, cases: DataFrame) -> DataFrame:

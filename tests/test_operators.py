@@ -117,6 +117,18 @@ def test_bootstrap_interval(spark):
     assert r["n"] == 2000 and r["low"] < 0.25 < r["high"] and r["high"] - r["low"] < 0.06
 
 
+def test_bootstrap_has_ten_thousand_replicates(spark):
+    import inspect
+
+    assert inspect.signature(evaluation.bootstrap_ratio).parameters["replicates"].default == 10_000
+    frame = spark.range(400).select(F.col("id").alias("prediction_id"), (F.col("id") % 4 == 0).alias("matched"))
+    r = evaluation.bootstrap_ratio(frame).first()
+    exact = [0.2075, 0.2925]  # quantiles of Binomial(400, 1/4) / 400
+    assert abs(r["low"] - exact[0]) <= 0.0025 and abs(r["high"] - exact[1]) <= 0.0025
+    assert evaluation.bootstrap_ratio(frame.repartition(3)).first() == r
+    assert tuple(evaluation.bootstrap_ratio(frame.limit(0)).first()) == (None, None, None, None)
+
+
 def test_pairs_in_both_directions(spark):
     at = lambda d: dt.datetime(2026, 6, d)
     facts = spark.createDataFrame(
