@@ -66,10 +66,13 @@ def address_mentions(texts: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(labels.select("address", "owner"), "address").select("key", "address", "owner")
 
 
-def phrase_mentions(texts: DataFrame, phrases: DataFrame, longest: int = 4) -> DataFrame:
+def phrase_mentions(texts: DataFrame, phrases: DataFrame, longest: int | None = None) -> DataFrame:
     """Input (key, text) and (phrase, owner); output (key, phrase, owner) of exact
-    phrase matches on word borders.  The runs of a text are exploded once and
-    joined on the phrase; runs of few letters cannot match and are left out."""
+    phrase matches on word borders.  The runs of a text, as long as the longest
+    phrase unless stated, are exploded once and joined on the phrase; runs of few
+    letters cannot match and are left out."""
+    if longest is None:
+        longest = max(5, phrases.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 0)
     tokens = words(fold_accents(F.col("text")))
     runs = F.flatten(
         F.transform(

@@ -166,6 +166,15 @@ def test_mentions(spark):
     assert linking.link_schema(spark.createDataFrame([(1, None), (2, "")], "key int, question string")).count() == 0
 
 
+def test_phrases_of_any_length_are_mentioned(spark):
+    name = "the long acme markets holding company of europe"
+    phrases = spark.createDataFrame([(name, "A"), ("acme markets", "B")], "phrase string, owner string")
+    texts = spark.createDataFrame([(1, f"who paid {name.title()}?"), (2, "Acme Markets"), (3, name[:-7])], "key int, text string")
+    found = linking.longest_mentions(linking.phrase_mentions(texts, phrases))
+    assert sorted(rows(found.select("key", "owner"))) == [(1, "A"), (2, "B"), (3, "B")]
+    assert linking.phrase_mentions(texts, phrases.limit(0)).count() == 0
+
+
 def test_queries_over_whole_tables_against_brute_force(spark, tmp_path):
     import re
     import unicodedata
