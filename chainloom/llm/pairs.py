@@ -8,20 +8,26 @@
 ``truncated``        stops inside its statement or sentence
 ``wrong_language``   its sentences are in another language than the question
 
-Rules that need one row only (placeholders, refusals, copies, language, open
-quotes and brackets) run in one Arrow pass.  Shortened statements that still
-parse are found among the neighbours: every response's last statement is
-reduced to its shape (literals and output names abstracted), the shapes are
-counted and sorted by text, and each shape is compared with all that begin with
-it, over partition borders too.  A shape that is a proper prefix of a far more
-frequent one is a shortened version.  Length-limit spikes (lengths far more
-common than their neighbours within a run) then mark responses that stop at the
-limit without an ending, or with a shape that any other shape continues.
+Each response is cut into units, its sentences and statements, and every unit is
+reduced to a form (literals, values and output names abstracted).  The distinct
+forms are counted and sorted by text; in that order all that begins with a form
+follows it, over partition borders too, so each form is compared with its
+neighbours' common prefixes.  A response is ``truncated`` where
+
+* its last unit has no ending and other responses go on where it stops,
+* its last unit parses, but a far more frequent unit continues it,
+* it has no ending (or any unit continues it) and its length is a length-limit
+  spike: a length far more common in its run than the lengths around it,
+* nothing else begins like it, and a quote or bracket is open or its last word
+  can't end a statement.
+
+Copy, refusal and language rules follow, and placeholders; they need one row only.
 
 Defined results: a null response is ``empty`` whatever its question; a response
 whose question is unknown (null, unmatched or empty) can be ``empty``,
 ``refusal`` or ``truncated`` only; equal rows give equal defects; each response
-has at most one defect, in the order of the list above.
+has at most one defect, in the order of the list above.  A missing full stop alone
+is no truncation, and "None." as a sentence is an answer, a bare ``None`` is not.
 """
 
 from __future__ import annotations
@@ -29,6 +35,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,14 +44,15 @@ from pyspark.sql import functions as F
 from chainloom.llm.glyphs import consistent
 from chainloom.sources.checkpoints import cut_lineage
 
-# What people and programs write where nothing is.
+# What programs write where nothing is, and what people do.
 PLACEHOLDERS = frozenset(
-    "none null nil nan na n/a undefined empty nothing blank void no output no answer no response no result no query "
-    "tbd todo not available không có không khong co khong trống trong rỗng chưa có chua co vide vacío ninguno nada "
-    "leer keine nichts kosong tidak ada 无 没有 空 нет пусто".split()
-) | frozenset(
-    ["no output", "no answer", "no response", "no result", "no query", "not available", "không có", "khong co",
-     "chưa có", "chua co", "tidak ada", "empty response", "no content", "không có gì", "khong co gi", "no data"]
+    ["null", "nil", "nan", "na", "n/a", "undefined", "void", "tbd", "todo", "not available", "no output", "no answer", "no response",
+     "no content", "no data", "empty response", "không có gì", "khong co gi", "chưa có", "chua co", "trong rỗng"]
+)
+# Words that hold a place alone, but answer a question as a sentence.
+NOTHING = frozenset(
+    ["none", "nothing", "empty", "blank", "không có", "khong co", "trống", "vide", "vacío", "ninguno", "nada", "leer", "keine", "nichts",
+     "kosong", "tidak ada", "无", "没有", "空", "нет", "пусто"]
 )
 
 # Phrases by which an answer is declined (accents removed, lower case).
@@ -167,9 +175,24 @@ _DANGLING = frozenset(
     "select from where group by order limit and or not in is as date numeric if case when then else between having join on left inner "
     "union all with like , = < > <= >= <> != + - * / ( . distinct cast".split()
 )
-_ABSTRACTED = re.compile(r"(?:^| )(?:S|N|a\d+)$")
+_ABSTRACTED = re.compile(r"(?:^| )(?:S|N|a\d+|#)$")
 _ENDED = re.compile(r"[.?!。！？…:;)\]\"'”’»`\d]\s*$")
 _SENTENCE_END = re.compile(r"[.?!。！？…]['\"”’»)\]]*\s*$")
+_SENTENCES = re.compile(r"(?<=[.?!。！？…])['\"”’»)\]]*\s+|\s*\n\s*")
+_VALUE = re.compile(r"0x[0-9a-f]*|\d[\d.,:/-]*")
+#: What may follow a whole text without making it a shortened one.
+_STOPS = frozenset(".?!。！？…")
+
+
+@lru_cache(maxsize=50_000)
+def sentence_form(sentence: str) -> str:
+    """A sentence in lower case without accents, values as ``#``; a comma or colon
+    where the text stops is left out."""
+    return " ".join(_VALUE.sub("#", bare(sentence)).split()).rstrip(" ,;:-–—")
+
+
+def sentence_forms(text: str) -> list[str]:
+    return [form for form in map(sentence_form, _SENTENCES.split(text)) if form]
 
 
 def split_response(text: str) -> tuple[str, str, str]:
@@ -211,14 +234,22 @@ def comparable(text: str) -> str:
     return "".join(_WORDS.findall(bare(text))).replace("'", "")
 
 
+#: A question of fewer letters is copied by itself only, framed or not.
+SHORT_QUESTION = 8
+
+
 def is_copy(question: str, response: str) -> bool:
     """Nothing but the question: framed, quoted, repeated, retyped or shouted."""
     unframed = lambda text: _UNFRAME.sub("", _FRAME.sub("", text))
-    wants = {w for w in (comparable(question), comparable(unframed(question))) if len(w) >= 8}
+    wants = {w for w in (comparable(question), comparable(unframed(question))) if w}
     gots = {g for g in (comparable(response), comparable(unframed(response))) if g}
     values = [comparable(x) for x in _ADDRESSLIKE.findall(bare(question))]
     for want in wants:
         for got in gots:
+            if got == want:
+                return True
+            if len(want) < SHORT_QUESTION:
+                continue  # so little may stand in any answer
             if len(got) % len(want) == 0 and got == want * (len(got) // len(want)):
                 return True
             # Framing words around the copy: it holds the question and no further value.
@@ -232,63 +263,68 @@ def is_copy(question: str, response: str) -> bool:
     return False
 
 
-def judge(question: str | None, response: str | None) -> tuple[str | None, str, str, int]:
-    """(defect by row rules, shape of the last statement, ending, length).
+def judge(question: str | None, response: str | None) -> tuple[str | None, list[str], str, int]:
+    """(defect by row rules, forms of the units, ending, length).
 
-    ``ending``: ``open`` stops inside a quote, bracket, clause or sentence;
-    ``shape`` the statement parses and ends the text, its shape decides;
-    ``done`` ends properly.
+    ``ending`` of the last unit: ``open`` inside a quote, bracket, clause or
+    number; ``unended`` a sentence without an ending; ``shape`` a statement that parses and ends
+    the text; ``unsure`` a word or two without a full stop; ``done``.
     """
     if response is None:
-        return "empty", "", "done", 0
+        return "empty", [], "done", 0
     text = consistent_lines(response)
     inner = _FENCE.sub(" ", text).strip()
-    core = " ".join(_WORDS.findall(inner.lower()))
-    if not re.search(r"[^\W_]", inner) or core in PLACEHOLDERS or inner.lower().strip(" .<>[](){}\"'*-_") in PLACEHOLDERS:
-        return "empty", "", "done", len(text)
+    said = inner.lower().strip(" <>[](){}\"'*-_`")
+    if not re.search(r"[^\W_]", inner) or said in NOTHING or said.rstrip(" .") in PLACEHOLDERS:
+        return "empty", [], "done", len(text)
     ask = consistent(question) if question else ""
     has_query = bool(_SELECT.search(inner)) and bool(re.search(r"\bfrom\b|\bselect\b[^.?!]*\b(?:as|count|sum|avg|min|max)\b|\bselect\b\s+\w+\s*,|\bselect\b\s*\S*$", inner, re.I))
     if not has_query:
         if ask and is_copy(ask, inner):
-            return "copied_question", "", "done", len(text)
+            return "copied_question", [], "done", len(text)
         if REFUSALS.search(bare(inner)):
-            return "refusal", "", "done", len(text)
+            return "refusal", [], "done", len(text)
     head, body, after = split_response(text) if has_query else (text, "", "")
-    prose = _FENCE.sub(" ", after).strip()
-    ending, shape = "done", ""
+    head, prose = _FENCE.sub("\n", head), _FENCE.sub("\n", after).strip()
+    units, ending = sentence_forms(head), "done"
     if body:
         shape, is_open = statement_shape(body)
+        if shape:
+            units.append(shape)
+        units += sentence_forms(prose)
         if prose:
-            ending = "done" if _SENTENCE_END.search(prose) else "open"
-        elif is_open or not shape or shape.rsplit(" ", 1)[-1] in _DANGLING:
+            ending = "done" if _SENTENCE_END.search(prose) else "unended"
+        elif is_open or not shape or shape.rsplit(" ", 1)[-1] in _DANGLING or _cut_number(body, ask):
             ending = "open"
         else:
             ending = "shape"
-            last = re.search(r"(\d+)\s*;?\s*$", body)
-            if last and ask:
-                numbers = set(re.findall(r"\d+", ask))
-                n = last.group(1)
-                dates = re.findall(r"\d{4}-\d\d-\d\d", body)
-                asked = set(_date_forms(ask))
-                if n not in numbers and dates and all(d in asked for d in dates) and any(x.startswith(n) and len(x) > len(n) for x in numbers):
-                    ending = "open"
     else:
-        tail = _FENCE.sub(" ", text).strip()
+        tail = head.strip()
         if not _ENDED.search(tail) and re.search(r"[^\W\d_]{2,}\s+[^\W_]+", tail):
-            ending = "open"
+            ending = "unended"
         elif not _SENTENCE_END.search(tail) and len(tail.split()) > 4 and not re.search(r"[\"'”’»`)]\s*$", tail):
-            ending = "open"
+            ending = "unended"
         elif not _SENTENCE_END.search(tail) and not re.fullmatch(r"[\d.,\s]*", tail):
             ending = "unsure"
     defect = None
-    if ending != "open" and ask:
-        spoken = " ".join(x for x in (_FENCE.sub(" ", head), prose) if x.strip())
+    if ask:
+        spoken = " ".join(x for x in (head, prose) if x.strip())
         spoken = re.sub(r"--|0x[0-9a-f]+|`[^`]*`|\b\w+_\w+\b", " ", spoken)
         theirs = language_of(spoken)
         ours = language_of(ask)
         if theirs and ours and theirs != ours:
             defect = "wrong_language"
-    return defect, shape, ending, len(text)
+    return defect, units, ending, len(text)
+
+
+def _cut_number(body: str, ask: str) -> bool:
+    """Whether the statement's last number is the beginning of a number of its question."""
+    last = re.search(r"(\d+)\s*;?\s*$", body)
+    dates = re.findall(r"\d{4}-\d\d-\d\d", body)
+    if not last or not ask or not dates:
+        return False
+    n, numbers, asked = last.group(1), set(re.findall(r"\d+", ask)), set(_date_forms(ask))
+    return n not in numbers and all(d in asked for d in dates) and any(x.startswith(n) and len(x) > len(n) for x in numbers)
 
 
 def _date_forms(text: str) -> list[str]:
@@ -301,15 +337,15 @@ def consistent_lines(text: str) -> str:
     return "\n".join(consistent(line) or "" for line in text.splitlines()) if "\n" in text or "\r" in text else consistent(text)
 
 
-#: A shape so many times as frequent shows that the shape it continues is cut.
+#: A form so many times as frequent shows that the form it continues is cut.
 RATIO = 5.0
-_JUDGED = "prediction_id bigint, run_id string, defect string, shape string, ending string, length int"
+_JUDGED = "prediction_id bigint, run_id string, defect string, units array<string>, ending string, length int"
 
 
 def _judge_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = [judge(q, p) for q, p in zip(batch["question"], batch["prediction"])]
-        out = pd.DataFrame(rows, columns=["defect", "shape", "ending", "length"])
+        out = pd.DataFrame(rows, columns=["defect", "units", "ending", "length"])
         out.insert(0, "run_id", batch["run_id"].to_numpy())
         out.insert(0, "prediction_id", batch["prediction_id"].to_numpy())
         yield out
@@ -317,8 +353,9 @@ def _judge_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _continues(longer: str, shape: str) -> bool:
     """Whether a text goes on where the shape stops, be it inside a word.
-    Abstracted tokens are whole: ``a1`` is no beginning of ``a10``."""
-    if not longer.startswith(shape) or len(longer) == len(shape):
+    Abstracted tokens are whole: ``a1`` is no beginning of ``a10``.  A full stop
+    alone is no continuation."""
+    if not longer.startswith(shape) or len(longer) == len(shape) or longer[len(shape)] in _STOPS:
         return False
     return longer[len(shape)] == " " or not _ABSTRACTED.search(shape)
 
@@ -419,43 +456,44 @@ def length_spikes(judged: DataFrame, width: int = 4, factor: float = 6.0, least:
     )
 
 
+def truncation_evidence(judged: DataFrame) -> DataFrame:
+    """Input (prediction_id, run_id, defect, units, ending, length); output adds
+    ``evidence`` that the response was cut: ``neighbour``, ``length``, ``syntax`` or null.
+
+    Only distinct forms are sorted; the rows that meet them again are those
+    without an ending.
+    """
+    forms = judged.select(F.explode("units").alias("shape")).groupBy("shape").agg(F.count("*").alias("n"))
+    # A far more frequent continuation settles it; any continuation does without an ending or at a limit.
+    continued = continued_shapes(forms).select(F.col("shape").alias("last"), F.lit(True).alias("is_continued"), (F.col("best") >= RATIO * F.col("n")).alias("is_short"))
+    spikes = length_spikes(judged.where("defect is null or defect <> 'empty'")).withColumn("at_limit", F.lit(True))
+    open_ = judged.where("ending <> 'done'").withColumn("last", F.element_at("units", -1))
+    has = lambda c: F.coalesce(F.col(c), F.lit(False))
+    unended = F.col("ending").isin("open", "unended")
+    evidence = (
+        F.when((unended & has("is_continued")) | has("is_short"), "neighbour")
+        .when(has("at_limit") & (unended | has("is_continued") | (F.col("ending") == "unsure")), "length")
+        .when(F.col("ending") == "open", "syntax")
+    )
+    found = open_.join(continued, "last", "left").join(spikes, ["run_id", "length"], "left").select(*judged.columns, evidence.alias("evidence"))
+    return judged.where("ending = 'done'").withColumn("evidence", F.lit(None).cast("string")).unionByName(found)
+
+
+def judged_pairs(predictions: DataFrame, cases: DataFrame) -> DataFrame:
+    """(prediction_id, run_id, defect, units, ending, length) of every response."""
+    asked = cases.where("case_id is not null").groupBy("case_id").agg(F.min("question").alias("question"))
+    rows = predictions.select("prediction_id", "run_id", "case_id", "prediction")
+    # Rows without a case don't move: they have no question to meet.
+    known = rows.where("case_id is not null").join(asked, "case_id", "left").select("prediction_id", "run_id", "question", "prediction")
+    alone = rows.where("case_id is null").select("prediction_id", "run_id", F.lit(None).cast("string").alias("question"), "prediction")
+    return known.unionByName(alone).mapInPandas(_judge_batches, _JUDGED)
+
+
 def defective_pairs(predictions: DataFrame, cases: DataFrame) -> DataFrame:
     """Input predictions (prediction_id, run_id, case_id, prediction) and cases
     (case_id, question); output (prediction_id, defect).  Extra columns of either
     side are left aside, so names may clash."""
-    asked = cases.where("case_id is not null").groupBy("case_id").agg(F.min("question").alias("question"))
-    rows = predictions.select("prediction_id", "run_id", "case_id", "prediction").join(asked, "case_id", "left")
-    judged = cut_lineage(
-        rows.select("prediction_id", "run_id", "question", "prediction").mapInPandas(_judge_batches, _JUDGED)
-    )
-    shapes = judged.where("ending = 'shape'").groupBy("shape").agg(F.count("*").alias("n"))
-    # A far more frequent continuation settles it; any continuation does at a length limit.
-    continued = continued_shapes(shapes).select("shape", (F.col("best") >= RATIO * F.col("n")).alias("is_short"))
-    spikes = length_spikes(judged.where("defect is null or defect <> 'empty'")).withColumn("at_limit", F.lit(True))
-    settled = judged.where("ending not in ('shape', 'unsure')")
-    by_shape = (
-        judged.where("ending = 'shape'")
-        .join(continued, "shape", "left")
-        .join(spikes, ["run_id", "length"], "left")
-        .withColumn("ending", F.when(F.col("is_short") | (F.col("is_short").isNotNull() & F.col("at_limit")), "open").otherwise("done"))
-        .select("prediction_id", "defect", "ending")
-    )
-    by_length = (
-        judged.where("ending = 'unsure'")
-        .join(spikes, ["run_id", "length"], "left")
-        .withColumn("ending", F.when(F.col("at_limit"), "open").otherwise("done"))
-        .select("prediction_id", "defect", "ending")
-    )
-    return (
-        settled.select("prediction_id", "defect", "ending")
-        .unionByName(by_shape)
-        .unionByName(by_length)
-        .withColumn(
-            "defect",
-            F.when(F.col("defect").isin("empty", "refusal", "copied_question"), F.col("defect"))
-            .when(F.col("ending") == "open", "truncated")
-            .otherwise(F.col("defect")),
-        )
-        .where("defect is not null")
-        .select("prediction_id", "defect")
-    )
+    judged = truncation_evidence(cut_lineage(judged_pairs(predictions, cases)))
+    first = F.col("defect").isin("empty", "refusal", "copied_question")
+    defect = F.when(first, F.col("defect")).when(F.col("evidence").isNotNull(), "truncated").otherwise(F.col("defect"))
+    return judged.select("prediction_id", defect.alias("defect")).where("defect is not null")

@@ -1,12 +1,12 @@
 import pytest
 
-from chainloom.llm.pairs import continued_shapes, defective_pairs, is_copy, judge, language_of, length_spikes, shortened_shapes, statement_shape
+from chainloom.llm.pairs import continued_shapes, defective_pairs, is_copy, judge, judged_pairs, language_of, length_spikes, shortened_shapes, statement_shape, truncation_evidence
 
 QUESTION = "Show the 10 largest transactions worth 5 ETH or more from 2026-01-01 until 2026-01-20."
 SQL = "SELECT transaction_hash AS tx FROM `a.b.facts`(DATE '2026-01-01', DATE '2026-01-20') WHERE value_wei >= 5 ORDER BY value_wei DESC, tx ASC LIMIT 10"
 
 
-@pytest.mark.parametrize("text", [None, "", "  ", "None.", "N/A", "```sql\n```", "...", "-", "​﻿", "<no output>", "Không có."])
+@pytest.mark.parametrize("text", [None, "", "  ", "None", "N/A", "n/a.", "null", "```sql\n```", "...", "-", "​﻿", "<no output>", "(không có)"])
 def test_nothing_is_empty(text):
     assert judge(QUESTION, text)[0] == "empty"
 
@@ -26,6 +26,16 @@ def test_copies(text):
     assert judge(QUESTION, text)[0] == "copied_question"
 
 
+@pytest.mark.parametrize("text", ["None.", "Không có.", "Nothing.", "No", "Có", "không", "result", "Output", "0"])
+def test_short_answers_are_answers(text):
+    """A sentence that says there is nothing answers the question."""
+    assert judge(QUESTION, text)[0] is None
+
+
+def test_copies_of_short_questions():
+    assert is_copy("Why?", "why") and is_copy("Why?", "Question: why?") and not is_copy("Why?", "That's why.") and not is_copy("5", "55")
+
+
 def test_copies_of_a_framed_question():
     framed = "Q: " + QUESTION
     assert judge(framed, f"{framed} {framed}")[0] == judge(framed, framed)[0] == judge(framed, QUESTION)[0] == "copied_question"
@@ -103,6 +113,28 @@ def test_cuts_inside_words_and_hot_cuts_at_a_limit(spark):
     assert got == {i: "truncated" for i in range(len(texts), len(rows))}
 
 
+def test_sentences_are_judged_by_their_neighbours(spark):
+    """Prose without a full stop is cut where other responses go on, and only there."""
+    whole = ["The result has one row per match, newest first.", "No join is needed here."]
+    cut, free = "No join is needed here. The result has one row per,", "The result fits the window"
+    answers = whole + [cut, free, whole[0].rstrip(".")]
+    rows = [(i, "r", f"c{i}", t) for i, t in enumerate(answers)]
+    cases = spark.createDataFrame([(f"c{i}", "Show the largest items.") for i in range(len(rows))], "case_id string, question string")
+    predictions = spark.createDataFrame(rows, "prediction_id bigint, run_id string, case_id string, prediction string")
+    found = {r["prediction_id"]: r["evidence"] for r in truncation_evidence(judged_pairs(predictions, cases)).collect()}
+    assert found == {0: None, 1: None, 2: "neighbour", 3: None, 4: None}
+
+
+def test_stops_at_a_length_limit_are_cut(spark):
+    """Nothing continues these texts, but far too many have one length."""
+    texts = [chr(97 + i % 26) * 12 + " " + chr(97 + i // 26) * 12 + " runs on and on" for i in range(60)]
+    rest = [f"Answer number {'x' * (i % 30)} ends here." for i in range(120)]
+    rows = [(i, "r", None, t) for i, t in enumerate(texts + rest)]
+    predictions = spark.createDataFrame(rows, "prediction_id bigint, run_id string, case_id string, prediction string")
+    found = {r["prediction_id"]: r["evidence"] for r in truncation_evidence(judged_pairs(predictions, spark.createDataFrame([], "case_id string, question string"))).collect()}
+    assert found == {i: "length" if i < 60 else None for i in range(180)}
+
+
 def test_spikes(spark):
     rows = [("r", 200 + i % 40) for i in range(200)] + [("r", 220)] * 90 + [("other", 220)] * 3
     found = length_spikes(spark.createDataFrame(rows, "run_id string, length int")).collect()
