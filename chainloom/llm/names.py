@@ -3,17 +3,21 @@
 Every name of a record (owner, label without its role, aliases) is parsed into a
 *core* (surname or invented word), first name, initials, organisation type and
 further words.  Nicknames, abbreviations, titles, legal forms, order, accents and
-joined spellings are resolved there; which words are common (first names,
-adjectives) is learned from how many different partners a word has.
-
-Cores are linked by metric-space partitioning under the Damerau-Levenshtein
-metric with radius 1.  Pivots are the strings one deletion away from a core, and
-the core itself; a core is replicated to the cell of every pivot within the
-radius.  By the triangle inequality all members of a cell are within 2 of each
-other, and two cores within 1 always share a pivot, so an exact radius join
-inside each cell loses no link.  (Sampled pivots don't work here: between
-invented words nearly all distances are 7 or 8, so each word would have to be
-replicated to most cells.  See the README.)
+joined spellings are resolved there; which words are common (adjectives, unlisted
+first names) is learned from how many different words stand beside them.  A
+record whose words are all common has the least common one as its core, so no
+record is left without one for being frequent.
+
+Cores are linked by metric-space partitioning under the (unrestricted)
+Damerau-Levenshtein metric with radius 1.  Pivots are cores themselves: those
+that several rows spell alike, and every core that is further than 1 from all of
+these.  A core belongs to the cell of its nearest pivot; by the triangle
+inequality whatever is within the radius of a member is within (radius of the
+cell + 1) of its pivot, so exactly the cores up to there are replicated into the
+cell, and an exact radius join inside each cell loses no link.  Pivots near a core
+are found through the strings that both become by deletions.  (Few sampled pivots
+don't work here: between invented words nearly all distances are 7 or 8, so each
+word would have to be replicated to most cells.  See the README.)
 
 A link between cores must agree in what else is known (first name or type and
 adjective) and one side must be rare: two frequent cores are two families.
@@ -21,8 +25,8 @@ Linked cores form clusters; inside a cluster records are told apart by first
 name, middle initial, type and adjective.  A record that fits several persons of
 a family stays unlinked.
 
-Sizes: the set of common words is broadcast; a word is common with at least
-1/500 of all distinct word pairs, so there are at most 1000.  Copies of a profile
+Sizes: the common words are broadcast; a word is common with at least 1/500 of all
+distinct word pairs, so there are at most 1000.  Copies of a profile
 collapse before anything is grouped by cluster.
 
 Defined results: null, empty and uninformative names say nothing; a record
@@ -40,7 +44,9 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
+from chainloom.functions.strings import segments, windows
 from chainloom.llm.glyphs import consistent
 from chainloom.operators.components import connected_components
 from chainloom.sources.checkpoints import stored
@@ -72,9 +78,17 @@ NICKNAMES = {
 _TYPE_OF = {form: name for name, forms in TYPES.items() for form in (name, *forms.split())}
 _FIRST_OF = {form: name for name, forms in NICKNAMES.items() for form in (name, *forms.split())}
 _ROLE = re.compile(r"\b(?:" + "|".join(ROLES) + r")\b\s*\d*", re.I)
-_LETTERS = re.compile(r"[a-z]+")
-#: A word is common with this share of all distinct pairs of words in a name.
-COMMON_SHARE = 1 / 500
+_LETTERS = re.compile(r"[^\W\d_]+")
+#: A word is common with this share of all distinct pairs of words in a name, and at least so many partners.
+COMMON_SHARE, COMMON_PARTNERS = 1 / 500, 4
+#: Partners that begin alike are spellings of one word.
+PARTNER_PREFIX = 3
+#: A common word so many times as common makes a word within 1 of it a typing error.
+SLIP_RATIO = 3
+#: Radius of the join and of the cells; rows that make a spelling a pivot.
+RADIUS, CELL_RADIUS, PIVOT_SUPPORT = 1, 1, 3
+#: Cores up to this length meet on deletions, longer ones on segments.
+LONGEST_CUT = 24
 #: Shortest core of an organisation and of a person.
 ORG_CORE, PERSON_CORE = 7, 4
 #: Begins the cores of records that have shorter ones only; they link to equal ones.
@@ -83,7 +97,7 @@ SHORT, SHORT_ALONE = "=", 4
 
 def _flat(text: str) -> str:
     text = re.sub(r"(?<=[a-z])(?=[A-Z][a-z])", " ", unicodedata.normalize("NFKD", consistent(text)).replace("đ", "d").replace("ß", "ss"))
-    return re.sub("[̀-ͯ]", "", text).lower()
+    return unicodedata.normalize("NFC", re.sub("[̀-ͯ]", "", text)).lower()
 
 
 def words_of(name: str | None, is_label: bool = False) -> list[str]:
@@ -124,18 +138,21 @@ def within_one(a: str, b: str) -> bool:
 
 
 def damerau(a: str, b: str) -> int:
-    """Damerau-Levenshtein distance (adjacent transpositions, a true metric for
-    the small distances compared here)."""
-    before, row = None, list(range(len(b) + 1))
+    """Unrestricted Damerau-Levenshtein distance, a true metric."""
+    far, last = len(a) + len(b), {}
+    table = [[far] * (len(b) + 2)] + [[far, i] + [0] * len(b) for i in range(len(a) + 1)]
+    table[1][1:] = range(len(b) + 1)
     for i, x in enumerate(a, 1):
-        new = [i]
+        at = 0
         for j, y in enumerate(b, 1):
-            d = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y))
-            if before and j > 1 and x == b[j - 2] and y == a[i - 2]:
-                d = min(d, before[j - 2] + 1)
-            new.append(d)
-        before, row = row, new
-    return row[-1]
+            k, m = last.get(y, 0), at
+            if x == y:
+                at = j
+            table[i + 1][j + 1] = min(
+                table[i][j] + (x != y), table[i + 1][j] + 1, table[i][j + 1] + 1, table[k][m] + (i - k - 1) + 1 + (j - m - 1)
+            )
+        last[x] = i
+    return table[-1][-1]
 
 
 def _cut(word: str, times: int) -> set[str]:
@@ -174,20 +191,21 @@ _PARSERS: dict[frozenset[str], Parser] = {}
 
 
 class Parser:
-    """Parses names with a given set of common words."""
+    """Parses names, given the common words with their numbers of partners."""
 
-    def __init__(self, common: frozenset[str]):
+    def __init__(self, common: dict[str, int]):
         self.common = common
         self.near_common = Neighbours({w: w for w in common}, 1, 4)
         self.resolve = lru_cache(maxsize=300_000)(self._resolve)
 
     @staticmethod
-    def of(common: frozenset[str]) -> Parser:
+    def of(common: dict[str, int]) -> Parser:
         """One parser a worker, so that its memory outlives a task."""
-        if common not in _PARSERS:
+        key = frozenset(common.items())
+        if key not in _PARSERS:
             _PARSERS.clear()
-            _PARSERS[common] = Parser(common)
-        return _PARSERS[common]
+            _PARSERS[key] = Parser(common)
+        return _PARSERS[key]
 
     def _resolve(self, word: str) -> tuple[str, str]:
         """(kind, canonical word); kind: type, first, common, word."""
@@ -208,6 +226,21 @@ class Parser:
                     return ("type" if found[0] in TYPES else "first"), found[0]
         return "word", word
 
+    def settled(self, names: list[list[str]]) -> list[list[tuple[str, str, str]]]:
+        """(kind, canonical, as typed) of the words of every name.  Where no word is
+        left for a core, the least common one is it, and where there are only listed
+        words, the ones that are merely near to a list ("Binance" to "finance")."""
+        parsed = [[(*self.resolve(w), w) for w in words if len(w) > 1] for words in names]
+        kinds = {kind for words in parsed for kind, _, _ in words}
+        if "word" in kinds:
+            return parsed
+        if "common" in kinds:
+            among = {w for words in parsed for kind, w, _ in words if kind == "common"}
+            core = min(among, key=lambda w: (self.common[w], -len(w), w))
+            return [[("word" if kind == "common" and w == core else kind, w, typed) for kind, w, typed in words] for words in parsed]
+        listed = lambda typed: typed in _TYPE_OF or typed in _FIRST_OF
+        return [[(kind, w, typed) if listed(typed) else ("word", typed, typed) for kind, w, typed in words] for words in parsed]
+
     def apart(self, words: list[str]) -> list[str]:
         """Words of which one is a common word written onto a core, in two."""
         out = []
@@ -221,8 +254,8 @@ class Parser:
         cores, firsts, letters, kinds, extras = Counter(), Counter(), Counter(), Counter(), Counter()
         names = [words_of(owner), words_of(label, True), *(words_of(a) for a in (aliases if aliases is not None else []))]
         person = False
-        for words in names:
-            parsed = [(*self.resolve(w), w) for w in self.apart(words) if len(w) > 1]
+        settled = self.settled([self.apart(words) for words in names])
+        for words, parsed in zip(names, settled):
             initials = [w for w in words if len(w) == 1]
             found = [w for kind, w, _ in parsed if kind == "word"]
             first = [w for kind, w, _ in parsed if kind == "first"]
@@ -244,7 +277,7 @@ class Parser:
         # A shorter form that begins like a longer one stands for it.
         strong = {w: n for w, n in strong.items() if not any(v != w and len(v) > len(w) + 1 and v[:4] == w[:4] for v in strong)}
         if not strong:
-            return self._short(names, firsts, letters, kinds, extras, person)
+            return self._short(settled, firsts, letters, kinds, extras, person)
         main = max(strong, key=lambda w: (strong[w], len(w), w))
         same = sorted(w for w in strong if w == main or damerau(w, main) <= 3 or main.endswith(w[1:]) or w.endswith(main))
         top = lambda c: max(c, key=lambda k: (c[k], k)) if c else ""
@@ -259,17 +292,17 @@ class Parser:
             "person": person,
         }
 
-
-    def _short(self, names: list[list[str]], firsts: Counter, letters: Counter, kinds: Counter, extras: Counter, person: bool) -> dict | None:
+    def _short(self, names: list[list[tuple[str, str, str]]], firsts: Counter, letters: Counter, kinds: Counter, extras: Counter, person: bool) -> dict | None:
         """Profile of a record that has short cores only: they are linked as they
         are, several words in any order, a single one of few letters only with a first
         name, type or adjective.  Labels name roles too, so only the owner and aliases count."""
         top = lambda c: max(c, key=lambda k: (c[k], k)) if c else ""
-        spelled = [[w for w in words if len(w) > 1 and self.resolve(w)[0] == "word"] for words in (names[0], *names[2:])]
+        spelled = [[w for kind, w, _ in words if kind == "word"] for words in (names[0], *names[2:])]
         short = next((sorted(set(words)) for words in spelled if words), [])
         initial = top(Counter({k[1]: n for k, n in letters.items() if k[0] == "f"}))
         fact = top(firsts) or initial if person else top(kinds) or top(extras)
-        if not short or (len(short) == 1 and (short[0].endswith("io") or not (fact or len(short[0]) >= SHORT_ALONE))):
+        alone = len(short) == 1 and not fact
+        if not short or (alone and (short[0].endswith("io") or (short[0].isascii() and len(short[0]) < SHORT_ALONE))):
             return None
         core = SHORT + " ".join(short)
         return {
@@ -279,28 +312,34 @@ class Parser:
         }
 
 
-def common_words(records: DataFrame, share: float = COMMON_SHARE) -> frozenset[str]:
-    """Words with many different partners; at most 2 / share of them."""
+def common_words(records: DataFrame, share: float = COMMON_SHARE) -> dict[str, int]:
+    """Words with many different partners, and how many; at most 2 / share of them.
+    Types and first names are no partners, and partners that begin alike are one, so
+    a surname isn't common for its bearers' nicknames or for typing errors beside it."""
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parser = Parser.of({})
         for batch in batches:
             found = set()
             for owner, label, aliases in zip(batch["owner"], batch["primary_label"], batch["aliases"]):
                 for words in (words_of(owner), words_of(label, True), *(words_of(a) for a in (aliases if aliases is not None else []))):
-                    kept = sorted({w for w in words if len(w) >= 4 and w not in _TYPE_OF})
-                    found.update((a, b) for a in kept for b in kept if a != b)
+                    kept = sorted({w for w in words if len(w) >= 4 and parser.resolve(w)[0] == "word"})
+                    found.update((a, b[:PARTNER_PREFIX]) for a in kept for b in kept if a != b)
             yield pd.DataFrame(sorted(found), columns=["word", "partner"])
 
     distinct = stored(records.select("owner", "primary_label", "aliases").mapInPandas(pairs, "word string, partner string").distinct())
-    least = max(4.0, share * distinct.count() / 2)
+    least = max(float(COMMON_PARTNERS), share * distinct.count() / 2)
     partners = distinct.groupBy("word").count().where(F.col("count") >= least)
-    return frozenset(r["word"] for r in partners.select("word").collect())
+    found = {r["word"]: r["count"] for r in partners.select("word", "count").collect()}
+    # A typing error of a far more common word is no word of its own.
+    near = Neighbours({w: w for w in found}, 1, 4)
+    return {w: n for w, n in found.items() if all(SLIP_RATIO * n > found[v] for v in near.of(w))}
 
 
 _PROFILE = "address string, core string, cores array<string>, first string, initial string, middle string, type string, extra string, person boolean"
 
 
-def record_profiles(records: DataFrame, common: frozenset[str]) -> DataFrame:
+def record_profiles(records: DataFrame, common: dict[str, int]) -> DataFrame:
     """(address, profile columns) of the records that have a core."""
     shared = records.sparkSession.sparkContext.broadcast(common)
 
@@ -317,31 +356,74 @@ def record_profiles(records: DataFrame, common: frozenset[str]) -> DataFrame:
     return records.select("address", "owner", "primary_label", "aliases").mapInPandas(run, _PROFILE)
 
 
+def _meeting_keys(words: DataFrame, edits: int, probe: bool) -> DataFrame:
+    """(core) -> (meet, core): two words within ``edits`` of each other share a key.
+    Short words meet on what up to ``edits`` deletions leave of them, long ones on
+    segments; words around the limit have both kinds."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys, names = [], []
+            for word in batch["core"]:
+                own, found = len(word), set()
+                if own <= LONGEST_CUT:
+                    found |= _cut(word, edits)
+                # one transposition may take two edits of the segment scheme
+                if own > LONGEST_CUT - edits and not probe:
+                    found |= {f"{own}|{i}|{word[s : s + n]}" for i, (s, n) in enumerate(segments(own, 2 * edits))}
+                if own > LONGEST_CUT - 2 * edits and probe:
+                    found |= {f"{m}|{i}|{word[s : s + n]}" for m in range(own - edits, own + edits + 1) for i, s, n in windows(own, m, 2 * edits)}
+                keys += found
+                names += [word] * len(found)
+            yield pd.DataFrame({"key": keys, "core": names})
+
+    return words.select("core").mapInPandas(run, "key string, core string").select(F.xxhash64("key").alias("meet"), "core")
+
+
+@F.pandas_udf(IntegerType())
+def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([damerau(x, y) for x, y in zip(a, b)], dtype="int32")
+
+
+def _near_pivots(cores: DataFrame, pivots: DataFrame, edits: int) -> DataFrame:
+    """(core, pivot, d) of all cores and pivots at most ``edits`` apart."""
+    left = _meeting_keys(cores, edits, True)
+    right = _meeting_keys(pivots, edits, False).withColumnRenamed("core", "pivot")
+    met = left.join(right, "meet").select("core", "pivot").distinct()
+    # the JVM's bounded distance first: it is at most twice the metric
+    return met.where(F.levenshtein("core", "pivot", 2 * edits) >= 0).withColumn("d", _distance("core", "pivot")).where(F.col("d") <= edits)
+
+
 def metric_cells(cores: DataFrame) -> DataFrame:
-    """(core) -> (pivot, core): the cells within radius 1 of each core."""
-    size = F.length("core")
-    cut = F.transform(F.sequence(F.lit(1), size), lambda i: F.concat(F.substring(F.col("core"), F.lit(1), i - 1), F.substring(F.col("core"), i + 1, size)))
-    return cores.select("core", F.explode(F.array_distinct(F.concat(F.array("core"), cut))).alias("pivot"))
+    """Input (core, support), unique; output (pivot, core, home): every core at home
+    in the cell of its nearest pivot and replicated to the cells whose members can
+    be within RADIUS of it."""
+    frequent = cores.where(F.col("support") >= PIVOT_SUPPORT).select("core")
+    near = stored(_near_pivots(cores, frequent, CELL_RADIUS + RADIUS))
+    homes = near.groupBy("core").agg(F.min(F.struct("d", "pivot")).alias("h")).where(F.col("h.d") <= CELL_RADIUS).select("core", F.col("h.pivot").alias("pivot"), F.col("h.d").alias("d"))
+    radius = homes.groupBy("pivot").agg(F.max("d").alias("radius"))
+    kept = near.join(radius, "pivot").where(F.col("d") <= F.col("radius") + RADIUS).select("pivot", "core")
+    # Cores far from all of these are pivots of cells of their own, with radius 0.
+    alone = stored(cores.select("core").join(homes.select("core"), "core", "left_anti"))
+    around = _near_pivots(cores, alone, RADIUS).select("pivot", "core")
+    home = homes.select("pivot", "core").unionByName(alone.select(F.col("core").alias("pivot"), "core")).withColumn("home", F.lit(True))
+    return kept.unionByName(around).join(home, ["pivot", "core"], "left").withColumn("home", F.coalesce("home", F.lit(False)))
 
 
 def radius_join(cores: DataFrame) -> DataFrame:
-    """(core) unique -> (a, b), a < b, of all cores within distance 1 of each other."""
-    cells = metric_cells(cores)
-    met = (
-        cells.select("pivot", F.col("core").alias("a"))
-        .join(cells.select("pivot", F.col("core").alias("b")), "pivot")
-        .where("a < b")
-        .select("a", "b")
+    """(core, support) unique -> (a, b), a < b, of all cores within RADIUS of each
+    other.  Without a support every core is a pivot of its own."""
+    if "support" not in cores.columns:
+        cores = cores.withColumn("support", F.lit(1))
+    cells = stored(metric_cells(cores))
+    pairs = (
+        cells.where("home").select("pivot", F.col("core").alias("x"))
+        .join(cells.select("pivot", F.col("core").alias("y")), "pivot")
+        .where("x <> y")
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
-    )
-
-    @F.pandas_udf("boolean")
-    def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([within_one(x, y) for x, y in zip(a, b)])
-
-    # The JVM's bounded Levenshtein settles most; a transposition is 2 there.
-    distance = F.levenshtein("a", "b", 2)
-    return met.where(distance.between(0, 2)).where((distance == 1) | near("a", "b"))
+    )
+    return pairs.where(F.levenshtein("a", "b", 2 * RADIUS) >= 0).where(_distance("a", "b") <= RADIUS)
 
 
 def core_clusters(profiles: DataFrame) -> DataFrame:
@@ -357,7 +439,7 @@ def core_clusters(profiles: DataFrame) -> DataFrame:
         )
     )
     side = lambda x: known.select(F.col("core").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("support", "firsts", "initials", "types", "extras")])
-    near = radius_join(known.select("core").where(~F.col("core").startswith(SHORT))).join(side("a"), "a").join(side("b"), "b")
+    near = radius_join(known.select("core", "support").where(~F.col("core").startswith(SHORT))).join(side("a"), "a").join(side("b"), "b")
     shares = lambda c: F.arrays_overlap(f"a_{c}", f"b_{c}")
     open_ = lambda c: (F.size(f"a_{c}") == 0) | (F.size(f"b_{c}") == 0)
     agrees = (open_("firsts") | shares("firsts")) & (open_("initials") | shares("initials")) & (open_("types") | shares("types")) & (open_("extras") | shares("extras"))

@@ -3,7 +3,7 @@ from itertools import combinations
 
 import pytest
 
-from chainloom.llm.names import Parser, damerau, linked_pairs, radius_join, within_one, words_of
+from chainloom.llm.names import Parser, damerau, linked_pairs, metric_cells, radius_join, within_one, words_of
 
 SCHEMA = "address_lower string, owner string, primary_label string, aliases array<string>"
 
@@ -27,6 +27,52 @@ def test_radius_join_against_brute_force(spark):
     assert got == {(a, b) for a, b in combinations(words, 2) if damerau(a, b) <= 1}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_metric_cells_lose_no_pair(spark, seed):
+    """Pivots with cells of radius 0 and 1, short and long words, transpositions at
+    the borders; every pair is in the home cell of one of both."""
+    rng = random.Random(seed)
+    stems = ["".join(rng.choice("abcd") for _ in range(n)) for n in (5, 9, 14, 22, 24, 26, 40)]
+
+    def typed(word):
+        i, way = rng.randrange(len(word) - 1), rng.randrange(4)
+        return [word[:i] + word[i + 1] + word[i] + word[i + 2 :], word[:i] + word[i + 1 :], word[:i] + "x" + word[i:], word[:i] + "y" + word[i + 1 :]][way]
+
+    words = sorted({w for stem in stems for _ in range(12) for w in (stem, typed(stem), typed(typed(stem)))})
+    rows = [(w, 9 if w in stems else rng.choice([1, 1, 3])) for w in words]
+    frame = spark.createDataFrame(rows, "core string, support int")
+    want = {(a, b) for a, b in combinations(words, 2) if damerau(a, b) <= 1}
+    assert {tuple(r) for r in radius_join(frame).collect()} == want
+    cells = metric_cells(frame).collect()
+    assert sorted(r["core"] for r in cells if r["home"]) == words
+    assert all(damerau(r["core"], r["pivot"]) <= 2 for r in cells) and len(cells) > len(words)
+
+
+def test_distance_is_a_metric():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b, c = ("".join(rng.choice("abc") for _ in range(rng.randrange(7))) for _ in range(3))
+        assert damerau(a, b) == damerau(b, a) and damerau(a, c) <= damerau(a, b) + damerau(b, c) and (damerau(a, b) == 0) == (a == b)
+    assert damerau("ca", "abc") == 2
+
+
+def test_frequent_names_keep_their_core(spark):
+    """However often a surname stands beside other words, it is a core."""
+    firsts = ["Daniel", "Victoria", "Ximerol", "Yolakum", "Zerinax", "Wopalek"]
+    rows = [(f"{i}-{j}", f"{first} Sivahupes" if j else f"Sivahupes, {first}", None, None) for i, first in enumerate(firsts) for j in range(2)]
+    assert {tuple(r) for r in linked_pairs(spark.createDataFrame(rows, SCHEMA)).collect()} >= {(f"{i}-0", f"{i}-1") for i in range(2)}
+    parser = Parser({"sivahupes": 40, "velvet": 90})
+    assert parser.record("Daniel Sivahupes", None, None)["core"] == "sivahupes"
+    assert parser.record("Velvet Sivahupes Markets", None, None)["core"] == "sivahupes"
+
+
+def test_names_of_any_script_and_names_like_listed_words():
+    parser = Parser({})
+    assert parser.record("Binance Ltd", None, None)["core"] == "binance" and parser.record("Kraken", None, None)["core"] == "=kraken"
+    assert parser.record("Центральный Банк", None, None)["core"] and parser.record("中央銀行", None, None)["core"] == "=中央銀行"
+    assert [parser.record(x, None, None) for x in ("", "  ", "unlabelled", None, "Foundation Network", "x")] == [None] * 6
+
+
 def test_profile_of_a_person():
     p = Parser(frozenset()).record("Vinuhosik, D. P.", "Danny Vinuhosik Deployer", ["VINUHOSIK Daniel", None, ""])
     assert (p["core"], p["first"], p["middle"], p["person"]) == ("vinuhosik", "daniel", "p", True)
