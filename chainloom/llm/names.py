@@ -382,7 +382,21 @@ def _meeting_keys(words: DataFrame, edits: int, probe: bool) -> DataFrame:
 
 @F.pandas_udf(IntegerType())
 def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([damerau(x, y) for x, y in zip(a, b)], dtype="int32")
+    return pd.Series([None if x is None else damerau(x, y) for x, y in zip(a, b)], dtype="Int32")
+
+
+def _within(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
+    """Pairs at most ``edits`` apart, with ``d``.  The JVM's bounded Levenshtein
+    distance settles all but those in which a transposition can make a difference:
+    with one, both words hold nearly the same letters."""
+    letters = lambda c: F.array_sort(F.split(F.col(c), ""))
+    near = pairs.withColumn("lev", F.levenshtein(a, b, 2 * edits)).where("lev >= 0")
+    # t transpositions and e other edits: Levenshtein 2 t + e, distance t + e; so few e are possible
+    others = F.when(F.col("lev") > edits, 2 * edits - F.col("lev")).otherwise(F.col("lev") - 2)
+    swapped = (F.col("lev") >= 2) & F.when(others == 0, letters(a) == letters(b)).otherwise(F.abs(F.length(a) - F.length(b)) <= others)
+    asked = near.where((F.col("lev") <= edits) | swapped).withColumn("swapped", swapped)
+    d = F.coalesce(_distance(F.when(F.col("swapped"), F.col(a)), F.col(b)), F.col("lev"))
+    return asked.withColumn("d", d).where(F.col("d") <= edits).drop("lev", "swapped")
 
 
 def _near_pivots(cores: DataFrame, pivots: DataFrame, edits: int) -> DataFrame:
@@ -390,8 +404,7 @@ def _near_pivots(cores: DataFrame, pivots: DataFrame, edits: int) -> DataFrame:
     left = _meeting_keys(cores, edits, True)
     right = _meeting_keys(pivots, edits, False).withColumnRenamed("core", "pivot")
     met = left.join(right, "meet").select("core", "pivot").distinct()
-    # the JVM's bounded distance first: it is at most twice the metric
-    return met.where(F.levenshtein("core", "pivot", 2 * edits) >= 0).withColumn("d", _distance("core", "pivot")).where(F.col("d") <= edits)
+    return _within(met, "core", "pivot", edits)
 
 
 def metric_cells(cores: DataFrame) -> DataFrame:
@@ -423,7 +436,7 @@ def radius_join(cores: DataFrame) -> DataFrame:
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
     )
-    return pairs.where(F.levenshtein("a", "b", 2 * RADIUS) >= 0).where(_distance("a", "b") <= RADIUS)
+    return _within(pairs, "a", "b", RADIUS).select("a", "b")
 
 
 def core_clusters(profiles: DataFrame) -> DataFrame:

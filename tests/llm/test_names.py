@@ -3,7 +3,7 @@ from itertools import combinations
 
 import pytest
 
-from chainloom.llm.names import Parser, damerau, linked_pairs, metric_cells, radius_join, within_one, words_of
+from chainloom.llm.names import Parser, _within, damerau, linked_pairs, metric_cells, radius_join, within_one, words_of
 
 SCHEMA = "address_lower string, owner string, primary_label string, aliases array<string>"
 
@@ -48,6 +48,15 @@ def test_metric_cells_lose_no_pair(spark, seed):
     assert all(damerau(r["core"], r["pivot"]) <= 2 for r in cells) and len(cells) > len(words)
 
 
+def test_bounded_distances_in_the_jvm(spark):
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(2, 6))) for _ in range(60)})
+    pairs = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string")
+    for edits in (1, 2):
+        got = {(r["a"], r["b"]): r["d"] for r in _within(pairs, "a", "b", edits).collect()}
+        assert got == {(a, b): damerau(a, b) for a in words for b in words if damerau(a, b) <= edits}
+
+
 def test_distance_is_a_metric():
     rng = random.Random(3)
     for _ in range(300):
