@@ -6,10 +6,12 @@ passage has a latent *chain*: how its original was damaged, from ``clean`` over
 Undoing a chain gives a candidate original; its likelihood comes from a
 character-pair model of the corpus.  The chain weights differ by source and are
 unknown, so they are estimated by expectation-maximization: posteriors of all
-passages given the weights, then weights as mean posteriors, pooled over the
-records of a source and over the field.  Weak evidence (a single word that
-would read better otherwise) thus counts where a source is known to suffer from
-that chain.  After the first estimate the character model is trained again on
+passages given the weights, then weights as mean posteriors over the records of
+the field and of each source; a source's weights are drawn to the field's like by
+POOL further passages.  Damage starts out as nearly impossible (PRIOR_DAMAGE), so
+only what passages without any doubt show makes weaker evidence (a single word
+that would read better otherwise) count, where a source or the field is known to
+suffer from that chain.  Rounds end when the field's weights stand still.  After the first estimate the character model is trained again on
 the passages held clean and the estimate is repeated.
 
 Each passage is repaired by its posterior.  U+FFFD stands for bytes that are
@@ -42,10 +44,20 @@ from chainloom.sources.checkpoints import stored
 MODEL_BITS = 20
 #: Sources whose weights may go to every executor (some 10 MB); more are joined.
 MOST_SOURCES = 30_000
+#: Share of damaged passages that is assumed before any is seen.
+PRIOR_DAMAGE = 1e-4
+#: Passages by which the field weighs in each source's weights.
+POOL = 2000.0
+#: EM ends where no weight of the field changes by more than this share of all damage (or after MOST_ROUNDS).
+STILL, MOST_ROUNDS = 0.02, 12
+#: Found documents whose ids may go to every executor (some 16 MB); more are joined.
+MOST_IDS = 1_000_000
 #: Log penalty of leaving a token as it is inside a damaged passage.
 PENALTY = 9.0
 #: A chain that gains no more than this can't compete with ``clean``.
 HOPELESS = -8.0
+#: Only such texts can be garbled.
+NOT_ASCII = r"text is not null and text rlike '[^\\x00-\\x7f]'"
 PASSAGE = re.compile(r"(?<=[.!?。！？])[ \t]+|[\r\n]+")
 _LOST = "�"
 _WORD = re.compile(r"[ \t\r\n]+")
@@ -288,34 +300,48 @@ def _with_weights(scored: DataFrame, weights: DataFrame, sources: int) -> DataFr
     return scored.join(F.broadcast(weights) if sources <= MOST_SOURCES else weights, "source")
 
 
-def _weights(scored: DataFrame, totals: DataFrame, rounds: int, sources: int) -> DataFrame:
-    """EM over the chain weights of each source: (source, weights array).
+def _prior() -> list[float]:
+    k = len(CHAIN_NAMES)
+    return [1 - PRIOR_DAMAGE] + [PRIOR_DAMAGE / (k - 1)] * (k - 1)
+
+
+def _weights(scored: DataFrame, totals: DataFrame, sources: int, most_rounds: int | None = None, start: list[float] | None = None) -> tuple[DataFrame, list[float]]:
+    """EM over the chain weights of each source: (source, weights array), and the
+    weights of the field, with which a further estimate may start.
 
     Passages whose best chain is hopeless (``best`` at most HOPELESS) have posterior 1
-    for ``clean`` at any weight the prior allows, so they enter as a count.
+    for ``clean`` at any weight the prior allows, so they enter as a count.  Of each
+    round the driver sees one row, the field's sums.
     """
-    k = len(CHAIN_NAMES)
-    prior = [0.97] + [0.03 / (k - 1)] * (k - 1)
-    weights = totals.select("source", F.array(*map(F.lit, prior)).alias("weights"))
-    for _ in range(rounds):
+    k, prior = len(CHAIN_NAMES), _prior()
+    passages = totals.agg(F.sum("n")).first()[0] or 0
+    competing = scored.groupBy("source").agg(F.count("*").alias("scored"))
+    counts = stored(totals.join(competing, "source", "left").select("source", "n", (F.col("n") - F.coalesce("scored", F.lit(0))).alias("hopeless")))
+    field = start or prior
+    weights = totals.select("source", F.array(*map(F.lit, field)).alias("weights"))
+    hopeless = counts.agg(F.sum("hopeless")).first()[0] or 0
+    for _ in range(MOST_ROUNDS if most_rounds is None else most_rounds):
         joined = _with_weights(scored, weights, sources)
         logs = F.transform(F.arrays_zip("gains", "weights"), lambda x: x["gains"] + F.log(x["weights"]))
         tops = joined.select("source", logs.alias("logs")).withColumn("top", F.array_max("logs"))
         likely = tops.select("source", F.transform("logs", lambda x: F.exp(x - F.col("top"))).alias("e"))
-        normed = likely.select("source", "e", F.aggregate("e", F.lit(0.0), lambda a, x: a + x).alias("z"))
-        sums = normed.groupBy("source").agg(*[F.sum(F.col("e")[i] / F.col("z")).alias(f"s{i}") for i in range(k)], F.count("*").alias("scored"))
-        done = totals.join(sums, "source", "left").select(
+        normed = likely.withColumn("z", F.aggregate("e", F.lit(0.0), lambda a, x: a + x))
+        shares = normed.select("source", F.posexplode("e").alias("chain", "e"), "z").where("e > 0")
+        sums = stored(shares.groupBy("source", "chain").agg(F.sum(F.col("e") / F.col("z")).alias("s")))
+        seen = {r["chain"]: r["s"] for r in sums.groupBy("chain").agg(F.sum("s").alias("s")).collect()}  # a row a chain
+        before, field = field, [(seen.get(i, 0.0) + (hopeless if i == 0 else 0) + prior[i]) / (passages + 1) for i in range(k)]
+        own = sums.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("chain", "s"))).alias("own"))
+        pooled = F.array(*[F.lit(POOL * x) for x in field])
+        weights = counts.join(own, "source", "left").select(
             "source",
-            F.array(
-                *[
-                    (F.coalesce(F.col(f"s{i}"), F.lit(0.0)) + F.lit(20.0 * prior[i]) + (F.col("n") - F.coalesce("scored", F.lit(0)) if i == 0 else F.lit(0)))
-                    / (F.col("n") + 20.0)
-                    for i in range(k)
-                ]
+            F.transform(
+                pooled,
+                lambda x, i: (x + F.coalesce(F.try_element_at("own", i), F.lit(0.0)) + F.when(i == 0, F.col("hopeless")).otherwise(0)) / (F.col("n") + POOL),
             ).alias("weights"),
         )
-        weights = stored(done)
-    return weights
+        if max(abs(x - y) for x, y in zip(field, before)) <= STILL * (1 - field[0]):
+            break
+    return weights, field
 
 
 def _posterior(scored: DataFrame, weights: DataFrame, sources: int) -> DataFrame:
@@ -327,7 +353,7 @@ def _posterior(scored: DataFrame, weights: DataFrame, sources: int) -> DataFrame
     return joined.withColumn("chain", F.array_position("logs", F.col("top")).cast("int") - 1).withColumn("damaged", 1 - clean / z)
 
 
-def read_chains(documents: DataFrame, rounds: int = 4, certain: float = 0.9) -> DataFrame:
+def read_chains(documents: DataFrame, rounds: int | None = None, certain: float = 0.9) -> DataFrame:
     """Input (doc_id, source, text); output (doc_id, source, place, passage, chain,
     damaged): the passages that are damaged with at least that probability, and
     those with lost bytes (chain null if nothing else can be undone)."""
@@ -341,18 +367,19 @@ def read_chains(documents: DataFrame, rounds: int = 4, certain: float = 0.9) ->
             ]
             yield pd.DataFrame(rows, columns=["doc_id", "source", "place", "passage"])
 
-    texts = documents.where(r"text is not null and text rlike '[^\\x00-\\x7f]'").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")
+    texts = documents.where(NOT_ASCII).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")
     passages = stored(texts.mapInPandas(cut, "doc_id bigint, source string, place int, passage string"))
     totals = stored(passages.groupBy("source").agg(F.count("*").alias("n")))
     sources = totals.count()
     rough = _train(passages)
     first = stored(_score(passages, rough).where(F.col("best") > HOPELESS).select("doc_id", "place", "source", "gains"))
-    guessed = _posterior(first, _weights(first, totals, rounds, sources), sources).where("damaged > 0.5").select("doc_id", "place")
+    weights, field = _weights(first, totals, sources, rounds)
+    guessed = _posterior(first, weights, sources).where("damaged > 0.5").select("doc_id", "place")
     held_clean = passages.join(guessed, ["doc_id", "place"], "left_anti")
     second = stored(_score(passages, _train(held_clean, rough)))
-    judged = _posterior(second, _weights(second, totals, rounds, sources), sources)
+    judged = _posterior(second, _weights(second, totals, sources, rounds, field)[0], sources)
     lost = F.col("passage").contains(_LOST)
-    sure = (F.col("damaged") >= certain) & (F.col("chain") > 0) & (F.col("best") > 3)
+    sure = (F.col("damaged") >= certain) & (F.col("chain") > 0)
     names = F.array(*map(F.lit, CHAIN_NAMES))
     return judged.where(sure | lost).select(
         "doc_id", "source", "place", "passage", F.when(sure, names[F.col("chain")]).alias("chain"), "damaged"
@@ -382,7 +409,12 @@ def restored_documents(documents: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set("chain")).alias("chains"),
         F.max(F.col("passage").contains(_LOST)).alias("lost"),
     )
-    joined = documents.select("doc_id", "text").join(by_doc, "doc_id")
+    by_doc = stored(by_doc)
+    # Only texts of documents that were found move, where the ids are few enough to go to every task.
+    texts = documents.where(NOT_ASCII).select("doc_id", "text")
+    if by_doc.count() <= MOST_IDS:
+        texts = texts.join(F.broadcast(by_doc.select("doc_id")), "doc_id", "left_semi")
+    joined = texts.join(by_doc, "doc_id")
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -1,6 +1,6 @@
 import pytest
 
-from chainloom.llm.mojibake import CHAINS, garbled_documents, passages_of, repair_passage, restored_documents, undo
+from chainloom.llm.mojibake import CHAINS, CHAIN_NAMES, _posterior, _weights, garbled_documents, passages_of, repair_passage, restored_documents, undo
 
 SCHEMA = "doc_id bigint, source string, text string"
 GOOD = ["Người duyệt ghi: câu hỏi rõ nghĩa nhưng thời gian còn mơ hồ.", "La migración terminará mañana según la comisión.", "Der Schlüssel für die Überweisung enthält fünf ungültige Zeilen.", "Столбец может быть пустым; таких строк много.", "The naïve count wasn’t “fine” at the café – 70 µs."]
@@ -57,6 +57,27 @@ def test_trademark_after_a_capital_is_no_damage(spark):
     assert garbled_documents(spark.createDataFrame(rows, SCHEMA)).count() == 0
 
 
+def test_weak_evidence_counts_where_a_source_suffers(spark):
+    """One weak passage in each of three sources: only where others of its source
+    are damaged alike beyond doubt is it held damaged; the field lifts a source of
+    which little is known."""
+
+    def scored(rows):
+        k = len(CHAIN_NAMES)
+        gains = lambda chain, gain: [0.0] + [gain if i == chain else -1e6 for i in range(1, k)]
+        return spark.createDataFrame([(s, gains(1, g)) for s, g in rows], "source string, gains array<double>")
+
+    strong, weak = 40.0, 7.0
+    rows = [("bad", strong)] * 60 + [("bad", weak), ("good", weak), ("small", weak)]
+    totals = spark.createDataFrame([("bad", 300), ("good", 100_000), ("small", 2)], "source string, n bigint")
+    weights, field = _weights(scored(rows), totals, 3)
+    out = {r["source"]: r["damaged"] for r in _posterior(scored(rows).where("abs(gains[1]) < 20"), weights, 3).collect()}
+    assert out["bad"] > 0.9 and out["good"] < 0.5 and out["good"] < out["small"] < out["bad"]
+    assert 0.0003 < field[1] < 0.001
+    alone, _ = _weights(scored(rows[60:]), totals, 3)
+    assert all(r["damaged"] < 0.5 for r in _posterior(scored(rows[60:]), alone, 3).collect())
+
+
 def test_repair_leaves_other_tokens():
     assert repair_passage("plain SÃ£o plain", "utf_8>cp1252") == "plain São plain"
     assert repair_passage("x", "clean") == "x"
