@@ -35,6 +35,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from chainloom.functions.strings import banded_distance, segments, windows
 from chainloom.llm.glyphs import consistent
@@ -163,11 +164,17 @@ def canonical_question(text: str | None) -> tuple[str, str] | None:
     return (" ".join(values), " ".join(body)) if body else None
 
 
+_NAME = re.compile(r"[a-z_]\w*$")
+# Words that go on with an expression.
+_GO_ON = frozenset("over filter within partition rows range collate interval year month week day hour minute second escape div mod similar ilike".split())
+
+
 def canonical_statement(sql: str | None) -> str | None:
-    """A statement without layout, letter case, quoting and output names."""
+    """A statement without layout, letter case, quoting and output names, whether
+    these are given with AS or without it."""
     if not sql:
         return None
-    out, names, previous = [], {}, ""
+    out, names, previous, listing, depth = [], {}, "", [], 0
     for tok in _SQL_TOKEN.findall(consistent(sql.replace("\n", "\x01")).replace("\x01", "\n")):
         low = tok.lower()
         if tok.startswith("--") or tok == ";":
@@ -176,12 +183,23 @@ def canonical_statement(sql: str | None) -> str | None:
             low = "'" + low[1:-1] + "'"
         elif tok[0] == "`":
             low = low.strip("`")
-        if previous == "as" and low.strip("'") not in _KEYWORDS:
+        depth += (low == "(") - (low == ")")
+        if low == "select":
+            listing.append(depth)
+        elif low == "from" and listing and listing[-1] == depth:
+            listing.pop()
+        # right behind an expression of the list: an output name without AS
+        bare_name = listing and listing[-1] == depth and _NAME.match(low.strip("'\"")) and low not in _KEYWORDS and low not in _GO_ON and previous not in _GO_ON
+        ends_expression = previous in (")", "end") or (previous not in _KEYWORDS and _NAME.match(previous.rsplit(".", 1)[-1]))
+        if (previous == "as" and low.strip("'") not in _KEYWORDS) or (bare_name and ends_expression):
+            if out and out[-1] == "as":
+                out.pop()
+            out.append("as")
             low = names.setdefault(low.strip("'"), f"@{len(names)}")
         elif low in names:
             low = names[low]
         out.append(low)
-        previous = low
+        previous = low if low[0] != "@" else ""
     return " ".join(out) or None
 
 
@@ -328,29 +346,41 @@ def evaluation_texts(cases: DataFrame, held_out: DataFrame) -> DataFrame:
     return own.where("side is not null").unionByName(theirs)
 
 
-def overlap_pairs(cases: DataFrame, held_out: DataFrame, k: int = EDITS) -> DataFrame:
-    """Output (train_key, eval_key), unique: the overlaps by text or by query."""
+@F.pandas_udf(StringType())
+def _statements(sql: pd.Series) -> pd.Series:
+    return sql.map(canonical_statement).astype(object)
+
+
+def overlap_classes(cases: DataFrame, held_out: DataFrame, k: int = EDITS) -> tuple[DataFrame, DataFrame]:
+    """(train_class, eval_class) links and (key, side, class) members.  Copies of a
+    text or of a statement are one class; a text is near to others' classes, a
+    statement's class only meets itself."""
     texts = evaluation_texts(cases, held_out)
     canon = stored(_canonical(texts.select("key", "side", "text")))
     strings = stored(
         canon.groupBy("signature", "body").agg(F.max(F.col("side") == "train").alias("in_train"), F.max(F.col("side") == "eval").alias("in_eval"))
         .withColumn("id", F.monotonically_increasing_id())
     )
-    classes = near_classes(strings.where("in_train").select("id", "signature", "body"), strings.where("in_eval").select("id", "signature", "body"), common_words(strings.select("signature", "body")), k)
-    members = canon.join(strings.select("id", "signature", "body"), ["signature", "body"]).select("key", "side", "id")
-    by_text = (
-        classes.join(members.where("side = 'train'").select(F.col("id").alias("train_id"), F.col("key").alias("train_key")), "train_id")
-        .join(members.where("side = 'eval'").select(F.col("id").alias("eval_id"), F.col("key").alias("eval_key")), "eval_id")
-        .select("train_key", "eval_key")
-    )
-    statement = F.udf(canonical_statement, "string", useArrow=True)
+    near = near_classes(strings.where("in_train").select("id", "signature", "body"), strings.where("in_eval").select("id", "signature", "body"), common_words(strings.select("signature", "body")), k)
+    class_ = lambda c: F.concat(F.lit("t"), F.col(c).cast("string"))
+    by_text = canon.join(strings.select("id", "signature", "body"), ["signature", "body"]).select("key", "side", class_("id").alias("class"))
     side = F.when(F.lower(F.trim("split")) == "train", "train").when(F.lower(F.trim("split")).isin("validation", "test"), "eval")
-    queries = cases.where("case_id is not null and gold_sql is not null").select("case_id", side.alias("side"), F.sha2(statement("gold_sql"), 256).alias("statement"))
-    queries = stored(queries.where("side is not null and statement is not null"))
-    by_query = queries.where("side = 'train'").select("statement", F.col("case_id").alias("train_key")).join(
-        queries.where("side = 'eval'").select("statement", F.col("case_id").alias("eval_key")), "statement"
-    )
-    return by_text.unionByName(by_query.select("train_key", "eval_key")).distinct()
+    asked = cases.where("case_id is not null and gold_sql is not null").select(F.col("case_id").alias("key"), side.alias("side"), "gold_sql").where("side is not null")
+    by_query = stored(asked.select("key", "side", F.concat(F.lit("q"), F.sha2(_statements("gold_sql"), 256)).alias("class")).where("class is not null"))
+    both = by_query.groupBy("class").agg(F.count_distinct("side").alias("sides")).where("sides = 2").select(F.col("class").alias("train_class"), F.col("class").alias("eval_class"))
+    links = near.select(class_("train_id").alias("train_class"), class_("eval_id").alias("eval_class")).unionByName(both)
+    return stored(links), by_text.unionByName(by_query)
+
+
+def _side(members: DataFrame, side: str) -> DataFrame:
+    return members.where(F.col("side") == side).select(F.col("class").alias(f"{side}_class"), F.col("key").alias(f"{side}_key"))
+
+
+def overlap_pairs(cases: DataFrame, held_out: DataFrame, k: int = EDITS) -> DataFrame:
+    """Output (train_key, eval_key), unique: the overlaps by text or by query."""
+    links, members = overlap_classes(cases, held_out, k)
+    pairs = links.join(_side(members, "train"), "train_class").join(_side(members, "eval"), "eval_class")
+    return pairs.select("train_key", "eval_key").distinct()
 
 
 def overlap_found(cases: DataFrame, held_out: DataFrame) -> DataFrame:
@@ -362,10 +392,12 @@ def overlap_found(cases: DataFrame, held_out: DataFrame) -> DataFrame:
 def overlap_report(cases: DataFrame, held_out: DataFrame) -> DataFrame:
     """Output (split, source, records, overlapping, train_records): per evaluation
     split and source, how many records recur in training and how many training
-    records they recur in."""
+    records they recur in.  Classes are linked, never all of their members."""
     texts = evaluation_texts(cases, held_out).where("side = 'eval'").select(F.col("key").alias("eval_key"), "split", "source")
-    pairs = stored(overlap_pairs(cases, held_out))
-    hit = pairs.groupBy("eval_key").agg(F.count("*").alias("links"))
-    trained = texts.join(pairs, "eval_key").select("split", "source", "train_key").distinct().groupBy("split", "source").agg(F.count("*").alias("train_records"))
+    links, members = overlap_classes(cases, held_out)
+    placed = texts.join(_side(members, "eval"), "eval_key").join(links, "eval_class")
+    hit = placed.select("eval_key").distinct().withColumn("links", F.lit(1))
+    met = placed.select("split", "source", "train_class").distinct().join(_side(members, "train"), "train_class")
+    trained = met.select("split", "source", "train_key").distinct().groupBy("split", "source").agg(F.count("*").alias("train_records"))
     counts = texts.join(hit, "eval_key", "left").groupBy("split", "source").agg(F.count("*").alias("records"), F.count("links").alias("overlapping"))
     return counts.join(trained, ["split", "source"], "left").select("split", "source", "records", "overlapping", F.coalesce("train_records", F.lit(0)).alias("train_records"))

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from chainloom.llm.overlap import allowed, banded_distance, canonical_question, canonical_statement, common_words, overlap_found, overlap_report, same_question, segments, trained_lengths, windows
+from chainloom.llm.overlap import allowed, banded_distance, canonical_question, canonical_statement, common_words, overlap_found, overlap_pairs, overlap_report, same_question, segments, trained_lengths, windows
 
 CASES = "case_id string, question string, gold_sql string, split string, source string"
 HELD = "name string, questions array<string>"
@@ -107,6 +107,45 @@ def test_statements():
     assert canonical_statement(None) is None and canonical_statement("") is None
 
 
+@pytest.mark.parametrize(
+    "a, b, same",
+    [
+        ("select sum(x) total from t order by total", "SELECT SUM(x) AS s FROM t ORDER BY s", True),
+        ("select a p, count(*) n from t group by p", "select a as q, count(*) as m from t group by q", True),
+        ("select case when a then 1 else 2 end kind from t", "select case when a then 1 else 2 end as k from t", True),
+        ("select sum(x) over (partition by y) w from t", "select sum(x) over (partition by y) as v from t", True),
+        ("select sum(x) over (partition by y) w from t", "select sum(x) over (partition by z) as v from t", False),
+        ("select a + interval 7 day d from t", "select a + interval 7 hour as d from t", False),
+        ("select a, b from t", "select a b from t", False),
+        ("select distinct a from t", "select a from t", False),
+        ("select x as total from t where total = 5", "select x as total from t where total = 6", False),
+    ],
+)
+def test_output_names(a, b, same):
+    assert (canonical_statement(a) == canonical_statement(b)) is same
+
+
+def test_report_counts_what_the_pairs_hold(spark):
+    rng = random.Random(6)
+    texts = [f"How many transfers did token {t} see from 2026-01-0{d} until 2026-02-0{d}?" for t in ("ABCD", "EFGH") for d in range(1, 5)]
+    rows = [(f"c{i}", rng.choice(texts), f"select count(*) n{i % 3} from t where d = {rng.randrange(6)}", rng.choice(["train", "validation", "test"]), rng.choice(["a", "b", None])) for i in range(60)]
+    cases = spark.createDataFrame(rows, "case_id string, question string, gold_sql string, split string, source string")
+    held = spark.createDataFrame([("h1", texts[:3]), ("h2", [texts[0], None, "nothing alike"])], "name string, questions array<string>")
+    pairs = [tuple(r) for r in overlap_pairs(cases, held).collect()]
+    place = {r[0]: (r[3], r[4] or "") for r in rows} | {f"{n}#{i}": ("held_out", n) for n in ("h1", "h2") for i in range(3)}
+    want = {}
+    for key, group in place.items():
+        if group[0] != "train":
+            w = want.setdefault(group, [0, set(), set()])
+            w[0] += 1
+            for t, e in pairs:
+                if e == key:
+                    w[1].add(e)
+                    w[2].add(t)
+    got = {(r["split"], r["source"]): (r["records"], r["overlapping"], r["train_records"]) for r in overlap_report(cases, held).collect()}
+    assert got == {g: (n, len(e), len(t)) for g, (n, e, t) in want.items()} and len(pairs) == len(set(pairs))
+
+
 def test_tables(spark):
     q = "Show the 5 largest transactions from 2026-01-01 until 2026-01-09."
     cases = [
