@@ -1,15 +1,19 @@
 """Problem 3: train, validation and test splits that keep related records together.
 
 Records are tied by the groups that list them; tied sets are the connected
-components.  The sets are bundled by identical size and label profile, a
-min-cost flow assigns the records of every label to the splits (quota arcs are
-free, deviating from a split's share of a label costs 1, from the split's whole
-quota 4), the flow is rounded to whole sets, largest sets first, and the sets of
-a bundle are dealt by a hash of their lead.
+components.  The sets are bundled by identical size and label profile (each
+label's share of the set in quarters), a min-cost flow assigns the records of
+every label to the splits (quota arcs are free, deviating from a split's share of
+a label costs 1, from the split's whole quota 4), the flow is rounded to whole
+sets, largest sets first, and the sets of a bundle are dealt by a hash of their
+lead.  All bundles of one label would have the same arcs and costs, so they enter
+the flow as one node, and its flow is divided among them; a mixed set draws on the
+quotas of all of its labels.
 
 Sizes: the driver sees one row per bundle.  Distinct set sizes are at most
 sqrt(2 N) for N records and a profile is one of a few dozen, whatever N is.
-Bundles with many sets are dealt in hashed parts, so no rank runs over them whole.
+Bundles with many sets are ranked in hashed parts whose first ranks are running
+sums, so no rank runs over a bundle whole and no row per part reaches the driver.
 
 Defined results: null and blank ids tie nothing; a member that is no case ties
 like any other but gets no split; repeated members and rows change nothing;
@@ -28,6 +32,8 @@ from chainloom.sources.checkpoints import stored
 
 #: Sets of one bundle that are ranked together.
 PART = 50_000
+#: Stands between the labels of a profile.
+UNIT = "\x1f"
 
 
 def tie_edges(groups: DataFrame) -> DataFrame:
@@ -134,35 +140,50 @@ def label_quotas(supply: dict[str, int], proportions: dict[str, float]) -> dict[
     return {key: sum(net.arcs[k ^ 1][1] for k in arcs) for key, arcs in used.items()}
 
 
+def profile_shares(profile: str, label: str) -> dict[str, float]:
+    """Share of each label in a set of that profile ("label=quarters", unit separated)."""
+    parts = [p.rsplit("=", 1) for p in profile.split(UNIT) if "=" in p]
+    weights = {name: int(quarters) for name, quarters in parts if int(quarters)}
+    return {name: w / sum(weights.values()) for name, w in weights.items()} or {label: 1.0}
+
+
 def round_bundles(bundles: list[tuple], quotas: dict[tuple[str, str], int], proportions: dict[str, float]) -> list[tuple]:
     """bundles: (size, label, profile, part, count); gives (size, label,
     profile, part, split, first rank, last rank) in whole sets.
 
-    Largest sets first: each bundle takes its part of the label's flow, rounded
+    Largest sets first: each bundle takes its part of its labels' flow, rounded
     down, and what is left goes, set by set, where most records are missing.
     """
     splits = sorted(proportions)
-    missing = dict(quotas)
-    open_split = {s: sum(n for (_, t), n in quotas.items() if t == s) for s in splits}
-    left: dict[str, int] = {}
-    for size, label, _, _, count in bundles:
-        left[label] = left.get(label, 0) + size * count
+    missing: dict[tuple[str, str], float] = dict(quotas)
+    open_split: dict[str, float] = {s: sum(n for (_, t), n in quotas.items() if t == s) for s in splits}
+    left: dict[str, float] = {}
+    for size, label, profile, _, count in bundles:
+        for name, share in profile_shares(profile, label).items():
+            left[name] = left.get(name, 0) + share * size * count
     out = []
     for size, label, profile, part, count in sorted(bundles, key=lambda b: (-b[0], b[1], b[2], b[3])):
-        weight = max(1, left[label])
-        given = {s: int(count * max(0, missing.get((label, s), 0)) / weight) for s in splits}
+        shares = profile_shares(profile, label)
+        # the part of each label's open flow that falls to these sets, by their shares
+        given = {s: int(count * sum(share * max(0, missing.get((name, s), 0)) / max(1, left[name]) for name, share in shares.items()) + 1e-9) for s in splits}
         while sum(given.values()) > count:
             given[max(given, key=lambda s: (given[s], s))] -= 1
+
+        def take(split: str, sets: int) -> None:
+            open_split[split] -= size * sets
+            for name, share in shares.items():
+                missing[name, split] = missing.get((name, split), 0) - share * size * sets
+
         for s in splits:
-            missing[label, s] = missing.get((label, s), 0) - size * given[s]
-            open_split[s] -= size * given[s]
+            take(s, given[s])
         for _ in range(count - sum(given.values())):
             # where most of the quota is missing, in records; ties to the largest share
-            s = max(splits, key=lambda s: (min(open_split[s], size) + min(missing[label, s], size), open_split[s], proportions[s], s))
+            gain = lambda s: min(open_split[s], size) + sum(min(missing.get((name, s), 0), share * size) for name, share in shares.items())
+            s = max(splits, key=lambda s: (gain(s), open_split[s], proportions[s], s))
             given[s] += 1
-            missing[label, s] -= size
-            open_split[s] -= size
-        left[label] -= size * count
+            take(s, 1)
+        for name, share in shares.items():
+            left[name] -= share * size * count
         rank = 1
         for s in splits:
             if given[s]:
@@ -187,26 +208,22 @@ def assign_splits(cases: DataFrame, groups: DataFrame, targets: DataFrame, label
     share = F.round(4 * F.col("n") / F.col("set_size")).cast("int")
     profiles = counted.groupBy("lead_case_id", F.col("set_size").alias("size")).agg(
         F.max(F.struct("n", "label"))["label"].alias("label"),
-        F.concat_ws(",", F.array_sort(F.collect_list(F.concat_ws("=", "label", share)))).alias("profile"),
+        F.concat_ws(UNIT, F.array_sort(F.collect_list(F.concat_ws("=", "label", share)))).alias("profile"),
     )
     hashed = profiles.withColumn("deal", F.xxhash64("lead_case_id"))
-    sized = hashed.groupBy("size", "label", "profile").agg(F.ceil(F.count("*") / F.lit(PART)).alias("parts"))
-    parted = stored(
-        hashed.join(sized, ["size", "label", "profile"]).withColumn("part", F.pmod(F.hash("lead_case_id"), F.col("parts"))).drop("parts")
-    )
-    bundles = [tuple(r) for r in parted.groupBy("size", "label", "profile", "part").count().collect()]
+    bundle = ["size", "label", "profile"]
+    sized = hashed.groupBy(*bundle).agg(F.ceil(F.count("*") / F.lit(PART)).alias("parts"))
+    parted = stored(hashed.join(sized, bundle).withColumn("part", F.pmod(F.hash("lead_case_id"), F.col("parts"))).drop("parts"))
+    counted = stored(parted.groupBy(*bundle, "part").count())
+    bundles = [(size, name, profile, 0, count) for size, name, profile, count in counted.groupBy(*bundle).agg(F.sum("count")).collect()]
     if not bundles:
         return empty
-    supply: dict[str, int] = {}
-    for size, name, _, _, count in bundles:
-        supply[name] = supply.get(name, 0) + size * count
-    ranges = round_bundles(bundles, label_quotas(supply, proportions), proportions)
-    table = spark.createDataFrame(ranges, "size bigint, label string, profile string, part bigint, split string, first bigint, last bigint")
-    order = Window.partitionBy("size", "label", "profile", "part").orderBy("deal", "lead_case_id")
-    ranked = parted.withColumn("rank", F.row_number().over(order))
-    dealt = (
-        ranked.join(table, ["size", "label", "profile", "part"])
-        .where("rank between first and last")
-        .select("lead_case_id", "split")
-    )
+    supply = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    ranges = [(size, name, profile, split, first, last) for size, name, profile, _, split, first, last in round_bundles(bundles, label_quotas(supply, proportions), proportions)]
+    table = spark.createDataFrame(ranges, "size bigint, label string, profile string, split string, first bigint, last bigint")
+    before = Window.partitionBy(*bundle).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counted.select(*bundle, "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    order = Window.partitionBy(*bundle, "part").orderBy("deal", "lead_case_id")
+    ranked = parted.withColumn("rank", F.row_number().over(order)).join(offsets, [*bundle, "part"]).withColumn("rank", F.col("rank") + F.col("offset"))
+    dealt = ranked.join(table, bundle).where("rank between first and last").select("lead_case_id", "split")
     return sets.join(dealt, "lead_case_id").select("case_id", "lead_case_id", "split")

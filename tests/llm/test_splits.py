@@ -1,6 +1,7 @@
 import random
 
-from chainloom.llm.splits import MinCostFlow, assign_splits, label_quotas, round_bundles, tied_pairs
+from chainloom.llm import splits
+from chainloom.llm.splits import UNIT, MinCostFlow, assign_splits, label_quotas, profile_shares, round_bundles, tied_pairs
 
 CASES = "case_id string, difficulty string, split string"
 GROUPS = "group_id string, template_id string, member_record_ids array<string>"
@@ -65,6 +66,27 @@ def test_rounding_deals_every_set_once():
         assert all(b[0] == a[1] + 1 for a, b in zip(dealt, dealt[1:]))
 
 
+def test_mixed_sets_draw_on_all_of_their_labels():
+    proportions = {"train": 0.75, "test": 0.25}
+    mixed = "a=2" + UNIT + "b=2"
+    assert profile_shares(mixed, "a") == {"a": 0.5, "b": 0.5} and profile_shares("x=y=4", "x=y") == {"x=y": 1.0} and profile_shares("", "z") == {"z": 1.0}
+    bundles = [(4, "a", mixed, 0, 40), (1, "b", "b=4", 0, 80)]
+    ranges = round_bundles(bundles, label_quotas({"a": 80, "b": 160}, proportions), proportions)
+    sets = {}
+    for size, _, profile, _, split, first, last in ranges:
+        sets[profile, split] = last - first + 1
+    assert sets[mixed, "train"] == 30 and sets["b=4", "train"] == 60
+
+
+def test_ranks_run_over_hashed_parts(spark, monkeypatch):
+    monkeypatch.setattr(splits, "PART", 30)
+    cases = [(f"k{i:04}", "easy", "x") for i in range(1000)]
+    targets = spark.createDataFrame([("train", 0.8), ("validation", 0.1), ("test", 0.1)], TARGETS)
+    out = assign_splits(spark.createDataFrame(cases, CASES), spark.createDataFrame([], GROUPS), targets).collect()
+    assert sorted(r["case_id"] for r in out) == [c for c, *_ in cases]
+    assert sorted(sum(r["split"] == s for r in out) for s in ("train", "validation", "test")) == [100, 100, 800]
+
+
 def test_tied_cases_share_a_split_in_proportion(spark):
     cases = [(f"k{i:04}", random.Random(i).choice(["easy", "hard", None]), "x") for i in range(1000)]
     groups = [(f"g{i}", None, [f"k{i * 5 + j:04}" for j in range(5)]) for i in range(100)]
