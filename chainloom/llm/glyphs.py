@@ -4,12 +4,16 @@ Every token is resolved to one script.  Each character contributes the set of
 scripts it could be read in (its own, plus those in which a twin letter looks
 the same); the sets are intersected across the token:
 
-* the intersection holds the Latin script -> the Latin spelling is selected.
-  This covers mixed tokens ("pаyment" with a Cyrillic a) and tokens written
-  wholly in look-alikes of another script;
-* it holds only another script -> every letter is respelled in that script;
+* the intersection holds several scripts (a whole-script confusable) -> the one in
+  which most of the text's unequivocal tokens are written, else Latin.  This
+  covers tokens written wholly in look-alikes of another script, and leaves short
+  words of a Cyrillic or Greek sentence in its script;
+* it holds one script (mixed tokens such as "pаyment" with a Cyrillic a) -> every letter is respelled in that script;
 * it is empty (a token that truly mixes scripts) -> letters stay as they are.
 
+What a letter looks like decides its set, so texts that look alike have the same
+sets, votes and spellings.
+
 Before that, compatibility forms (full width, ligatures) are folded, invisible
 characters dropped, every blank becomes an ordinary space, hyphen twins become
 ``-`` and accents are composed (NFC).  Letter case, accents, punctuation and
@@ -23,6 +27,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -40,6 +45,11 @@ GREEK_TWINS = {
     "α": "a", "ο": "o", "ν": "v", "ρ": "p", "ι": "i", "υ": "u", "γ": "y", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z",
     "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ό": "ó",
 }
+ARMENIAN_TWINS = {"օ": "o", "ս": "u", "հ": "h", "ո": "n", "զ": "q", "ց": "g", "յ": "j", "Օ": "O", "Տ": "S", "Լ": "L"}
+CHEROKEE_TWINS = {
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮩ": "V", "Ꮪ": "S",
+    "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+}
 # Letters of the IPA and similar blocks that look like plain Latin ones.
 LATIN_TWINS = {"ɑ": "a", "ɡ": "g", "ı": "ı", "ℓ": "l"}
 HYPHEN_TWINS = {"‐": "-", "‑": "-", "‒": "-", "−": "-", "﹣": "-"}
@@ -49,23 +59,28 @@ _BLANK = re.compile(r"\s+")
 _PLAIN = re.compile(r"[\x21-\x7e]+(?: [\x21-\x7e]+)*")
 _TOKEN = re.compile(r"[^\W_]+(?:[̀-ͯ][^\W_]*)*")
 
-_TO_LATIN = CYRILLIC_TWINS | GREEK_TWINS
-_FROM_LATIN = {"Cyrillic": {v: k for k, v in CYRILLIC_TWINS.items()}, "Greek": {v: k for k, v in GREEK_TWINS.items()}}
-_SPAN = re.compile("[Ͱ-Ͽἀ-῿Ѐ-ԯ]")
+_TO_LATIN = CYRILLIC_TWINS | GREEK_TWINS | ARMENIAN_TWINS | CHEROKEE_TWINS
+_FROM_LATIN = {
+    script: {v: k for k, v in twins.items()}
+    for script, twins in (("Cyrillic", CYRILLIC_TWINS), ("Greek", GREEK_TWINS), ("Armenian", ARMENIAN_TWINS), ("Cherokee", CHEROKEE_TWINS))
+}
+# First and last code points.
+_BLOCKS = (("Greek", 0x0370, 0x03FF), ("Greek", 0x1F00, 0x1FFF), ("Cyrillic", 0x0400, 0x052F), ("Armenian", 0x0530, 0x058F), ("Cherokee", 0x13A0, 0x13FF))
+_SPAN = re.compile("[Ͱ-Ͽἀ-῿Ѐ-ԯ԰-֏Ꭰ-᏿]")
 
 
 def script_of(ch: str) -> str | None:
     """Script of a letter; None for characters common to all scripts."""
     code = ord(ch)
-    if 0x0370 <= code <= 0x03FF or 0x1F00 <= code <= 0x1FFF:
-        return "Greek"
-    if 0x0400 <= code <= 0x052F:
-        return "Cyrillic"
+    for script, first, last in _BLOCKS:
+        if first <= code <= last:
+            return script
     if not ch.isalpha():
         return None
     return "Latin" if code < 0x0250 or 0x1E00 <= code <= 0x1EFF else "Other"
 
 
+@lru_cache(maxsize=20_000)
 def readable_scripts(ch: str) -> frozenset[str] | None:
     """Scripts in which a letter could be read without changing its looks."""
     own = script_of(ch)
@@ -81,21 +96,38 @@ def readable_scripts(ch: str) -> frozenset[str] | None:
     return frozenset(found)
 
 
-def respell(token: str) -> str:
-    """One token in the script shared by all of its letters."""
+@lru_cache(maxsize=50_000)
+def shared_scripts(token: str) -> frozenset[str] | None:
+    """Scripts in which all letters of a token can be read; None without letters."""
     common: frozenset[str] | None = None
     for ch in token:
         scripts = readable_scripts(ch)
         if scripts is not None:
             common = scripts if common is None else common & scripts
-    if common is None or not common:
-        # A digit sequence, or letters that no single script can spell.
-        return "".join(_TO_LATIN.get(ch, ch) for ch in token) if common is not None else token
-    if "Latin" in common:
-        return "".join(_TO_LATIN.get(ch, ch) for ch in token)
-    for script in sorted(common & _FROM_LATIN.keys()):
-        return "".join(_FROM_LATIN[script].get(_TO_LATIN.get(ch, ch), ch) for ch in token)
-    return token
+    return common
+
+
+def written_script(text: str) -> str:
+    """Script of most unequivocal tokens; Latin without any and at a tie."""
+    votes: dict[str, int] = {}
+    for token in _TOKEN.findall(text):
+        scripts = shared_scripts(token)
+        if scripts is not None and len(scripts) == 1:
+            (script,) = scripts
+            votes[script] = votes.get(script, 0) + 1
+    return max(votes, key=lambda s: (votes[s], s == "Latin", s), default="Latin")
+
+
+def respell(token: str, text_script: str = "Latin") -> str:
+    """One token in the script shared by all of its letters."""
+    common = shared_scripts(token)
+    if common is None:
+        return token  # digits
+    latin = "".join(_TO_LATIN.get(ch, ch) for ch in token)
+    if not common:
+        return latin  # letters that no single script can spell
+    script = text_script if text_script in common else "Latin" if "Latin" in common else min(common)
+    return "".join(_FROM_LATIN[script].get(ch, old) for ch, old in zip(latin, token)) if script in _FROM_LATIN else latin if script == "Latin" else token
 
 
 def consistent(text: str | None) -> str | None:
@@ -108,7 +140,8 @@ def consistent(text: str | None) -> str | None:
     text = INVISIBLE.sub("", text)
     text = "".join(HYPHEN_TWINS.get(ch, LATIN_TWINS.get(ch, ch)) for ch in text)
     if _SPAN.search(text):
-        text = unicodedata.normalize("NFC", _TOKEN.sub(lambda m: respell(m.group()), text))
+        script = written_script(text)
+        text = unicodedata.normalize("NFC", _TOKEN.sub(lambda m: respell(m.group(), script), text))
     return _BLANK.sub(" ", text).strip()
 
 

@@ -1,7 +1,9 @@
+import random
 from itertools import combinations
 
 import pytest
 
+from chainloom.llm import glyphs
 from chainloom.llm.glyphs import consistent, lookalike_pairs, normalise_text
 
 
@@ -35,3 +37,31 @@ def test_pairs_against_brute_force(spark):
 def test_output_column_may_exist(spark):
     frame = spark.createDataFrame([("pаy", "old")], "text string, form string")
     assert normalise_text(frame, "text", "form").collect()[0]["form"] == "pay"
+
+
+def test_sentences_keep_their_script():
+    russian, greek = "у нас есть хор", "το νερο ρει"
+    assert consistent(russian) == russian and consistent("y нас есть xop") == russian
+    assert consistent(greek) == greek
+    assert consistent("The хор sang оn") == "The xop sang on" and consistent("хор") == "xop"
+
+
+@pytest.mark.parametrize("text, form", [("ᏣᎳᎩ", "ᏣᎳᎩ"), ("Ꭲhe Ꭺge", "The Age"), ("սsed by all", "used by all"), ("հարց", "հարց")])
+def test_further_scripts(text, form):
+    assert consistent(text) == form
+
+
+def test_respelling_is_stable_and_blind_to_the_spelling():
+    """Whatever letters are swapped for their twins, one form comes out, and it stays."""
+    rng = random.Random(4)
+    for text in ("Top 5 native transfers of tokens", "у нас есть хор", "Показать все переводы to exchange", "ΟΝΟΜΑ και αριθμος", "каховка oracle"):
+        form = consistent(text)
+        assert consistent(form) == form
+        for _ in range(40):
+            swapped = "".join(rng.choice([ch, *glyphs_twins(ch)]) for ch in text)
+            assert consistent(swapped) == form
+
+
+def glyphs_twins(ch):
+    latin = glyphs._TO_LATIN.get(ch, ch)
+    return [t for t in (latin, *(twins[latin] for twins in glyphs._FROM_LATIN.values() if latin in twins)) if t != ch]
