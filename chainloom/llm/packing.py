@@ -87,24 +87,24 @@ def pack(sizes: list[int], capacity: int) -> list[int]:
 
 
 def _pack_groups(items: DataFrame, level: int) -> DataFrame:
-    schema = "spec_id bigint, capacity bigint, doc_id bigint, piece bigint, token_start bigint, n_tokens bigint, container_id string, fill bigint"
+    schema = "spec_id bigint, capacity bigint, doc_id bigint, copy bigint, piece bigint, token_start bigint, n_tokens bigint, container_id string, fill bigint"
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+        group = group.sort_values(["n_tokens", "doc_id", "piece", "copy"], ascending=[False, True, True, True], kind="stable")
         numbers = pack(group["n_tokens"].tolist(), int(group["capacity"].iloc[0]))
         group["container_id"] = [f"{key[0]}-{level}-{key[1]}-{n}" for n in numbers]
         group["fill"] = group.groupby("container_id")["n_tokens"].transform("sum")
-        return group[["spec_id", "capacity", "doc_id", "piece", "token_start", "n_tokens", "container_id", "fill"]]
+        return group[["spec_id", "capacity", "doc_id", "copy", "piece", "token_start", "n_tokens", "container_id", "fill"]]
 
     return items.groupBy("spec_id", "bucket").applyInPandas(run, schema)
 
 
 def _dealt(items: DataFrame, group_items: int) -> DataFrame:
     """Adds ``bucket``: as many evenly hashed groups a spec as its size asks for.
-    The row's place in the stored input is part of the hash, so that repeated or
-    null ids spread as well."""
+    Copies of one item are numbered and the number is hashed too, so repeated or null
+    ids spread as well, and the deal doesn't depend on how the input is laid out."""
     groups = items.groupBy("spec_id").agg(F.ceil(F.count("*") / F.lit(group_items)).cast("bigint").alias("groups"))
-    return items.join(F.broadcast(groups), "spec_id").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.col("groups"))).drop("groups")
+    return items.join(F.broadcast(groups), "spec_id").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens", "copy"), F.col("groups"))).drop("groups")
 
 
 def fill_containers(documents: DataFrame, specs: DataFrame, folder: str = DEFAULT_FOLDER, group_items: int = 20_000, repack_below: float = 0.97) -> DataFrame:
@@ -121,17 +121,18 @@ def fill_containers(documents: DataFrame, specs: DataFrame, folder: str = DEFAUL
     names = [r["tokenizer"] for r in wanted.select("tokenizer").distinct().collect()]
     if wanted.count() > MOST_SPECS:
         raise ValueError(f"more than {MOST_SPECS} container specifications")
-    counted = stored(count_tokens(documents, names, folder))
-    sized = counted.join(F.broadcast(wanted), "tokenizer").select("spec_id", "capacity", "doc_id", "n_tokens")
+    counted = count_tokens(documents, names, folder).groupBy("tokenizer", "doc_id", "n_tokens").agg(F.count("*").alias("copies"))
+    counted = stored(counted.select("tokenizer", "doc_id", "n_tokens", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy")))
+    sized = counted.join(F.broadcast(wanted), "tokenizer").select("spec_id", "capacity", "doc_id", "copy", "n_tokens")
     pieces = sized.withColumn("pieces", F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("n_tokens") / F.col("capacity"))))
     cut = pieces.select(
-        "spec_id", "capacity", "doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)).alias("piece"), F.col("n_tokens").alias("whole")
+        "spec_id", "capacity", "doc_id", "copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)).alias("piece"), F.col("n_tokens").alias("whole")
     ).select(
-        "spec_id", "capacity", "doc_id", "piece",
+        "spec_id", "capacity", "doc_id", "copy", "piece",
         (F.col("piece") * F.col("capacity")).alias("token_start"),
         F.least("capacity", F.col("whole") - F.col("piece") * F.col("capacity")).alias("n_tokens"),
     )
-    full = cut.where("n_tokens = capacity").withColumn("container_id", F.concat_ws("-", F.col("spec_id"), F.lit("f"), F.col("doc_id"), F.col("piece"), F.monotonically_increasing_id()))
+    full = cut.where("n_tokens = capacity").withColumn("container_id", F.concat_ws("-", F.col("spec_id"), F.lit("f"), F.col("doc_id"), F.col("piece"), F.col("n_tokens"), F.col("copy")))
     first = stored(_pack_groups(_dealt(cut.where("n_tokens < capacity"), group_items), 1))
     loose = F.col("fill") < F.col("capacity") * F.lit(repack_below)
     kept = first.where(~loose)

@@ -2,6 +2,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from chainloom.llm.bpe import DEFAULT_FOLDER
 from chainloom.llm.packing import fill_containers, pack
@@ -57,3 +58,13 @@ def test_tables(spark):
         assert sum(r["doc_id"] == 5 for r in rows) == 3
     assert {r["spec_id"] for r in out} == {1, 2}
     assert fill_containers(spark.createDataFrame([], DOCS), spark.createDataFrame(specs, SPECS)).count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists(f"{DEFAULT_FOLDER}/byte_bpe_50k.tiktoken"), reason="no vocabulary files")
+def test_containers_do_not_depend_on_the_layout(spark):
+    rng = random.Random(4)
+    docs = [(rng.choice([None, None, i % 90]), " ".join(["token"] * rng.randint(0, 70))) for i in range(250)] + [(None, "same")] * 60
+    specs = spark.createDataFrame([(1, "byte_bpe_50k", 64)], SPECS)
+    frame = spark.createDataFrame(docs, DOCS)
+    packed = [sorted((tuple(r) for r in fill_containers(f, specs, group_items=60).collect()), key=str) for f in (frame.repartition(7), frame.orderBy(F.desc("doc_id")).coalesce(1))]
+    assert packed[0] == packed[1] and len(packed[0]) >= len(docs)
