@@ -12,7 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-ADDRESS = r"0x[0-9a-f]{40}"
+#: An address stands alone: a longer hexadecimal number holds none.
+ADDRESS = r"(?<![0-9a-zA-Z_])0x[0-9a-f]{40}(?![0-9a-zA-Z_])"
 ISO_DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
 
 
@@ -119,6 +120,14 @@ def dates_in(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({ISO_DATE})"), F.lit(1))
 
 
+def url_quoted(text: Column) -> Column:
+    """Percent encoding of everything but letters, digits and ``_.-~``."""
+    out = F.url_encode(text)
+    for made, wanted in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        out = F.replace(out, F.lit(made), F.lit(wanted))
+    return out
+
+
 def statement_shape(sql: Column) -> Column:
     """A statement with literals as ``?``, in lower case, blanks collapsed."""
     out = F.lower(sql)

@@ -3,12 +3,15 @@ exclusion, audit samples, event-log folds, agreement and name conflicts."""
 
 from __future__ import annotations
 
+import datetime as dt
 import random
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chainloom.functions.noise import change
 from chainloom.functions.text import fold_accents, hash_bucket, normalised_distance, shingles, statement_shape, words
 
 
@@ -106,14 +109,178 @@ def statement_features(queries: DataFrame) -> DataFrame:
     )
 
 
-def wording_diversity(variants: DataFrame) -> DataFrame:
-    """Input (key, a, b): a text and its variant; mean normalised distance by key."""
-    return variants.where("a is not null and b is not null").groupBy("key").agg(F.round(F.avg(normalised_distance(F.col("a"), F.col("b"))), 9).alias("diversity"))
+# The four styles of a question and how each frames it, by language.
+STYLES = {
+    ("en", "plain"): "{0}", ("en", "polite"): "Could you please tell me: {0}", ("en", "short"): "{0} Keep it short.", ("en", "formal"): "I would like to know the following. {0}",
+    ("vi", "plain"): "{0}", ("vi", "polite"): "Xin cho biết: {0}", ("vi", "short"): "{0} Trả lời ngắn gọn.", ("vi", "formal"): "Tôi muốn biết điều sau đây. {0}",
+}
+
+
+def generated_records(spark: SparkSession, allocation: dict[str, int], start: str, end: str, days: int = 7, limits: tuple[int, ...] = (5, 10, 20, 50)) -> DataFrame:
+    """(id, template_id, position, window_start, window_end, n): as many records of each
+    template as allotted; windows and limits are taken from their pools in turn, the
+    limit moving on once per round of windows.  Arithmetic on the row's number only."""
+    rows = spark.createDataFrame(sorted(allocation.items()), "template_id string, allotted int")
+    numbered = rows.where("allotted > 0").select("template_id", F.explode(F.sequence(F.lit(0), F.col("allotted") - 1)).alias("position"))
+    windows = max(1, (dt.date.fromisoformat(end) - dt.date.fromisoformat(start)).days - days + 1)
+    first = F.date_add(F.to_date(F.lit(start)), (F.col("position") % windows).cast("int"))
+    n = F.element_at(F.array(*map(F.lit, limits)), (F.floor(F.col("position") / windows) % len(limits) + 1).cast("int"))
+    return numbered.select(
+        F.format_string("%s-%06d", "template_id", "position").alias("id"), "template_id", "position",
+        first.alias("window_start"), F.date_add(first, days).alias("window_end"), n.alias("n"),
+    )
+
+
+def expanded_questions(records: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Input records (id, template_id, and slot columns) and patterns (template_id,
+    language, pattern with {slot} places); output (id, family, language, style,
+    question): every record in every language and style."""
+    styles = F.array(*[F.struct(F.lit(lang).alias("language"), F.lit(style).alias("style"), F.lit(frame).alias("frame")) for (lang, style), frame in STYLES.items()])
+    question = F.col("pattern")
+    for slot in records.columns:
+        if slot not in ("id", "template_id"):
+            question = F.replace(question, F.lit("{" + slot + "}"), F.coalesce(F.col(slot).cast("string"), F.lit("")))
+    rendered = records.join(patterns, "template_id").select("id", "language", question.alias("core"))
+    framed = rendered.select("id", "language", "core", F.explode(styles).alias("s")).where("s.language = language")
+    return framed.select(
+        F.concat_ws("__", "id", "language", "s.style").alias("id"), F.col("id").alias("family"), "language", F.col("s.style").alias("style"), F.replace(F.col("s.frame"), F.lit("{0}"), F.col("core")).alias("question")
+    )
+
+
+def wording_diversity(variants: DataFrame, least: float = 0.3) -> DataFrame:
+    """Input (family, language, style, question), one question a style; output
+    (family, language, pairs, diversity, diverse): the mean normalised Levenshtein
+    distance of all pairs of a family's styles.  A family holds as many variants as
+    there are styles, so its pairs are formed inside one row."""
+    held = variants.where("question is not null").groupBy("family", "language").agg(F.array_sort(F.collect_set(F.struct("style", "question"))).alias("v"))
+    pairs = F.flatten(F.transform("v", lambda x, i: F.transform(F.slice("v", i + 2, F.size("v")), lambda y: normalised_distance(x["question"], y["question"]))))
+    out = held.select("family", "language", pairs.alias("d")).withColumn("pairs", F.size("d"))
+    mean = F.round(F.aggregate("d", F.lit(0.0), lambda a, x: a + x) / F.col("pairs"), 9)
+    return out.where("pairs > 0").select("family", "language", "pairs", mean.alias("diversity"), (mean > least).alias("diverse"))
+
+
+def limit_witnesses(queries: DataFrame) -> DataFrame:
+    """Input (key, sql); output (base, members, witness, least_n, proof): statements that
+    differ in their final LIMIT only form a group, and the one with the least limit
+    proves the others (``limit_monotonic``); one without a limit proves itself."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower("sql"), r"[\s`;]+", " "), r"\s+", " "))
+    read = queries.where("key is not null and sql is not null").select("key", plain.alias("plain"))
+    n = F.regexp_extract("plain", r" limit ([0-9]{1,18})$", 1)
+    split = read.select("key", F.regexp_replace("plain", r" limit [0-9]{1,18}$", "").alias("base"), F.when(n != "", n).cast("bigint").alias("n"))
+    grouped = split.groupBy("base", F.col("n").isNull().alias("whole")).agg(
+        F.count("*").alias("members"), F.min(F.struct("n", "key"))["key"].alias("witness"), F.min("n").alias("least_n")
+    )
+    return grouped.select("base", "members", "witness", "least_n", F.when(F.col("whole"), "exact").otherwise("limit_monotonic").alias("proof"))
+
+
+# Kinds of noise and the distance each may make.
+NOISE = {"typo": 0.10, "abbreviation": 0.35, "fragment": 0.45, "mixed_case": 0.0}
+
+
+def with_noise(questions: DataFrame, quotas: dict[str, int], seed: str) -> DataFrame:
+    """Input (key, text); output (key, kind, text, noisy, distance): as many noisy
+    copies of each kind as its quota, if there are so many valid ones.
+
+    A hash gives every question one kind, so no two kinds share a source; protected
+    are addresses, dates, numbers and words in capitals.  A copy is valid within its
+    kind's distance (mixed case: 0 by folded text) and if no question reads so.
+    """
+    kinds = sorted(NOISE)
+    values = r"(0[xX][0-9a-fA-F]+|[0-9][0-9./,:-]*|\b[A-Z][A-Z0-9]+\b)"
+    kind = F.element_at(F.array(*map(F.lit, kinds)), (hash_bucket(F.concat(F.lit(seed + ":kind:"), F.col("key"))) % len(kinds) + 1).cast("int"))
+    asked = questions.where("key is not null and text is not null").select("key", "text", kind.alias("kind"), F.regexp_extract_all("text", F.lit(values), F.lit(1)).alias("kept"))
+
+    @F.pandas_udf("string")
+    def changed(key: pd.Series, text: pd.Series, kind: pd.Series, kept: pd.Series) -> pd.Series:
+        return pd.Series([noisy(t, k, f"{seed}:{i}", list(p)) for i, t, k, p in zip(key, text, kind, kept)], dtype=object)
+
+    fold = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    made = asked.withColumn("noisy", changed("key", "text", "kind", "kept")).where("noisy <> text").withColumn("distance", F.round(normalised_distance(fold("text"), fold("noisy")), 9))
+    most = F.create_map(*[F.lit(x) for k in kinds for x in (k, NOISE[k])])
+    fits = F.when(F.col("kind") == "mixed_case", F.col("distance") == 0).otherwise((F.col("distance") > 0) & (F.col("distance") <= most[F.col("kind")]))
+    known = questions.where("text is not null").select(F.col("text").alias("noisy")).distinct()
+    valid = made.where(fits).join(known, "noisy", "left_anti").withColumn("order", F.sha2(F.concat(F.lit(seed + ":"), F.col("key")), 256))
+    once = valid.groupBy("kind", "noisy").agg(F.min(F.struct("order", "key", "text", "distance")).alias("v")).select("kind", "noisy", "v.*")
+    parts = [once.where(F.col("kind") == k).orderBy("order", "key").limit(quotas.get(k, 0)) for k in kinds]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("key", "kind", "text", "noisy", "distance")
+
+
+def noise_statistics(noise: DataFrame) -> DataFrame:
+    """(kind, rows, mean_distance, most_distance, invalid) of noisy copies."""
+    most = F.create_map(*[F.lit(x) for k, d in NOISE.items() for x in (k, d)])
+    wrong = F.when(F.col("kind") == "mixed_case", F.col("distance") != 0).otherwise((F.col("distance") <= 0) | (F.col("distance") > most[F.col("kind")]))
+    return noise.groupBy("kind").agg(
+        F.count("*").alias("rows"), F.round(F.avg("distance"), 9).alias("mean_distance"), F.max("distance").alias("most_distance"), F.count_if(F.coalesce(wrong, F.lit(True))).alias("invalid")
+    )
+
+
+def snapshot_faults(rows: DataFrame, held_out: DataFrame, split: str = "train") -> DataFrame:
+    """Input rows (key, text, split) and held-out (text); one row (rows, null_keys,
+    repeated_keys, repeated_texts, other_splits, leaked, valid) of a training snapshot."""
+    folded = lambda: F.sha2(F.concat_ws(" ", words(fold_accents(F.col("text")))), 256)
+    gone = held_out.where("text is not null").select(folded().alias("digest")).distinct().withColumn("leak", F.lit(1))
+    marked = rows.withColumn("digest", F.when(F.col("text").isNotNull(), folded())).join(gone, "digest", "left")
+    none = F.lit(0).cast("bigint")
+    repeats = lambda c: F.count(c) - F.count_distinct(c)
+    out = marked.agg(
+        F.count("*").alias("rows"), F.count_if(F.col("key").isNull()).alias("null_keys"), repeats("key").alias("repeated_keys"), repeats("text").alias("repeated_texts"),
+        F.count_if(~F.col("split").eqNullSafe(split)).alias("other_splits"), F.coalesce(F.sum("leak").cast("bigint"), none).alias("leaked"),
+    )
+    faults = sum((F.col(c) for c in ("null_keys", "repeated_keys", "repeated_texts", "other_splits", "leaked")), none)
+    return out.withColumn("valid", faults == 0)
+
+
+def build_dictionary(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Input (address, owner, category, aliases joined by ``|``); entities (address,
+    owner, category, names), concepts (category, owners) and aliases (alias, owner).
+    Aliases are trimmed, in lower case and include the owner; one that names several
+    owners is dropped from the last table."""
+    fold = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    split = F.transform(F.split(F.coalesce("aliases", F.lit("")), r"\|"), fold)
+    names = F.array_sort(F.array_distinct(F.filter(F.concat(split, F.array(fold(F.col("owner")))), lambda x: x != "")))
+    entities = raw.where("address is not null and owner is not null").select(F.lower("address").alias("address"), "owner", "category", names.alias("names")).dropDuplicates(["address"])
+    concepts = entities.where("category is not null").groupBy("category").agg(F.count_distinct("owner").alias("owners"))
+    each = entities.select(F.explode("names").alias("alias"), "owner")
+    aliases = each.groupBy("alias").agg(F.min("owner").alias("owner"), F.max("owner").alias("other")).where("owner = other").select("alias", "owner")
+    return entities, concepts, aliases
+
+
+def catalogue_faults(catalogue: dict) -> list[str]:
+    """What is wrong with a catalogue ``{"relations": {name: {"fields": {name: type},
+    "source": name}}, "sources": [..], "joins": [{"left", "right", "keys"}]}``:
+    unknown types, sources, relations and fields, repeated joins, missing keys."""
+    # Types of the catalogue.
+    types = frozenset("BIGNUMERIC BOOLEAN DATE INTEGER JSON NUMERIC RECORD STRING TIMESTAMP".split())
+    out = [f"{k}: missing" for k in ("relations", "sources", "joins") if k not in catalogue]
+    relations, sources = catalogue.get("relations", {}), set(catalogue.get("sources", ()))
+    for name, relation in sorted(relations.items()):
+        if not relation.get("fields"):
+            out.append(f"{name}: no fields")
+        out += [f"{name}.{field}: unknown type {kind}" for field, kind in sorted(relation.get("fields", {}).items()) if kind not in types]
+        if relation.get("source") not in sources:
+            out.append(f"{name}: unknown source {relation.get('source')}")
+    seen = set()
+    for join in catalogue.get("joins", ()):
+        label = f"{join.get('left')}-{join.get('right')}"
+        for side in ("left", "right"):
+            known = relations.get(join.get(side), {}).get("fields")
+            if known is None:
+                out.append(f"join {label}: unknown relation {join.get(side)}")
+            else:
+                out += [f"join {label}: {join[side]} has no {key[side == 'right']}" for key in join.get("keys", ()) if key[side == "right"] not in known]
+        if not join.get("keys"):
+            out.append(f"join {label}: no keys")
+        mark = (join.get("left"), join.get("right"), tuple(map(tuple, join.get("keys", ()))))
+        if mark in seen:
+            out.append(f"join {label}: repeated")
+        seen.add(mark)
+    return out
 
 
 def noisy(text: str, kind: str, seed: str, protected: list[str]) -> str:
     """One typo, abbreviation, fragment or change of case outside of protected
     spans; the same for the same seed.  Unchanged where nothing can be changed."""
-    from chainloom.functions.noise import change
-
     return change(text, kind, random.Random(seed), protected)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainloom.functions.text import statement_shape
+from chainloom.operators.statements import structure
 
 
 def canonical_value(column: Column, kind: str) -> Column:
@@ -67,12 +68,15 @@ def token_f1(pairs: DataFrame) -> DataFrame:
 
 
 def exact_matches(predictions: DataFrame, cases: DataFrame) -> DataFrame:
-    """(prediction_id, run_id, baseline, case_id, language, matched): the
-    prediction contains the case's statement, layout and literals' case aside."""
-    plain = lambda c: F.regexp_replace(F.lower(c), r"[\s`;]+", "")
+    """(prediction_id, run_id, baseline, case_id, language, matched): the statement
+    that the prediction consists of, or that stands in it between prose, equals the
+    case's in structure: layout, keyword case, backticks and semicolons aside."""
     known = cases.where("case_id is not null").groupBy("case_id").agg(F.min(F.struct("gold_sql", "language")).alias("c")).select("case_id", "c.*")
     joined = predictions.where("case_id is not null").join(known, "case_id")
-    hit = F.coalesce(F.contains(plain(F.col("prediction")), plain(F.col("gold_sql"))), F.lit(False))
+    fenced = F.regexp_extract("prediction", r"(?is)```[a-z]*\s*\n(.*?)```", 1)
+    from_select = F.regexp_extract("prediction", r"(?s)(?:^|\n|[.:!?] )\s*((?:SELECT|WITH|select|with)\b.*)$", 1)
+    sql = F.coalesce(F.when(F.trim(fenced) != "", fenced), F.when(from_select != "", from_select))
+    hit = F.coalesce(structure(sql) == structure(F.col("gold_sql")), F.lit(False))
     return joined.select("prediction_id", "run_id", "baseline", "case_id", "language", hit.alias("matched"))
 
 
@@ -135,6 +139,57 @@ def bootstrap_ratio(matches: DataFrame, replicates: int = 10_000, seed: int = 42
     return ratios.agg(F.max("n").alias("n"), F.max(F.col("hits") / F.col("n")).alias("ratio"), F.percentile("r", 0.025).alias("low"), F.percentile("r", 0.975).alias("high"))
 
 
+def _resampled(values: DataFrame, column: str, keys: list[str], replicates: int, seed: int, statistics: dict[str, float | None]) -> DataFrame:
+    """(keys, name, low, high): percentile intervals of the mean (None) and of
+    quantiles of ``column`` by group.
+
+    A resample of n values is a multinomial draw over the distinct values, so the
+    groups arrive as (value, count) sums and each is drawn from in one task: as many
+    rows as there are distinct values, never the cases themselves.
+    """
+    counts = values.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("value")).agg(F.count("*").alias("n"))
+    schema = ", ".join([f"`{k}` {counts.schema[k].dataType.simpleString()}" for k in keys] + ["name string, low double, high double"])
+
+    def draw(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("value")
+        value, n = group["value"].to_numpy(float), group["n"].to_numpy(np.int64)
+        total, rng = int(n.sum()), np.random.default_rng(seed)
+        found: dict[str, list[float]] = {name: [] for name in statistics}
+        for _ in range(replicates):
+            drawn = rng.multinomial(total, n / total)
+            ends = np.cumsum(drawn)
+            for name, q in statistics.items():
+                if q is None:
+                    found[name].append(float(drawn @ value) / total)
+                else:
+                    at = q * (total - 1)
+                    low, high = (value[np.searchsorted(ends, p, side="right")] for p in (int(at), min(int(at) + 1, total - 1)))
+                    found[name].append(float(low + (at - int(at)) * (high - low)))
+        rows = [(*key, name, *np.quantile(x, [0.025, 0.975])) for name, x in found.items()]
+        return pd.DataFrame(rows, columns=[*keys, "name", "low", "high"])
+
+    return counts.groupBy(*keys).applyInPandas(draw, schema)
+
+
+def latency_intervals(predictions: DataFrame, replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """(baseline, name, low, high): 95 % intervals of p50, p95 and p99 of latency,
+    which is counted by whole milliseconds."""
+    rounded = predictions.select("baseline", F.round("latency_ms").alias("latency"))
+    return _resampled(rounded, "latency", ["baseline"], replicates, seed, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+
+
+def paired_delta(matches: DataFrame, first: str, second: str, replicates: int = 10_000, seed: int = 42) -> DataFrame:
+    """One row (cases, left_value, right_value, delta, low, high): the mean difference
+    of two baselines over the cases both answered, with its 95 % interval.  A
+    difference is -1, 0 or 1, so a resample is a draw of three counts."""
+    side = lambda name: F.max(F.when(F.col("baseline") == name, F.col("matched").cast("int")))
+    both = matches.groupBy("case_id").agg(side(first).alias("a"), side(second).alias("b")).where("a is not null and b is not null")
+    sums = both.agg(F.count("*").alias("cases"), F.avg("a").alias("left_value"), F.avg("b").alias("right_value"))
+    interval = _resampled(both.select((F.col("a") - F.col("b")).alias("difference"), F.lit(0).alias("all")), "difference", ["all"], replicates, seed, {"mean": None})
+    bounds = interval.agg(F.max("low").alias("low"), F.max("high").alias("high"))
+    return sums.join(bounds, F.lit(True)).select("cases", "left_value", "right_value", (F.col("left_value") - F.col("right_value")).alias("delta"), "low", "high")
+
+
 def failure_classes(predictions: DataFrame, cases: DataFrame) -> DataFrame:
     """(prediction_id, failures): all classes of failure that apply, in order."""
     known = cases.where("case_id is not null").groupBy("case_id").agg(F.min("gold_sql").alias("gold_sql"))

@@ -64,3 +64,15 @@ def latest_between_pairs(facts: DataFrame, pairs: DataFrame) -> DataFrame:
     )
     best = F.max_by(F.struct("transaction_hash", "block_timestamp", "from_address", "to_address", "value_wei"), F.struct("block_timestamp", "transaction_hash"))
     return left.join(right, ["low", "high"]).groupBy("group_id").agg(best.alias("t")).select("group_id", "t.*")
+
+
+def bound_query(spark: SparkSession, sql: str, start: dt.date, end: dt.date) -> DataFrame:
+    """A statement with the typed parameters ``:start_date`` and ``:end_date``."""
+    first, last = ledger.check_bounds(start, end)
+    return spark.sql(sql, args={"start_date": first, "end_date": last})
+
+
+def day_sample(spark: SparkSession, folder: str, day: dt.date | str, rows: int = 100) -> DataFrame:
+    """The first transactions of one day by hash: a small extract for a trial."""
+    first = day if isinstance(day, dt.date) else dt.date.fromisoformat(day)
+    return ledger.transaction_facts(spark, folder, first, first + dt.timedelta(days=1)).orderBy("transaction_hash").limit(rows)

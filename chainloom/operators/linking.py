@@ -7,11 +7,11 @@ Nearest neighbours take a stated query set against all rows, in blocks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,25 +29,84 @@ SCHEMA_DOCUMENTS = {
     "labeled_transactions": "transaction payments exchange exchanges treasury lending bridge mev class owner into reached",
     "labeled_token_transfers": "token transfer owner exchange treasury class",
 }
-TIME_WORDS = ("between", "from", "until", "window", "day", "daily", "date", "when", "per")
-
-
-def link_schema(questions: DataFrame, k: int = 3) -> DataFrame:
+# Words that ask for a time, and the terms a question with one also looks for.
+TIME_CUES = ("between", "from", "until", "window", "day", "daily", "date", "when", "per", "latest", "recent", "ngày", "khoảng")
+TIME_TERMS = ("timestamp", "date", "time", "when")
+# Groups of phrases that mean the same, first the one the documents use.
+SYNONYMS = (
+    ("transaction", "tx", "txn", "payment", "giao dịch"), ("account", "address", "wallet", "tài khoản", "địa chỉ"), ("sender", "payer", "sent by", "người gửi"),
+    ("recipient", "receiver", "received by", "người nhận"), ("beneficiary", "validator", "miner", "người thụ hưởng"), ("token", "coin", "erc20"),
+    ("volume", "amount", "khối lượng"), ("failed", "unsuccessful", "thất bại"), ("block", "khối"), ("exchange", "trading venue", "sàn giao dịch"),
+    ("treasury", "ngân quỹ"), ("owner", "entity", "chủ sở hữu"),
+)
+#: Weights of the lexical score's parts, and of the lexical and the semantic score.
+BASE, EXPANDED, PHRASE = 0.6, 0.3, 0.1
+LEXICAL, SEMANTIC = 0.5, 0.5
+
+
+def question_tokens(text: Column) -> Column:
+    """Distinct words of letters and digits of any script, in lower case."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: w != ""))
+
+
+def with_synonyms(questions: DataFrame) -> DataFrame:
+    """Input with ``question``; appends ``tokens`` (with the time terms where a time
+    is asked for), ``expanded`` (and all words of the synonym groups a phrase of
+    which occurs) and ``matched`` (those phrases, as word arrays)."""
+    words_ = F.filter(F.split(F.lower("question"), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    read = questions.where("question is not null").withColumn("line", F.concat(F.lit(" "), F.array_join(words_, " "), F.lit(" "))).withColumn("own", question_tokens(F.col("question")))
+    cues = F.array(*map(F.lit, TIME_CUES))
+    terms = F.array(*map(F.lit, TIME_TERMS))
+    read = read.withColumn("tokens", F.when(F.arrays_overlap("own", cues), F.array_union("own", terms)).otherwise(F.col("own"))).where("size(own) > 0")
+    hit = lambda phrase: F.col("line").contains(f" {phrase} ")
+    groups, phrases = [], []
+    for group in SYNONYMS:
+        any_hit = F.lit(False)
+        for phrase in group:
+            any_hit |= hit(phrase)
+            phrases.append(F.when(hit(phrase), F.array(*map(F.lit, phrase.split()))))
+        groups.append(F.when(any_hit, F.array(*[F.lit(w) for w in dict.fromkeys(" ".join(group).split())])).otherwise(F.array().cast("array<string>")))
+    return read.withColumn("expanded", F.array_union("tokens", F.flatten(F.array(*groups)))).withColumn("matched", F.array_compact(F.array(*phrases))).drop("line", "own")
+
+
+def lexical_scores(questions: DataFrame) -> DataFrame:
+    """Input (key, question); output (key, question, scores): for every relation
+    ``min(1, 0.6 |Q and D| / |Q| + 0.3 |E and D| / |E| + 0.1 phrase)``.  The catalogue
+    is eight constants, so nothing is joined or shuffled."""
+    catalogue = F.array(*[F.struct(F.lit(n).alias("relation"), F.array(*map(F.lit, sorted(set(t.split())))).alias("terms")) for n, t in SCHEMA_DOCUMENTS.items()])
+
+    def score(d: Column) -> Column:
+        share = lambda c: F.size(F.array_intersect(c, d["terms"])) / F.size(c)
+        phrase = F.exists("matched", lambda p: F.size(F.array_except(p, d["terms"])) == 0).cast("int")
+        value = F.least(F.lit(1.0), BASE * share("tokens") + EXPANDED * share("expanded") + PHRASE * phrase)
+        return F.struct(d["relation"].alias("relation"), F.round(value, 9).alias("lexical"))
+
+    return with_synonyms(questions).select("key", "question", F.transform(catalogue, score).alias("scores"))
+
+
+def semantic_scores(encode) -> Callable[[Column], Column]:
+    """Inner products of a text's unit vector with those of all relations, in order."""
+    matrix = np.stack([encode(t) for t in SCHEMA_DOCUMENTS.values()]).astype(np.float64)
+
+    @F.pandas_udf("array<double>")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack([encode(t.lower()) for t in texts]).astype(np.float64) @ matrix.T) if len(texts) else [], dtype=object)
+
+    return score
+
+
+def link_schema(questions: DataFrame, k: int = 3, encode=None) -> DataFrame:
     """Input (key, question); output (key, relation, score, place): the k relations
-    that share most words, ties by name.  Temporal words count for every relation
-    with a time column.  The catalogue is eight literals, so nothing is joined or
-    shuffled."""
-    tokens = F.array_distinct(words(fold_accents(F.col("question"))))
-    asked = questions.where("question is not null").select("key", tokens.alias("tokens")).where("size(tokens) > 0")
-    when = F.when(F.arrays_overlap("tokens", F.array(*map(F.lit, TIME_WORDS))), F.lit(0.05)).otherwise(F.lit(0.0))
-    scored = []
-    for name, text in SCHEMA_DOCUMENTS.items():
-        hits = F.size(F.array_intersect("tokens", F.array(*map(F.lit, sorted(set(text.split()))))))
-        timed = when if "facts" in name or "labeled" in name else F.lit(0.0)
-        score = F.round(hits / F.size("tokens") + timed, 9)
-        scored.append(F.when(hits > 0, F.struct((-score).alias("n"), F.lit(name).alias("relation"))))
-    best = F.slice(F.array_sort(F.array_compact(F.array(*scored))), 1, k)
-    return asked.select("key", F.posexplode(best).alias("p", "b")).select("key", F.col("b.relation").alias("relation"), (-F.col("b.n")).alias("score"), (F.col("p") + 1).alias("place"))
+    with the highest score, ties by name.  With an encoder the score is the weighted
+    sum of the lexical and the semantic one, else the lexical one alone."""
+    scored = lexical_scores(questions)
+    if encode is not None:
+        scored = scored.withColumn("semantic", semantic_scores(encode)(F.col("question")))
+        scores = F.zip_with("scores", "semantic", lambda a, b: F.struct((-F.round(LEXICAL * a["lexical"] + SEMANTIC * b, 9)).alias("n"), a["relation"].alias("relation")))
+    else:
+        scores = F.filter(F.transform("scores", lambda a: F.struct((-a["lexical"]).alias("n"), a["relation"].alias("relation"))), lambda x: x["n"] < 0)
+    best = scored.select("key", F.slice(F.array_sort(scores), 1, k).alias("best"))
+    return best.select("key", F.posexplode("best").alias("p", "b")).select("key", F.col("b.relation").alias("relation"), (-F.col("b.n")).alias("score"), (F.col("p") + 1).alias("place"))
 
 
 def entity_phrases(labels: DataFrame) -> DataFrame:
@@ -145,14 +204,6 @@ def fuzzy_mentions(mentions: DataFrame, phrases: DataFrame, least: float = 0.85)
     return scored.join(phrases, "phrase").join(mentions, "word").select("key", "word", "phrase", "owner", "score")
 
 
-def ambiguity_set(scored: DataFrame, within: float = 0.03, most: int = 3) -> DataFrame:
-    """Input (key, target, score); targets within ``within`` of the best, at most
-    ``most``, ties by target."""
-    w = Window.partitionBy("key")
-    ranked = scored.withColumn("best", F.max("score").over(w)).withColumn("place", F.row_number().over(w.orderBy(F.desc("score"), "target")))
-    return ranked.where((F.col("score") >= F.col("best") - within) & (F.col("place") <= most)).drop("best")
-
-
 def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 2048) -> DataFrame:
     """Input (vec_id, embedding) on both sides; output (vec_id, place, neighbour_id):
     the k largest inner products of unit vectors, without the query itself, ties
@@ -202,8 +253,10 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, block
 
 def retrieval_metrics(ranked: DataFrame, relevant: DataFrame) -> DataFrame:
     """Input ranked (key, place, item) and relevant (key, item); one row with
-    recall at 1, 3 and 5 and the mean reciprocal rank over all relevant keys."""
+    recall at 1, 3 and 5, the mean reciprocal rank over all relevant keys and the median
+    and 95th percentile of the places at which they are found."""
     hits = ranked.join(relevant, ["key", "item"], "left_semi").groupBy("key").agg(F.min("place").alias("first"))
     all_keys = relevant.select("key").distinct().join(hits, "key", "left")
+    reached = F.percentile("first", F.array(F.lit(0.5), F.lit(0.95)))
     share = lambda n: F.avg(F.when(F.col("first") <= n, 1.0).otherwise(0.0))
-    return all_keys.agg(share(1).alias("recall_1"), share(3).alias("recall_3"), share(5).alias("recall_5"), F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"))
+    return all_keys.agg(share(1).alias("recall_1"), share(3).alias("recall_3"), share(5).alias("recall_5"), F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"), reached[0].alias("place_p50"), reached[1].alias("place_p95"))

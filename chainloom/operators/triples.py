@@ -41,8 +41,9 @@ def transaction_triples(facts: DataFrame) -> DataFrame:
     return _mapped(
         facts, _iri("tx/", c("transaction_hash")), F.lit("Transaction"),
         [("hash", c("transaction_hash"), "string"), ("hasFrom", _iri("account/", c("from_address")), None), ("hasTo", _iri("account/", c("to_address")), None),
-         ("value", c("value_wei"), "decimal"), ("inBlock", _iri("block/", c("block_number").cast("string")), None),
-         ("timestamp", F.date_format("block_timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'"), "dateTime"), ("isSuccess", c("is_success"), "boolean")],
+         ("hasValue", c("value_wei"), "decimal"), ("hasGasUsed", c("receipt_gas_used"), "integer"), ("hasGasPrice", c("gas_price_wei"), "decimal"),
+         ("hasReceiptStatus", c("is_success"), "boolean"), ("hasBlockNumber", c("block_number"), "integer"), ("includedInBlock", _iri("block/", c("block_number").cast("string")), None),
+         ("hasTimestamp", F.date_format("block_timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'"), "dateTime")],
     )
 
 
@@ -80,8 +81,9 @@ def label_triples(labels: DataFrame) -> DataFrame:
     return own.unionByName(names.select(_iri("account/", c("address")).alias("s"), F.lit("alias").alias("p"), c("alias").alias("o"), F.lit(LITERAL).alias("o_kind"), F.lit("string").alias("o_datatype")))
 
 
-def ledger_graph(spark: SparkSession, folder: str, start, end) -> DataFrame:
-    """The five maps together, each triple once."""
+def ledger_graph(spark: SparkSession, folder: str, start, end, once: bool = True) -> DataFrame:
+    """The five maps together, each triple once unless ``once`` is off (validation
+    doesn't need that, and saves moving the whole graph)."""
     parts = (
         transaction_triples(ledger.transaction_facts(spark, folder, start, end)),
         block_triples(ledger.block_facts(spark, folder, start, end)),
@@ -92,7 +94,7 @@ def ledger_graph(spark: SparkSession, folder: str, start, end) -> DataFrame:
     graph = parts[0]
     for part in parts[1:]:
         graph = graph.unionByName(part)
-    return graph.distinct()
+    return graph.distinct() if once else graph
 
 
 def n_triples(graph: DataFrame, base: str = "http://example.org/") -> DataFrame:
@@ -120,10 +122,12 @@ def read_n_triples(lines: DataFrame, base: str = "http://example.org/") -> DataF
     )
 
 
-# (class, path, least, most, datatype, not below 0)
+# Fixed values: (class, path, least, most, datatype, not below 0).
 SHAPES = (
-    ("Transaction", "hasFrom", 1, 1, None, False), ("Transaction", "timestamp", 1, 1, "dateTime", False), ("Transaction", "hasTo", 1, 1, None, False),
-    ("Transaction", "value", 1, 1, "decimal", True), ("Block", "beneficiary", 1, 1, None, False), ("ExchangeAccount", "label", 1, 1, "string", False),
+    ("Transaction", "hasFrom", 1, 1, None, False), ("Transaction", "hasTo", 0, 1, None, False), ("Transaction", "hasValue", 1, 1, "decimal", True),
+    ("Transaction", "hasGasUsed", 0, 1, "integer", True), ("Transaction", "hasGasPrice", 0, 1, "decimal", True), ("Transaction", "hasReceiptStatus", 0, 1, "boolean", False),
+    ("Transaction", "hasBlockNumber", 1, 1, "integer", False), ("Transaction", "hasTimestamp", 1, 1, "dateTime", False), ("Transaction", "includedInBlock", 0, 1, None, False),
+    ("Block", "beneficiary", 1, 1, None, False), ("ExchangeAccount", "label", 1, 1, "string", False),
     ("ExchangeAccount", "owner", 1, 1, "string", False), ("TokenTransfer", "token", 1, 1, None, False), ("TokenTransfer", "inTransaction", 1, 1, None, False),
 )
 
@@ -131,31 +135,70 @@ SHAPES = (
 def shape_violations(graph: DataFrame, shapes=SHAPES) -> DataFrame:
     """(focus, path, message): cardinality, datatype and range violations.
 
-    The shapes are a fixed table of the plan; the graph is scanned once for the
-    targets and once for their values, which meet on (subject, path).
+    The graph, with or without repeated triples, is moved once, by subject: first
+    each (subject, path) is reduced to its least and greatest object and datatype
+    (different ones are more than one value), then each subject's paths meet the
+    shapes of its classes, which are a constant of the plan.  Cardinalities of 0 and
+    1 are all that shapes use.
     """
-    spark = graph.sparkSession
-    table = spark.createDataFrame(list(shapes), "class string, path string, least int, most int, datatype string, natural boolean")
-    targets = graph.where("p = 'type'").select("s", F.col("o").alias("class")).distinct().join(F.broadcast(table), "class")
-    paths = sorted({s[1] for s in shapes})
-    values = graph.where(F.col("p").isin(paths)).groupBy("s", F.col("p").alias("path")).agg(
-        F.count("*").alias("n"), F.collect_set("o_datatype").alias("datatypes"), F.min(F.col("o").try_cast("decimal(38,0)")).alias("least_value")
-    )
-    found = targets.join(values, ["s", "path"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    wrong_type = F.col("datatype").isNotNull() & (F.col("n") > 0) & (F.array_except(F.coalesce("datatypes", F.array().cast("array<string>")), F.array("datatype")) != F.array().cast("array<string>"))
-    messages = F.array_compact(
-        F.array(
-            F.when(F.col("n") < F.col("least"), "minCount"), F.when(F.col("n") > F.col("most"), "maxCount"),
-            F.when(wrong_type, "datatype"), F.when(F.col("natural") & (F.col("least_value") < 0), "minInclusive"),
+    if any(least > 1 or most != 1 for _, _, least, most, _, _ in shapes):
+        raise ValueError("shapes bound a path by 0 or 1 and 1")
+    paths = sorted({"type", *(s[1] for s in shapes)})
+    value = F.col("o").try_cast("decimal(38,0)")
+    by_path = (
+        graph.where(F.col("p").isin(paths)).repartition("s").groupBy("s", "p").agg(
+            F.min("o").alias("low"), F.max("o").alias("high"), F.min(F.coalesce("o_datatype", F.lit(""))).alias("t0"), F.max(F.coalesce("o_datatype", F.lit(""))).alias("t1"),
+            F.min(value).alias("least"), F.collect_set(F.when(F.col("p") == "type", F.col("o"))).alias("classes"),
         )
     )
-    return found.select(F.col("s").alias("focus"), "path", F.explode(messages).alias("message"))
+    entry = F.struct(F.when(F.col("low") == F.col("high"), 1).otherwise(2).alias("n"), "t0", "t1", "least")
+    nodes = by_path.groupBy("s").agg(F.map_from_entries(F.collect_list(F.struct("p", entry))).alias("paths"), F.flatten(F.collect_list("classes")).alias("classes")).where("size(classes) > 0")
+    table = F.array(
+        *[F.struct(*[F.lit(x).cast(k).alias(n) for x, (n, k) in zip(shape, (("class", "string"), ("path", "string"), ("least", "int"), ("most", "int"), ("datatype", "string"), ("natural", "boolean")))]) for shape in shapes]
+    )
+
+    def judged(shape: Column) -> Column:
+        held = F.try_element_at("paths", shape["path"])
+        n = F.coalesce(held["n"], F.lit(0))
+        wrong_type = shape["datatype"].isNotNull() & ((held["t0"] != shape["datatype"]) | (held["t1"] != shape["datatype"]))
+        messages = F.array(
+            F.when(n < shape["least"], "minCount"), F.when(n > shape["most"], "maxCount"),
+            F.when(wrong_type, "datatype"), F.when(shape["natural"] & (held["least"] < 0), "minInclusive"),
+        )
+        return F.transform(F.array_compact(messages), lambda m: F.struct(shape["path"].alias("path"), m.alias("message")))
+
+    own = F.filter(table, lambda shape: F.array_contains("classes", shape["class"]))
+    found = nodes.select("s", F.explode(F.array_distinct(F.flatten(F.transform(own, judged)))).alias("v"))
+    return found.select(F.col("s").alias("focus"), "v.path", "v.message")
 
 
 def violation_summary(graph: DataFrame) -> DataFrame:
     return shape_violations(graph).groupBy("path", "message").agg(F.count("*").alias("violations"))
 
 
+def with_supertypes(graph: DataFrame, edges: DataFrame) -> DataFrame:
+    """The graph with a type triple for every superclass of a type (RDFS entailment).
+    Input edges (sub, super); they are an ontology's, so their closure is small."""
+    up = ancestors(edges).withColumnRenamed("sub", "o")
+    more = graph.where("p = 'type'").join(up, "o").select("s", "p", F.col("super").alias("o"), "o_kind", "o_datatype")
+    return graph.unionByName(more).distinct()
+
+
+def ontology_inventory(graph: DataFrame) -> DataFrame:
+    """(kind, name, uses): the classes and properties of a graph and how often each is used."""
+    classes = graph.where("p = 'type'").select(F.lit("class").alias("kind"), F.col("o").alias("name"))
+    properties = graph.select(F.lit("property").alias("kind"), F.col("p").alias("name"))
+    return classes.unionByName(properties).groupBy("kind", "name").agg(F.count("*").alias("uses"))
+
+
+def enough_triples(graph: DataFrame, least: int = 1000) -> int:
+    """Number of triples; raises where there are fewer than ``least``."""
+    found = graph.count()
+    if found < least:
+        raise ValueError(f"{found} triples, at least {least} are needed")
+    return found
+
+
 def ancestors(edges: DataFrame, steps: int = 32) -> DataFrame:
     """Transitive closure of (sub, super): rounds double the reach until nothing
     is added; for ontologies, whose size doesn't grow with the ledger."""

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from chainloom.plans.reference_sql import mentioned, with_relations
 from chainloom.sources import ledger
 
-START, WEEK, END = "2026-06-01", "2026-06-08", "2026-07-01"
+START, END = "2026-06-01", "2026-07-01"
 ETH = "1000000000000000000"
 
 DAY = "cast(block_timestamp as date)"
@@ -232,14 +232,8 @@ RELATION_DUMPS = {
 ALL = {**GOLD, **TEMPLATES, **COMPETENCY, **CHECKS, **RELATION_DUMPS}
 
 
-def _window(name: str) -> tuple[str, str]:
-    """The reviewed shapes run over a week, everything else over the month."""
-    return (START, WEEK) if name[0] == "g" and name != "g29_period_totals" else (START, END)
-
-
-def run_shape(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The DataFrame of a shape over its window."""
-    start, end = _window(name)
+def run_shape(spark: SparkSession, folder: str, name: str, start: str = START, end: str = END) -> DataFrame:
+    """The DataFrame of a shape over a window of dates, by default all of the ledger's month."""
     ledger.register(spark, folder, start, end, mentioned(ALL[name]))
     return spark.sql(ALL[name])
 
@@ -250,4 +244,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     own = {name: sql.replace("regexp_like(", "regexp_matches(") for name, sql in ALL.items()}
-    return {name: with_relations(sql, *_window(name)) for name, sql in own.items()}
+    return {name: with_relations(sql, START, END) for name, sql in own.items()}

@@ -7,6 +7,7 @@ and found again, a view points at one snapshot and can be pointed back.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,8 +40,23 @@ def load_snapshot(df: DataFrame, base: str, name: str) -> tuple[str, str]:
     path = f"{base}/{name}_{content_digest(df)[:12]}"
     if exists(spark, f"{path}/_SUCCESS"):
         return path, "reused"
-    df.write.mode("overwrite").parquet(path)
-    return path, "loaded"
+    # Each writer has a folder of its own; renaming it into place succeeds for one of them only.
+    own = f"{path}.{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(own)
+    return path, "loaded" if _move(spark, own, path) else "reused"
+
+
+def _move(spark: SparkSession, source: str, target: str) -> bool:
+    """Renames a folder unless the target is there whole; the source is removed then."""
+    jvm = spark.sparkContext._jvm
+    a, b = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    system = a.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.exists(b) and not exists(spark, f"{target}/_SUCCESS"):
+        system.delete(b, True)  # a write that broke off
+    if not system.exists(b) and system.rename(a, b):
+        return True
+    system.delete(a, True)
+    return False
 
 
 def point_view(spark: SparkSession, view: str, path: str) -> None:
@@ -80,13 +96,15 @@ def schema_differences(found: T.DataType, wanted: T.DataType, path: str = "") ->
 
 def csv_columns(df: DataFrame) -> DataFrame:
     """Columns as text that loses nothing: decimals in full, timestamps in ISO form,
-    arrays joined by ``|``."""
+    arrays joined by ``|``, which is escaped inside of items; null items are left out."""
 
     def shown(name: str, kind: str):
         c = F.col(f"`{name}`")
         if kind.startswith("timestamp"):
             return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-        return F.concat_ws("|", c) if kind.startswith("array<string") else c.cast("string")
+        if kind.startswith("array<string"):  # a bar or backslash inside of an item is escaped
+            return F.array_join(F.transform(c, lambda x: F.regexp_replace(x, r"([\\|])", r"\\$1")), "|")
+        return c.cast("string")
 
     return df.select(*[shown(c, t).alias(c) for c, t in df.dtypes])
 
@@ -105,7 +123,10 @@ def read_csv(spark: SparkSession, path: str, wanted: T.StructType) -> DataFrame:
 
     def typed(f: T.StructField):
         c = F.col(f"`{f.name}`")
-        return (F.split(c, r"\|") if isinstance(f.dataType, T.ArrayType) else c.try_cast(f.dataType)).alias(f.name)
+        if isinstance(f.dataType, T.ArrayType):
+            items = F.regexp_extract_all(F.concat(c, F.lit("|")), F.lit(r"((?:[^\\|]|\\.)*+)\|"), F.lit(1))
+            return F.when(c == "", F.array().cast(f.dataType)).otherwise(F.transform(items, lambda x: F.regexp_replace(x, r"\\(.)", "$1"))).alias(f.name)
+        return c.try_cast(f.dataType).alias(f.name)
 
     return raw.select(*[typed(f) for f in wanted.fields])
 
@@ -156,8 +177,3 @@ def question_texts(spark: SparkSession, path: str, fields: tuple[str, ...] = ("q
     if not columns:
         return spark.createDataFrame([], "text string")
     return raw.select(F.explode(F.flatten(F.array_compact(F.array(*columns)))).alias("text")).where("text is not null")
-
-
-def tagged_rows(df: DataFrame) -> DataFrame:
-    """Every column as canonical tagged text."""
-    return df.select(*[canonical_value(F.col(f"`{c}`"), t).alias(c) for c, t in df.dtypes])
