@@ -210,6 +210,7 @@ def answer_by_rule(questions: DataFrame, templates: tuple[Template, ...] = TEMPL
         .when(unseeded & (F.size("best") == 1), F.struct(F.lit("structural").alias("how"), F.get("best", F.lit(0)).alias("c")))
         .when(unseeded & (F.size("most") == 1), F.struct(F.lit("schema").alias("how"), F.get("most", F.lit(0)).alias("c")))
     )
-    picked = split.select("key", chosen.alias("p")).where("p is not null")
+    # the generator keeps the filter from being pushed down, where it would repeat all of the above
+    picked = split.select("key", F.explode_outer(F.array(chosen)).alias("p")).where("p is not null")
     score = F.when(F.col("p.how") == "seed", F.lit(1.0)).otherwise(F.col("p.c.score"))
     return picked.select("key", F.col("p.c.template").alias("template"), F.col("p.how").alias("how"), score.alias("score"), F.col("p.c.sql").alias("sql"))

@@ -152,7 +152,7 @@ def wording_diversity(variants: DataFrame, least: float = 0.3) -> DataFrame:
     (family, language, pairs, diversity, diverse): the mean normalised Levenshtein
     distance of all pairs of a family's styles.  A family holds as many variants as
     there are styles, so its pairs are formed inside one row."""
-    held = variants.where("question is not null").groupBy("family", "language").agg(F.array_sort(F.collect_set(F.struct("style", "question"))).alias("v"))
+    held = variants.where("question is not null").groupBy("family", "language").agg(F.sort_array(F.collect_set(F.struct("style", "question"))).alias("v"))
     pairs = F.flatten(F.transform("v", lambda x, i: F.transform(F.slice("v", i + 2, F.size("v")), lambda y: normalised_distance(x["question"], y["question"]))))
     out = held.select("family", "language", pairs.alias("d")).withColumn("pairs", F.size("d"))
     mean = F.round(F.aggregate("d", F.lit(0.0), lambda a, x: a + x) / F.col("pairs"), 9)
@@ -240,7 +240,7 @@ def build_dictionary(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     owners is dropped from the last table."""
     fold = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
     split = F.transform(F.split(F.coalesce("aliases", F.lit("")), r"\|"), fold)
-    names = F.array_sort(F.array_distinct(F.filter(F.concat(split, F.array(fold(F.col("owner")))), lambda x: x != "")))
+    names = F.sort_array(F.array_distinct(F.filter(F.concat(split, F.array(fold(F.col("owner")))), lambda x: x != "")))
     entities = raw.where("address is not null and owner is not null").select(F.lower("address").alias("address"), "owner", "category", names.alias("names")).dropDuplicates(["address"])
     concepts = entities.where("category is not null").groupBy("category").agg(F.count_distinct("owner").alias("owners"))
     each = entities.select(F.explode("names").alias("alias"), "owner")

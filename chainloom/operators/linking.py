@@ -105,8 +105,10 @@ def link_schema(questions: DataFrame, k: int = 3, encode=None) -> DataFrame:
         scores = F.zip_with("scores", "semantic", lambda a, b: F.struct((-F.round(LEXICAL * a["lexical"] + SEMANTIC * b, 9)).alias("n"), a["relation"].alias("relation")))
     else:
         scores = F.filter(F.transform("scores", lambda a: F.struct((-a["lexical"]).alias("n"), a["relation"].alias("relation"))), lambda x: x["n"] < 0)
-    best = scored.select("key", F.slice(F.array_sort(scores), 1, k).alias("best"))
-    return best.select("key", F.posexplode("best").alias("p", "b")).select("key", F.col("b.relation").alias("relation"), (-F.col("b.n")).alias("score"), (F.col("p") + 1).alias("place"))
+    best = scored.select("key", F.slice(F.sort_array(scores), 1, k).alias("best"))
+    # outer: an inferred filter on the array would be pushed down and repeat all of the above
+    placed = best.select("key", F.posexplode_outer("best").alias("p", "b")).where("p is not null")
+    return placed.select("key", F.col("b.relation").alias("relation"), (-F.col("b.n")).alias("score"), (F.col("p") + 1).alias("place"))
 
 
 def entity_phrases(labels: DataFrame) -> DataFrame:

@@ -104,7 +104,7 @@ def exact_proposals(windows: DataFrame, phrases: DataFrame) -> DataFrame:
     """Input windows and (phrase, target, signal); a phrase of one token whose
     ``signal`` is set only counts in capitals.  At most three targets, by name."""
     met = windows.join(phrases, F.col("window") == F.col("phrase")).where("not (tokens = 1 and signal and not shouted)")
-    return met.groupBy("key", "start", "end").agg(F.slice(F.array_sort(F.collect_set("target")), 1, MOST).alias("targets")).select(
+    return met.groupBy("key", "start", "end").agg(F.slice(F.sort_array(F.collect_set("target")), 1, MOST).alias("targets")).select(
         "key", "start", "end", F.lit("exact").alias("stage"), "targets", F.lit(1.0).alias("score")
     )
 
@@ -113,7 +113,7 @@ def _ranked(scored: DataFrame, stage: str) -> DataFrame:
     """(key, start, end, target, score) -> proposals: the targets within CLOSE of the
     best one, best first, at most three."""
     best = scored.groupBy("key", "start", "end", "target").agg(F.max("score").alias("score"))
-    ordered = best.groupBy("key", "start", "end").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("n"), "target"))).alias("r"))
+    ordered = best.groupBy("key", "start", "end").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("n"), "target"))).alias("r"))
     near = F.slice(F.filter("r", lambda x: x["n"] - F.col("r")[0]["n"] < CLOSE), 1, MOST)
     return ordered.select("key", "start", "end", F.lit(stage).alias("stage"), F.transform(near, lambda x: x["target"]).alias("targets"), F.round(-F.col("r")[0]["n"], 9).alias("score"))
 
@@ -190,7 +190,7 @@ def select_spans(proposals: DataFrame) -> DataFrame:
     order = F.struct(
         (F.col("stage") != "address").alias("late"), (F.col("start") - F.col("end")).alias("size"), "start", F.col("targets")[0].alias("first"), "end", "stage", "targets", "score"
     )
-    sorted_ = proposals.groupBy("key").agg(F.array_sort(F.collect_set(order)).alias("p"))
+    sorted_ = proposals.groupBy("key").agg(F.sort_array(F.collect_set(order)).alias("p"))
     kept = F.aggregate(
         "p",
         F.slice(F.col("p"), 1, 0),
