@@ -203,7 +203,8 @@ def _labels_as_texts(spark, folder):
 @_query()
 def o200_fuzzy_mentions(spark, folder):
     texts, _, phrases = _labels_as_texts(spark, folder)
-    found = mentions.fuzzy_proposals(mentions.token_windows(texts), phrases)
+    windows = mentions.token_windows(texts)
+    found = mentions.fuzzy_proposals(mentions.uncovered(windows, mentions.exact_proposals(windows, phrases)), phrases)
     return found.select("key", "start", "end", F.array_join("targets", "|").alias("targets"), "score")
 
 
