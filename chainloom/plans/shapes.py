@@ -132,9 +132,11 @@ TEMPLATES = {
         select category, owner_count, account_count, cast(account_count as double) / nullif(owner_count, 0) as accounts_per_owner,
         dense_rank() over (order by owner_count desc, account_count desc) as category_rank from per""",
     "t22_token_after_native_funding": """with funded as (select to_address as account, block_timestamp as funded_at, transaction_hash as funding_hash from labeled_transactions
-          where from_concept_class = 'TreasuryAccount' and is_success is true and value_wei > 0 and to_address is not null)
+          where from_concept_class = 'TreasuryAccount' and is_success is true and value_wei > 0 and to_address is not null),
+        days as (select account, funded_at, funding_hash, cast(funded_at as date) as on_day from funded
+          union all select account, funded_at, funding_hash, cast(cast(funded_at as date) + interval 1 day as date) from funded)
         select f.funding_hash as funding_hash, t.transaction_hash as transfer_hash, t.log_index as log_index, f.account as account
-        from funded f join token_transfer_facts t on t.from_address = f.account
+        from days f join token_transfer_facts t on t.from_address = f.account and cast(t.block_timestamp as date) = f.on_day
         where t.block_timestamp >= f.funded_at and t.block_timestamp < f.funded_at + interval 720 minutes""",
     "t23_treasury_concentration": """with pairs as (select from_owner as owner, to_address, count(*) as n from labeled_transactions
           where from_concept_class = 'TreasuryAccount' and from_owner is not null and to_address is not null group by from_owner, to_address),
@@ -184,7 +186,9 @@ COMPETENCY = {
     "c26_bridge_outflow": """with funded as (select to_address as bridge, block_timestamp as at from labeled_transactions
           where from_concept_class = 'ExchangeAccount' and to_concept_class = 'BridgeProtocol'),
         sent as (select from_address as bridge, block_timestamp as at, transaction_hash from labeled_transactions where from_concept_class = 'BridgeProtocol')
-        select distinct s.transaction_hash as transaction_hash, s.bridge as bridge from sent s join funded f on s.bridge = f.bridge
+        , days as (select x.bridge as bridge, x.at as at, cast(x.at as date) as on_day from funded x
+          union all select y.bridge, y.at, cast(cast(y.at as date) + interval 1 day as date) from funded y)
+        select distinct s.transaction_hash as transaction_hash, s.bridge as bridge from sent s join days f on s.bridge = f.bridge and cast(s.at as date) = f.on_day
         where s.at > f.at and s.at <= f.at + interval 1440 minutes""",
     "c27_lending_high_value": f"""select transaction_hash, to_owner, value_wei from labeled_transactions
         where to_concept_class = 'LendingProtocol' and value_wei >= cast('{ETH}' as decimal(38,0))""",

@@ -1,7 +1,8 @@
 """Cutting lineage in a folder that every executor can read.
 
 The cluster names the folder in ``spark.checkpoint.dir``; only where that is
-unset (tests, notebooks on one machine) a temporary folder is taken.
+unset on one machine (tests, notebooks) a temporary folder is taken, a cluster
+without it is refused.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors can read")
     if not _FALLBACK:
         _FALLBACK.append("file://" + tempfile.mkdtemp(prefix="chainloom-"))
     return _FALLBACK[0]
