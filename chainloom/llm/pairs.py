@@ -89,6 +89,7 @@ _LANG = {lang: frozenset(words.split()) for lang, words in LANGUAGE_WORDS.items(
 _VIETNAMESE = re.compile("[đĐơƠưƯ]|[ạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ]", re.I)
 _SCRIPTS = (("zh", re.compile("[一-鿿]")), ("ru", re.compile("[Ѐ-ӿ]")))
 
+_OPENED = re.compile(r"```[a-zA-Z]*\s*$")
 _FENCE = re.compile(r"```[a-zA-Z]*\s*\n?|```")
 _SELECT = re.compile(r"\b(?:select|with\s+\w+\s+as\s*\()\b|\bselect\b", re.I)
 _FRAME = re.compile(
@@ -300,7 +301,9 @@ def judge(question: str | None, response: str | None) -> tuple[str | None, list[
             ending = "shape"
     else:
         tail = head.strip()
-        if not _ENDED.search(tail) and re.search(r"[^\W\d_]{2,}\s+[^\W_]+", tail):
+        if text.count("```") % 2 and _OPENED.search(text):
+            ending = "open"  # a block of code begins and nothing follows
+        elif not _ENDED.search(tail) and re.search(r"[^\W\d_]{2,}\s+[^\W_]+", tail):
             ending = "unended"
         elif not _SENTENCE_END.search(tail) and len(tail.split()) > 4 and not re.search(r"[\"'”’»`)]\s*$", tail):
             ending = "unended"

@@ -51,6 +51,11 @@ def test_cut_statements_stop_open(cut):
     assert ending in ("open", "shape")
 
 
+@pytest.mark.parametrize("text, ending", [("Here it is.\n\n```s", "open"), ("Here it is.\n```sql\n", "open"), ("Here it is.\n```sql\n```", "done"), ("```\nx = 1.\n```\nHere it is.", "done")])
+def test_code_that_only_begins(text, ending):
+    assert judge(QUESTION, text)[2] == ending
+
+
 @pytest.mark.parametrize("text", [SQL, f"```sql\n{SQL};\n```", f"I can't tell how fresh the labels are, but this is it.\n```\n{SQL}\n```", f"-- {QUESTION}\n{SQL}", "34", "The answer is 71.", f"{QUESTION}\n\n{SQL}"])
 def test_usable_answers(text):
     defect, _, ending, _ = judge(QUESTION, text)
