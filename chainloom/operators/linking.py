@@ -209,13 +209,15 @@ def fuzzy_mentions(mentions: DataFrame, phrases: DataFrame, least: float = 0.85)
 def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 2048) -> DataFrame:
     """Input (vec_id, embedding) on both sides; output (vec_id, place, neighbour_id):
     the k largest inner products of unit vectors, without the query itself, ties
-    by id.
+    by id.  Rows without an id or a whole vector neither ask nor answer.
 
     Queries go out in blocks of ``block`` vectors (a bounded broadcast); one scan a
     block computes a partial top-k in each task, and only those meet in the
     shuffle.  The blocks are numbered by a hash, so no query set is collected whole.
     """
     spark = vectors.sparkSession
+    whole = "vec_id is not null and embedding is not null and not exists(embedding, x -> x is null)"
+    vectors, queries = vectors.where(whole), queries.where(whole)
     blocks = max(1, -(-queries.count() // block))
     numbered = queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
     found = None

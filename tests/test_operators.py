@@ -171,6 +171,13 @@ def test_neighbours_against_brute_force(spark):
         assert [got[i, p] for p in (1, 2, 3)] == [j for _, j in best]
 
 
+def test_rows_without_a_whole_vector_take_no_part(spark):
+    rows_ = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, None), (4, [None, 1.0]), (None, [1.0, 0.0])]
+    frame = spark.createDataFrame(rows_, "vec_id bigint, embedding array<double>")
+    assert {tuple(r) for r in linking.nearest_neighbours(frame, frame, 3).collect()} == {(1, 1, 2), (2, 1, 1)}
+    assert linking.nearest_neighbours(frame, frame.where("vec_id = 3")).count() == 0
+
+
 def test_mentions(spark):
     labels = spark.createDataFrame(
         [("0x" + "a" * 40, "Acme Markets", "Acme Markets", ["Acme", "shared"]), ("0x" + "b" * 40, "Other", "Vault", ["shared", None])], "address string, owner string, primary_label string, aliases array<string>"
