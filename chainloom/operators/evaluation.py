@@ -74,7 +74,7 @@ def exact_matches(predictions: DataFrame, cases: DataFrame) -> DataFrame:
     known = cases.where("case_id is not null").groupBy("case_id").agg(F.min(F.struct("gold_sql", "language")).alias("c")).select("case_id", "c.*")
     joined = predictions.where("case_id is not null").join(known, "case_id")
     fenced = F.regexp_extract("prediction", r"(?is)```[a-z]*\s*\n(.*?)```", 1)
-    from_select = F.regexp_extract("prediction", r"(?s)(?:^|\n|[.:!?] )\s*((?:SELECT|WITH|select|with)\b.*)$", 1)
+    from_select = F.regexp_extract("prediction", r"(?s)(?:^|\n|[.:!?] )[ \t]*((?:SELECT|WITH|select|with)\b.*)$", 1)
     sql = F.coalesce(F.when(F.trim(fenced) != "", fenced), F.when(from_select != "", from_select))
     hit = F.coalesce(structure(sql) == structure(F.col("gold_sql")), F.lit(False))
     return joined.select("prediction_id", "run_id", "baseline", "case_id", "language", hit.alias("matched"))

@@ -24,12 +24,18 @@ CHANGING = ("ALTER", "CALL", "CREATE", "DELETE", "DROP", "EXECUTE", "INSERT", "M
 DEEPEST = 12
 
 _FENCED = r"(?is)\A```(?:sql|googlesql)?[ \t]*\n(.*)\n```[ \t]*\z"
-# Possessive groups: they are matched in a loop, so long literals cost no stack.
-_LITERAL = r"""(?s)'[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+\""""
+# Possessive groups: they are matched in a loop, so long literals cost no stack.  A literal
+# that stays open runs to the end, so it's read once; one quote remains of it.
+_LITERAL = r"""(?s)'[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+('|\z)|"[^"\\]*+(?:\\.[^"\\]*+)*+("|\z)"""
+_BLANKS = " \t\n\r\x0b\x0c"
 _CLAUSE_END = r"where|group|order|limit|having|qualify|window|union|intersect|except|join|left|right|full|inner|cross|on|using|from|select"
 _STAR = r"(?s)(?:\bselect\s+(?:all\s+|distinct\s+)?|,\s*)(?:[\w`]+\.)*\*\s*(?:,|\bfrom\b|\bexcept\b|\breplace\b|\)|\z)"
 
 
+def _stripped(text: Column) -> Column:
+    return F.btrim(text, F.lit(_BLANKS))
+
+
 def _bare(name: Column) -> Column:
     return F.replace(name, F.lit("`"), F.lit(""))
 
@@ -38,7 +44,7 @@ def with_relations(statements: DataFrame, column: str = "sql") -> DataFrame:
     """Appends ``masked`` (every string literal as ``''``, lower case) and ``read``:
     the relations a statement reads, as written, lower case, without backticks;
     names of its own WITH clauses are left out."""
-    marked = statements.withColumn("masked", F.lower(F.regexp_replace(F.col(column), _LITERAL, "''")))
+    marked = statements.withColumn("masked", F.lower(F.replace(F.regexp_replace(F.col(column), _LITERAL, "'$1$2"), F.lit("'\""), F.lit("''"))))
     plain = F.col("masked")
     for _ in range(DEEPEST):  # innermost parentheses without a query, removed again and again
         plain = F.regexp_replace(plain, r"(?s)\((?![^()]*\bselect\b)[^()]*\)", " ")
@@ -72,17 +78,17 @@ def with_faults(statements: DataFrame, column: str = "sql", allowed: tuple[str,
 def extracted_statement(response: Column) -> Column:
     """The one statement a response consists of, bare or in one fence; null where
     it holds anything else."""
-    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(response, "\r\n?", "\n"), r"\A\s+", ""), r"\s+\z", "")
-    inner = F.when(text.rlike(_FENCED), F.regexp_replace(F.regexp_replace(F.regexp_extract(text, _FENCED, 1), r"\A\s+", ""), r"\s+\z", "")).when(~text.contains("```"), text)
+    text = _stripped(F.regexp_replace(response, "\r\n?", "\n"))
+    inner = F.when(text.rlike(_FENCED), _stripped(F.regexp_extract(text, _FENCED, 1))).when(~text.contains("```"), text)
     return F.when(inner.rlike(r"(?i)\A(?:select|with)\b"), inner)
 
 
 def response_kind(response: Column) -> Column:
     """``empty``, ``prose``, ``unsafe_sql`` (a changing statement leads) or
     ``query``, by fences and the leading keyword alone."""
-    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(response, "\r\n?", "\n"), r"\A\s+", ""), r"\s+\z", "")
+    text = _stripped(F.regexp_replace(response, "\r\n?", "\n"))
     fenced = text.rlike(_FENCED)
-    inner = F.when(fenced, F.regexp_replace(F.regexp_replace(F.regexp_extract(text, _FENCED, 1), r"\A\s+", ""), r"\s+\z", "")).otherwise(text)
+    inner = F.when(fenced, _stripped(F.regexp_extract(text, _FENCED, 1))).otherwise(text)
     word = F.upper(F.regexp_extract(inner, r"\A([A-Za-z]+)\b", 1))
     return (
         F.when(response.isNull() | (inner == ""), "empty")

@@ -490,7 +490,7 @@ _PLAIN = (
     "regexp_replace(regexp_replace(lower(x), '\\s+', ' ', 'g'), '\\s*([(),=<>+*/-])\\s*', '\\1', 'g') else x end), ''''))"
 )
 _FENCED = "nullif(regexp_extract(prediction, '(?is)```[a-z]*\\s*\\n(.*?)```', 1), '')"
-_LED = "nullif(regexp_extract(prediction, '(?s)(?:^|\\n|[.:!?] )\\s*((?:SELECT|WITH|select|with)\\b.*)$', 1), '')"
+_LED = "nullif(regexp_extract(prediction, '(?s)(?:^|\\n|[.:!?] )[ \\t]*((?:SELECT|WITH|select|with)\\b.*)$', 1), '')"
 _SAID = f"coalesce(case when trim({_FENCED}) <> '' then {_FENCED} end, {_LED})"
 _MATCHES = f"""matches as (select prediction_id, run_id, baseline, p.case_id as case_id, language,
     coalesce({_PLAIN.format(_SAID)} = {_PLAIN.format('gold_sql')}, false) as matched from evaluation_predictions p join evaluation_cases c on p.case_id = c.case_id)"""

@@ -76,3 +76,12 @@ def test_structure(spark):
     rows = [("SELECT  a AS b\nFROM `t` WHERE c='X y';", "select a as b from t where c = 'X y'"), ("select 'A' from t", "select 'a' from t")]
     got = spark.createDataFrame(rows, "a string, b string").select(statements.structure(F.col("a")) == statements.structure(F.col("b"))).collect()
     assert [r[0] for r in got] == [True, False]
+
+
+def test_very_long_texts(spark):
+    """Open and closed literals, brackets, lists and words of any length are read in one pass."""
+    texts = ["SELECT '" + "a''" * 50000 + "' AS x FROM token_dimension", "SELECT '" + "\\'" * 50000, "x " * 50000, "select a from t where " + "(" * 3000, "select a from " + "b, " * 20000 + "c", "\n" * 50000 + "x"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "key int, response string")
+    got = {r["key"]: r["status"] for r in statements.extraction_status(frame).collect()}
+    assert got == {0: "ok", 1: "invalid_sql", 2: "prose", 3: "invalid_sql", 4: "unsafe_sql", 5: "prose"}
+    assert baseline.answer_by_rule(frame.select("key", F.col("response").alias("question"))).count() == 0
