@@ -4,7 +4,7 @@ for a query (direction, class, coverage).
 
 A proposal is (key, start, end, stage, targets, score); ``start`` and ``end`` are
 offsets into the text as it was written.  Windows meet phrases by equi-joins (on
-the phrase or on segments two similar strings share), vectors meet in blocks;
+the phrase) or, where they are only similar, in the cells of a grid;
 selection and resolution are folds inside one row per text.
 
 Defined results: null texts and texts without letters have no windows; an unknown
@@ -25,6 +25,7 @@ from pyspark.sql.window import Window
 
 from chainloom.functions.text import ADDRESS
 from chainloom.operators.linking import fuzzy_mentions
+from chainloom.operators.similar import SIDE, Trigrams, Vectors, similar_pairs
 
 #: Longest window in tokens; least similarities; scores so close to the best are ambiguous; most targets.
 LONGEST, LEAST_FUZZY, LEAST_VECTOR, CLOSE, MOST = 5, 0.85, 0.75, 0.03, 3
@@ -146,34 +147,14 @@ def hashed_vector(text: str, size: int = 256) -> np.ndarray:
     return out / norm if norm else out
 
 
-def vector_proposals(windows: DataFrame, phrases: DataFrame, least: float = LEAST_VECTOR, encode=hashed_vector, block: int = 4096) -> DataFrame:
+def vector_proposals(windows: DataFrame, phrases: DataFrame, least: float = LEAST_VECTOR, encode=hashed_vector, block: int = SIDE) -> DataFrame:
     """Windows whose vector has an inner product of at least ``least`` with a
-    phrase's.  Phrases go out in blocks of ``block`` vectors (a bounded broadcast),
-    each block is one scan of the distinct windows."""
-    spark = windows.sparkSession
-    words = windows.select("window").distinct()
-    names = phrases.select("phrase").distinct()
-    blocks = max(1, -(-names.count() // block))
-    numbered = names.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(blocks)))
-    found = spark.createDataFrame([], "window string, phrase string, score double")
-    for number in range(blocks):
-        part = [r["phrase"] for r in numbered.where(F.col("part") == number).select("phrase").collect()]
-        if not part:
-            continue
-        shared = spark.sparkContext.broadcast((part, np.stack([encode(p) for p in part])))
-
-        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            own, matrix = shared.value
-            for batch in batches:
-                if batch.empty:
-                    continue
-                texts = batch["window"].tolist()
-                scores = np.stack([encode(t) for t in texts]) @ matrix.T
-                r, c = np.nonzero(scores >= least)
-                yield pd.DataFrame({"window": [texts[i] for i in r], "phrase": [own[j] for j in c], "score": np.minimum(1.0, scores[r, c]).astype(float)})
-
-        found = found.unionByName(words.mapInPandas(scan, "window string, phrase string, score double"))
-    met = windows.join(found, "window").join(phrases, "phrase").where("not (tokens = 1 and signal and not shouted)")
+    phrase's.  Windows and phrases meet in cells of at most about ``block`` strings
+    a side; hashed trigrams are filtered by their counts before any product, other
+    encoders' vectors are multiplied in full."""
+    kind = Trigrams(least) if encode is hashed_vector else Vectors(least, encode)
+    found = similar_pairs(F.col("window"), windows, F.col("phrase"), phrases, kind, block).withColumnsRenamed({"a": "window", "b": "phrase"})
+    met = found.join(windows, "window").join(phrases.hint("merge"), "phrase").where("not (tokens = 1 and signal and not shouted)")
     return _ranked(met.select("key", "start", "end", "target", "score"), "embedding")
 
 

@@ -1,10 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from chainloom.functions.text import indel_similarity
 from chainloom.operators import mentions as M
+from chainloom.operators.similar import Trigrams, Vectors, similar_pairs
 
 PHRASES = "phrase string, target string, signal boolean"
 KNOWN = [("orbit capital", "Orbit Capital", False), ("orbit", "Orbit Capital", True), ("summit bridge", "Summit Bridge", False), ("bank of rome", "Bank of Rome", False), ("summit bridge", "Other Summit", False)]
@@ -58,6 +60,26 @@ def test_vectors_against_brute_force(spark):
     assert got == want and got
 
 
+def test_vectors_at_the_threshold_count_in_every_cell(spark):
+    # inner product exactly 0.75: 32-bit vectors made it 0.74999994 for some pairs
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randint(4, 12))) for _ in range(150)]
+    counts = lambda t: np.round(M.hashed_vector(t).astype(float) / np.min(np.abs(M.hashed_vector(t)[np.nonzero(M.hashed_vector(t))])), 3)
+    phrases = [(w, w, False) for w in words[:60]]
+    want = set()
+    for w in words:
+        for p in words[:60]:
+            a, b = counts(w), counts(p)
+            if float(a @ b) / ((a @ a) * (b @ b)) ** 0.5 >= 0.75 - 1e-6:
+                want.add((w, p))
+    windows = M.token_windows(spark.createDataFrame([(i, w) for i, w in enumerate(words)], "key int, text string"))
+    for block in (7, 1000):
+        got = similar_pairs(F.col("window"), windows, F.col("phrase"), spark.createDataFrame(phrases, PHRASES), Trigrams(0.75), block).collect()
+        assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want)
+    other = similar_pairs(F.col("window"), windows, F.col("phrase"), spark.createDataFrame(phrases, PHRASES), Vectors(0.75 - 1e-6, M.hashed_vector), 50).collect()
+    assert {(r["a"], r["b"]) for r in other} == want
+
+
 def test_greedy_selection(spark):
     rows = [("k", 0, 5, "exact", ["x"], 1.0), ("k", 3, 12, "fuzzy", ["y"], 0.9), ("k", 11, 13, "address", ["z"], 1.0), ("k", 5, 9, "exact", ["b"], 1.0), ("k", 5, 9, "exact", ["a"], 1.0), ("l", 0, 1, "exact", ["q"], 1.0)]
     out = M.select_spans(spark.createDataFrame(rows, "key string, start int, end int, stage string, targets array<string>, score double")).collect()
