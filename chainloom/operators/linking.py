@@ -1,12 +1,13 @@
 """Linking words of questions to relations and labelled entities, and retrieval.
 
-Phrases meet their targets by equi-joins on exploded n-grams, fuzzy proposals on
-segments that two similar words share.
+Phrases meet their targets by equi-joins on the runs of words that a filter of all
+phrases lets pass.
 Nearest neighbours take a stated query set against all rows, in blocks.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql.window import Window
 
 from chainloom.functions.strings import segments, windows
 from chainloom.functions.text import addresses_in, fold_accents, indel_similarity, words
+from chainloom.sources.checkpoints import stored
 
 # What each relation of the catalogue is about.
 SCHEMA_DOCUMENTS = {
@@ -42,6 +44,8 @@ SYNONYMS = (
 #: Weights of the lexical score's parts, and of the lexical and the semantic score.
 BASE, EXPANDED, PHRASE = 0.6, 0.3, 0.1
 LEXICAL, SEMANTIC = 0.5, 0.5
+#: Where the checksum of a whole phrase starts, to differ from that of a prefix.
+_WHOLE = 0x5BD1E995
 
 
 def question_tokens(text: Column) -> Column:
@@ -127,22 +131,80 @@ def address_mentions(texts: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(labels.select("address", "owner"), "address").select("key", "address", "owner")
 
 
+def _prefix_bits(text: str) -> Iterator[int]:
+    """A number for each run of words at the start of a phrase, and one for the whole."""
+    end = text.find(" ")
+    while end >= 0:
+        yield zlib.crc32(text[:end].encode())
+        end = text.find(" ", end + 1)
+    yield zlib.crc32(text.encode())
+    yield zlib.crc32(text.encode(), _WHOLE)
+
+
+def phrase_filter(phrases: DataFrame) -> np.ndarray:
+    """Bits of all phrases and their prefixes, 2^20 to 2^27 of them by the number of
+    words; a bit may be shared, so what passes has to be compared."""
+    count = phrases.agg(F.sum(F.size(F.split("phrase", " ")) + 1)).first()[0] or 0
+    bits = 1 << min(27, max(20, (16 * count).bit_length()))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            at = np.array([x % bits for p in batch["phrase"] if p is not None for x in _prefix_bits(p)], np.int64)
+            np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        if own.any():
+            yield pd.DataFrame({"bits": [zlib.compress(own.tobytes(), 1)]})
+
+    made = np.zeros(bits // 8, np.uint8)
+    # few partitions, fetched one after another: the driver holds two filters at most
+    for row in phrases.select("phrase").repartition(4).mapInPandas(run, "bits binary").toLocalIterator():
+        made |= np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
+    return made
+
+
 def phrase_mentions(texts: DataFrame, phrases: DataFrame, longest: int | None = None) -> DataFrame:
     """Input (key, text) and (phrase, owner); output (key, phrase, owner) of exact
-    phrase matches on word borders.  The runs of a text, as long as the longest
-    phrase unless stated, are exploded once and joined on the phrase; runs of few
-    letters cannot match and are left out."""
-    if longest is None:
-        longest = max(5, phrases.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 0)
-    tokens = words(fold_accents(F.col("text")))
-    runs = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.lit(longest)),
-            lambda n: F.when(F.size("tokens") >= n, F.transform(F.sequence(F.lit(1), F.size("tokens") - n + 1), lambda i: F.concat_ws(" ", F.slice("tokens", i, n)))).otherwise(F.array().cast("array<string>")),
-        )
-    )
-    found = texts.where("text is not null").select("key", tokens.alias("tokens")).select("key", F.explode(F.array_distinct(runs)).alias("phrase")).where("length(phrase) >= 4")
-    return found.join(phrases, "phrase").select("key", "phrase", "owner")
+    phrase matches on word borders.  A run of a text's words grows, up to
+    ``longest`` where that is stated, while a filter of all phrases holds it as the
+    start of one; runs of at least 4 letters that it holds as a whole meet the
+    phrases in a join, so only likely matches are shuffled."""
+    phrases = stored(phrases)
+    shared = texts.sparkSession.sparkContext.broadcast(phrase_filter(phrases))
+    tokens = F.concat_ws(" ", words(fold_accents(F.col("text"))))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = memoryview(shared.value)
+        mask = len(own) * 8 - 1
+        heads: dict[str, bool] = {}
+        for batch in batches:
+            keys, found = [], []
+            for key, text in zip(batch["key"], batch["tokens"]):
+                split, seen = text.split(" "), set()
+                for i, word in enumerate(split):
+                    begins = heads.get(word)
+                    if begins is None:
+                        x = zlib.crc32(word.encode()) & mask
+                        if len(heads) >= 100_000:
+                            heads.clear()
+                        begins = heads[word] = bool(own[x >> 3] >> (x & 7) & 1)
+                    j, line = i, word
+                    while begins:
+                        j += 1
+                        x = zlib.crc32(line.encode(), _WHOLE) & mask
+                        if len(line) >= 4 and own[x >> 3] >> (x & 7) & 1:
+                            seen.add(line)
+                        if j == len(split) or j - i == longest:
+                            break
+                        line = f"{line} {split[j]}"
+                        x = zlib.crc32(line.encode()) & mask
+                        begins = own[x >> 3] >> (x & 7) & 1
+                keys += [key] * len(seen)
+                found += seen
+            yield pd.DataFrame({"key": pd.Series(keys, dtype=batch["key"].dtype), "phrase": pd.Series(found, dtype=object)})
+
+    kind = texts.schema["key"].dataType.simpleString()
+    found = texts.where("text is not null").select("key", tokens.alias("tokens")).where("tokens != ''").mapInPandas(run, f"key {kind}, phrase string")
+    return found.hint("merge").join(phrases, "phrase").select("key", "phrase", "owner")
 
 
 def longest_mentions(mentions: DataFrame) -> DataFrame:

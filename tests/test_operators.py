@@ -202,6 +202,19 @@ def test_phrases_of_any_length_are_mentioned(spark):
     assert linking.phrase_mentions(texts, phrases.limit(0)).count() == 0
 
 
+def test_phrase_mentions_against_brute_force_without_broadcast(spark):
+    rng = random.Random(11)
+    vocabulary = ["acme", "of", "bank", "north", "x1", "é", "labs"]
+    phrases = sorted({" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 6))).replace("é", "e") for _ in range(40)} | {"of"})
+    lines = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 12))).title() for _ in range(60)]
+    found = linking.phrase_mentions(spark.createDataFrame(list(enumerate(lines)), "key bigint, text string"), spark.createDataFrame([(p, p) for p in phrases], "phrase string, owner string"))
+    plain = [f" {' '.join(t.lower().replace('é', 'e').split())} " for t in lines]
+    assert sorted(rows(found.select("key", "phrase"))) == sorted((i, p) for i, t in enumerate(plain) for p in phrases if len(p) >= 4 and f" {p} " in t)
+    assert sorted(rows(linking.phrase_mentions(spark.createDataFrame([(1, "acme bank north")], "key int, text string"), spark.createDataFrame([("acme bank", "a"), ("acme bank north", "b")], "phrase string, owner string"), 2).select("owner"))) == [("a",)]
+    # the size of a compressed file says nothing about the runs of a text
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_queries_over_whole_tables_against_brute_force(spark, tmp_path):
     import re
     import unicodedata
