@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chainloom.functions.strings import segments, windows
-from chainloom.functions.text import addresses_in, fold_accents, indel_similarity, words
+from chainloom.functions.text import addresses_in, fold_accents, words
+from chainloom.operators.similar import Characters, similar_pairs
 from chainloom.sources.checkpoints import stored
 
 # What each relation of the catalogue is about.
@@ -222,50 +222,15 @@ def entity_words(labels: DataFrame, shortest: int = 5) -> DataFrame:
     return one.where("owner = other").select("phrase", "owner")
 
 
-def _similar_keys(strings: DataFrame, column: str, least: float, longer: bool) -> DataFrame:
-    """(meet, string): keys of strings in the role of the longer or shorter one.
-    At a similarity of ``least`` the indel distance is at most (1 - least) times
-    both lengths, hence at most 2 (1 - least) times the longer one's."""
-
-    def edits(length: int) -> int:
-        return int(2 * (1 - least) * length + 1e-9)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for text in batch["string"]:
-                own = len(text)
-                if longer:
-                    keys = {f"{own}|{i}|{text[s : s + n]}" for i, (s, n) in enumerate(segments(own, edits(own)))}
-                else:
-                    most = int(own * (2 - least) / least + 1e-9)
-                    keys = {f"{size}|{i}|{text[s : s + n]}" for size in range(own, most + 1) for i, s, n in windows(own, size, edits(size))}
-                rows += [(key, text) for key in keys]
-            yield pd.DataFrame(rows, columns=["meet", "string"])
-
-    return strings.select(F.col(column).alias("string")).distinct().mapInPandas(run, "meet string, string string").withColumnRenamed("string", column)
-
-
 def fuzzy_mentions(mentions: DataFrame, phrases: DataFrame, least: float = 0.85) -> DataFrame:
     """Input (key, word) and (phrase, owner); output (key, word, phrase, owner,
     score) with an indel similarity of at least ``least``.
 
-    Distinct strings meet on segments of the longer one at the places where the
-    shorter one can hold them, which loses no pair; each candidate is verified once.
+    Distinct strings meet in a grid of cells by codes of their letters' counts,
+    which loses no pair; each pair that is left is verified once.
     """
-    pairs = None
-    for word_is_longer in (True, False):
-        left = _similar_keys(mentions, "word", least, word_is_longer)
-        right = _similar_keys(phrases, "phrase", least, not word_is_longer)
-        met = left.join(right, "meet").select("word", "phrase")
-        pairs = met if pairs is None else pairs.unionByName(met)
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([indel_similarity(x, y) for x, y in zip(a, b)])
-
-    scored = pairs.distinct().withColumn("score", ratio("word", "phrase")).where(F.col("score") >= least)
-    return scored.join(phrases, "phrase").join(mentions, "word").select("key", "word", "phrase", "owner", "score")
+    scored = similar_pairs(F.col("word"), mentions, F.col("phrase"), phrases, Characters(least)).withColumnsRenamed({"a": "word", "b": "phrase"})
+    return scored.join(phrases.hint("merge"), "phrase").join(mentions.hint("merge"), "word").select("key", "word", "phrase", "owner", "score")
 
 
 def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 2048) -> DataFrame:

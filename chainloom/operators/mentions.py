@@ -24,8 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chainloom.functions.text import ADDRESS
-from chainloom.operators.linking import fuzzy_mentions
-from chainloom.operators.similar import SIDE, Trigrams, Vectors, similar_pairs
+from chainloom.operators.similar import SIDE, Characters, Trigrams, Vectors, similar_pairs
 
 #: Longest window in tokens; least similarities; scores so close to the best are ambiguous; most targets.
 LONGEST, LEAST_FUZZY, LEAST_VECTOR, CLOSE, MOST = 5, 0.85, 0.75, 0.03, 3
@@ -104,7 +103,7 @@ def address_proposals(texts: DataFrame, labels: DataFrame) -> DataFrame:
 def exact_proposals(windows: DataFrame, phrases: DataFrame) -> DataFrame:
     """Input windows and (phrase, target, signal); a phrase of one token whose
     ``signal`` is set only counts in capitals.  At most three targets, by name."""
-    met = windows.join(phrases, F.col("window") == F.col("phrase")).where("not (tokens = 1 and signal and not shouted)")
+    met = windows.hint("merge").join(phrases, F.col("window") == F.col("phrase")).where("not (tokens = 1 and signal and not shouted)")
     return met.groupBy("key", "start", "end").agg(F.slice(F.sort_array(F.collect_set("target")), 1, MOST).alias("targets")).select(
         "key", "start", "end", F.lit("exact").alias("stage"), "targets", F.lit(1.0).alias("score")
     )
@@ -122,15 +121,13 @@ def _ranked(scored: DataFrame, stage: str) -> DataFrame:
 def fuzzy_proposals(windows: DataFrame, phrases: DataFrame, least: float = LEAST_FUZZY) -> DataFrame:
     """Windows similar to a phrase (indel similarity); a function word at an edge
     must stand there in the phrase too."""
-    words = windows.select(F.col("window").alias("word")).distinct().withColumn("key", F.lit(0))
-    known = phrases.select("phrase", F.col("target").alias("owner"))
-    near = fuzzy_mentions(words, known, least).select("word", "phrase", "score").distinct()
+    near = similar_pairs(F.col("window"), windows, F.col("phrase"), phrases, Characters(least)).withColumnsRenamed({"a": "word", "b": "phrase"})
     small = F.array(*map(F.lit, FUNCTION_WORDS))
     edge = lambda c, i: F.element_at(F.split(F.col(c), " "), i)
     bad = F.lit(False)
     for i in (1, -1):
         bad |= F.array_contains(small, edge("word", i)) & (edge("word", i) != edge("phrase", i))
-    met = windows.join(near.where(~bad), F.col("window") == F.col("word")).join(phrases, "phrase").where("not (tokens = 1 and signal and not shouted)")
+    met = windows.join(near.where(~bad), F.col("window") == F.col("word")).join(phrases.hint("merge"), "phrase").where("not (tokens = 1 and signal and not shouted)")
     return _ranked(met.select("key", "start", "end", "target", "score"), "fuzzy")
 
 
@@ -162,7 +159,7 @@ def uncovered(windows: DataFrame, proposals: DataFrame) -> DataFrame:
     """Windows that touch no proposal of their text."""
     taken = proposals.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("taken"))
     touches = F.exists("taken", lambda t: (F.col("start") < t["end"]) & (t["start"] < F.col("end")))
-    return windows.join(taken, "key", "left").where(F.col("taken").isNull() | ~touches).drop("taken")
+    return windows.hint("merge").join(taken, "key", "left").where(F.col("taken").isNull() | ~touches).drop("taken")
 
 
 def select_spans(proposals: DataFrame) -> DataFrame:

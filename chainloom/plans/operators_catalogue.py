@@ -11,6 +11,7 @@ from chainloom.functions import text
 from chainloom.operators import baseline, components, dataset, evaluation, extraction, linking, mentions, statements, triples
 from chainloom.plans.reference_sql import with_relations
 from chainloom.sources import ledger
+from chainloom.sources.checkpoints import stored
 from chainloom.sources.tables import table
 from chainloom.streaming import events
 
@@ -203,8 +204,9 @@ def _labels_as_texts(spark, folder):
 @_query()
 def o200_fuzzy_mentions(spark, folder):
     texts, _, phrases = _labels_as_texts(spark, folder)
-    windows = mentions.token_windows(texts)
-    found = mentions.fuzzy_proposals(mentions.uncovered(windows, mentions.exact_proposals(windows, phrases)), phrases)
+    windows, phrases = stored(mentions.token_windows(texts)), stored(phrases)
+    open_ = stored(mentions.uncovered(windows, mentions.exact_proposals(windows, phrases)))
+    found = mentions.fuzzy_proposals(open_, phrases)
     return found.select("key", "start", "end", F.array_join("targets", "|").alias("targets"), "score")
 
 

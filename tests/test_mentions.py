@@ -51,6 +51,15 @@ def test_fuzzy_proposals_against_brute_force(spark):
             assert got[i][0] == [t for s, t in scored if s - scored[0][0] < 0.03][:3] and abs(got[i][1] + scored[0][0]) < 1e-6
 
 
+def test_fuzzy_windows_are_never_broadcast(spark):
+    windows = M.token_windows(spark.createDataFrame([(1, "from Orbit Capitel"), (2, "Sumit  Bridge"), (3, "sumit bridge of")], "key int, text string"))
+    phrases = spark.createDataFrame(KNOWN, PHRASES)
+    found = M.fuzzy_proposals(M.uncovered(windows, M.exact_proposals(windows, phrases)), phrases)
+    assert {(r["key"], r["start"], r["end"]) for r in found.collect()} == {(1, 5, 18), (2, 0, 13), (3, 0, 12)}
+    # the size of a small file says nothing about the windows and keys made of it
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_vectors_against_brute_force(spark):
     texts = [(1, "Orbit Capitals"), (2, "nothing alike"), (3, "sumit bridge")]
     windows = M.token_windows(spark.createDataFrame(texts, "key int, text string"))
