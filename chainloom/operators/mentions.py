@@ -25,6 +25,7 @@ from pyspark.sql.window import Window
 
 from chainloom.functions.text import ADDRESS
 from chainloom.operators.similar import SIDE, Characters, Trigrams, Vectors, similar_pairs
+from chainloom.sources.checkpoints import stored
 
 #: Longest window in tokens; least similarities; scores so close to the best are ambiguous; most targets.
 LONGEST, LEAST_FUZZY, LEAST_VECTOR, CLOSE, MOST = 5, 0.85, 0.75, 0.03, 3
@@ -97,7 +98,7 @@ def address_proposals(texts: DataFrame, labels: DataFrame) -> DataFrame:
     at = spans.select("key", "address", F.explode(places).alias("start"))
     owners = labels.where("owner is not null").groupBy("address").agg(F.min("owner").alias("owner"))
     target = F.coalesce("owner", F.concat(F.lit("address:"), "address"))
-    return at.join(owners, "address", "left").select("key", "start", (F.col("start") + 42).alias("end"), F.lit("address").alias("stage"), F.array(target).alias("targets"), F.lit(1.0).alias("score"))
+    return at.hint("merge").join(owners, "address", "left").select("key", "start", (F.col("start") + 42).alias("end"), F.lit("address").alias("stage"), F.array(target).alias("targets"), F.lit(1.0).alias("score"))
 
 
 def exact_proposals(windows: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -180,14 +181,16 @@ def select_spans(proposals: DataFrame) -> DataFrame:
 def link_entities(texts: DataFrame, labels: DataFrame, phrases: DataFrame, with_vectors: bool = False) -> DataFrame:
     """Input (key, text); the selected mentions of every text.  Each stage sees only
     the windows that the stages before it left uncovered."""
-    windows = token_windows(texts)
-    found = address_proposals(texts, labels)
-    exact = exact_proposals(uncovered(windows, found), phrases)
-    found = found.unionByName(exact)
-    found = found.unionByName(fuzzy_proposals(uncovered(windows, found), phrases))
+    windows, phrases = stored(token_windows(texts)), stored(phrases)
+    found = stored(address_proposals(texts, labels))
+    found = stored(found.unionByName(exact_proposals(uncovered(windows, found), phrases)))
+    # only what is still open is read again: its strings and, for their places, its rows
+    open_ = stored(uncovered(windows, found))
+    near = fuzzy_proposals(open_, phrases)
     if with_vectors:
-        found = found.unionByName(vector_proposals(uncovered(windows, found), phrases))
-    return select_spans(found)
+        near = stored(near)
+        near = near.unionByName(vector_proposals(stored(uncovered(open_, near)), phrases))
+    return select_spans(found.unionByName(near))
 
 
 def direction(text: Column, start: Column) -> Column:
