@@ -234,7 +234,7 @@ def resolution_plans(mentions: DataFrame, texts: DataFrame) -> DataFrame:
     """Input selected mentions and (key, text); output (key, mentions, resolved,
     status) of every text: ``resolved``, ``partial`` (a mention is open, without
     direction, or two share one) or ``unresolved``."""
-    joined = texts.where("text is not null").join(mentions, "key", "left")
+    joined = texts.where("text is not null").join(mentions.hint("merge"), "key", "left")
     where = F.when(F.col("start").isNotNull(), direction(F.col("text"), F.col("start")))
     open_ = F.size("targets") > 1
     solved = F.col("start").isNotNull() & (~open_ | names_a_class(F.col("text"), F.col("start"), F.col("end")))

@@ -51,6 +51,18 @@ def test_fuzzy_proposals_against_brute_force(spark):
             assert got[i][0] == [t for s, t in scored if s - scored[0][0] < 0.03][:3] and abs(got[i][1] + scored[0][0]) < 1e-6
 
 
+@pytest.mark.parametrize("with_vectors", [False, True])
+def test_linking_and_plans_never_broadcast(spark, with_vectors):
+    texts = spark.createDataFrame([("a", f"from ORBIT to {A}"), ("b", "to Orbit Capitel"), ("c", "Summit Bridges Bridge")], "key string, text string")
+    labels = spark.createDataFrame([(A, "Labelled Owner")], "address string, owner string")
+    found = M.link_entities(texts, labels, spark.createDataFrame(KNOWN, PHRASES), with_vectors)
+    assert {(r["key"], r["stage"]) for r in found.collect()} == {("a", "exact"), ("a", "address"), ("b", "fuzzy"), ("c", "fuzzy")}
+    plans = M.resolution_plans(found, texts)
+    assert {r["key"]: r["status"] for r in plans.collect()}["a"] == "resolved"
+    for frame in (found, plans, M.address_proposals(texts, labels)):
+        assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
 def test_fuzzy_windows_are_never_broadcast(spark):
     windows = M.token_windows(spark.createDataFrame([(1, "from Orbit Capitel"), (2, "Sumit  Bridge"), (3, "sumit bridge of")], "key int, text string"))
     phrases = spark.createDataFrame(KNOWN, PHRASES)
