@@ -234,7 +234,7 @@ def o219_mention_scores(spark, folder):
     """Exact mentions of an owner in its own label as gold, the linker's as found."""
     texts, labels, phrases = _labels_as_texts(spark, folder)
     known = labels.select(F.col("address").alias("key"), F.col("owner").alias("target"))
-    gold = mentions.exact_proposals(mentions.token_windows(texts), phrases).select("key", "start", "end", F.col("targets")[0].alias("target")).join(known, ["key", "target"], "left_semi")
+    gold = mentions.exact_proposals(mentions.token_windows(texts), phrases).select("key", "start", "end", F.col("targets")[0].alias("target")).join(known.hint("merge"), ["key", "target"], "left_semi")
     return mentions.mention_scores(mentions.link_entities(texts, labels, phrases), gold)
 
 
