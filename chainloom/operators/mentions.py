@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chainloom.functions.text import ADDRESS
-from chainloom.operators.similar import SIDE, Characters, Trigrams, Vectors, similar_pairs
+from chainloom.operators.similar import SIDE, Characters, Trigrams, Vectors, best_pairs, similar_pairs
 from chainloom.sources.checkpoints import stored
 
 #: Longest window in tokens; least similarities; scores so close to the best are ambiguous; most targets.
@@ -145,15 +145,27 @@ def hashed_vector(text: str, size: int = 256) -> np.ndarray:
     return out / norm if norm else out
 
 
-def vector_proposals(windows: DataFrame, phrases: DataFrame, least: float = LEAST_VECTOR, encode=hashed_vector, block: int = SIDE) -> DataFrame:
+def vector_proposals(windows: DataFrame, phrases: DataFrame, least: float = LEAST_VECTOR, encode=hashed_vector, block: int = 2 * SIDE) -> DataFrame:
     """Windows whose vector has an inner product of at least ``least`` with a
     phrase's.  Windows and phrases meet in cells of at most about ``block`` strings
     a side; hashed trigrams are filtered by their counts before any product, other
     encoders' vectors are multiplied in full."""
     kind = Trigrams(least) if encode is hashed_vector else Vectors(least, encode)
-    found = similar_pairs(F.col("window"), windows, F.col("phrase"), phrases, kind, block).withColumnsRenamed({"a": "window", "b": "phrase"})
-    met = found.join(windows, "window").join(phrases.hint("merge"), "phrase").where("not (tokens = 1 and signal and not shouted)")
-    return _ranked(met.select("key", "start", "end", "target", "score"), "embedding")
+    # what a window means depends on its words and on whether signals count, so it is ranked once for all its places
+    strict = ((F.col("tokens") == 1) & ~F.col("shouted")).alias("strict")
+    places = windows.select("key", "start", "end", F.col("window").alias("text"), strict)
+    known = phrases.select(F.col("phrase").alias("text"), "target", F.coalesce("signal", F.lit(True)).alias("loud"))
+    found = best_pairs(places.select("text", "strict"), known, kind, CLOSE, MOST, block).repartition("text", "strict")
+    best = found.groupBy("text", "strict", "target").agg(F.max("score").alias("score"))
+    ordered = best.groupBy("text", "strict").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("n"), "target"))), 1, MOST).alias("r"))
+    met = places.hint("merge").join(ordered, ["text", "strict"])
+    # a sign that stands for two words gives one place two windows; hashes tell whether there is any
+    spots = places.select(F.xxhash64("key", "start", "end").alias("spot")).groupBy("spot").count()
+    if not spots.where("count > 1").isEmpty():
+        met = met.groupBy("key", "start", "end").agg(F.sort_array(F.flatten(F.collect_list("r"))).alias("r"))
+    near = F.filter("r", lambda x: x["n"] - F.col("r")[0]["n"] < CLOSE)
+    targets = F.slice(F.array_distinct(F.transform(near, lambda x: x["target"])), 1, MOST)
+    return met.select("key", "start", "end", F.lit("embedding").alias("stage"), targets.alias("targets"), F.round(-F.col("r")[0]["n"], 9).alias("score"))
 
 
 def uncovered(windows: DataFrame, proposals: DataFrame) -> DataFrame:

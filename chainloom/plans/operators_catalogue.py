@@ -213,7 +213,7 @@ def o200_fuzzy_mentions(spark, folder):
 @_query()
 def o201_vector_mentions(spark, folder):
     texts, _, phrases = _labels_as_texts(spark, folder)
-    found = mentions.vector_proposals(mentions.token_windows(texts), phrases)
+    found = mentions.vector_proposals(stored(mentions.token_windows(texts)), phrases)
     return found.select("key", "start", "end", F.array_join("targets", "|").alias("targets"), F.round("score", 6).alias("score"))
 
 

@@ -135,3 +135,57 @@ def test_encoders_and_coverage(spark):
     labels = spark.createDataFrame([("o", "X", "token"), ("p", "X", "treasury"), ("q", "Y", None), ("r", "Z", "token")], "owner string, concept_class string, address_role string")
     roles = spark.createDataFrame([("X", "treasury"), ("Z", "treasury")], "concept_class string, required_role string")
     assert {(r["concept_class"], r["owners"], r["covered"]) for r in M.class_coverage(labels, roles).collect()} == {("X", 1, True), ("Y", 0, False), ("Z", 0, False)}
+
+
+def _written(spark):
+    """Bytes shuffled so far in this session."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    every = sc.statusStore().executorList(False)
+    return sum(every.apply(i).totalShuffleWrite() for i in range(every.size()))
+
+
+def test_vectors_of_a_frequent_window_write_no_pairs_of_places_and_phrases(spark):
+    # 400 places, each of them like 400 phrases: 160,000 rows went through three shuffles
+    windows = M.token_windows(spark.createDataFrame([(f"key {i:037d}", "fee collector") for i in range(400)], "key string, text string")).where("tokens = 2")
+    phrases = spark.createDataFrame([(f"fee collector {i}", f"target {i:03d}", False) for i in range(400)], PHRASES)
+    before = _written(spark)
+    got = M.vector_proposals(windows, phrases, block=150).collect()
+    assert _written(spark) - before < 300_000
+    scores = sorted((-round(float(M.hashed_vector("fee collector").astype(float) @ M.hashed_vector(f"fee collector {i}").astype(float)), 6), f"target {i:03d}") for i in range(400))
+    want = [t for s, t in scores if s - scores[0][0] < M.CLOSE][:3]
+    assert len(got) == 400 and {tuple(r["targets"]) for r in got} == {tuple(want)} and abs(got[0]["score"] + scores[0][0]) < 1e-5
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_best_targets_against_brute_force(spark, block):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randint(3, 7))) for _ in range(40)]
+    texts = [(i, rng.choice([w, w.upper(), f"{w} {rng.choice(words)}", f"x{w}"])) for i, w in enumerate(words)] + [(90, "㏂ " + words[0]), (91, "a" * 400), (92, None)]
+    # targets with several phrases, phrases with several targets, signals that count in capitals only, unknown signals
+    phrases = [(w, f"t{rng.randint(0, 12)}", rng.choice([True, False, None])) for w in words for _ in range(2)] + [("a.m", "noon", False), ("a m", "morning", False), ("a" * 399, "long", False), (None, "none", False)]
+    windows = M.token_windows(spark.createDataFrame(texts, "key int, text string"))
+    unit = lambda t: M.hashed_vector(t).astype(float)
+    best = {}
+    for r in windows.collect():
+        for p, t, signal in phrases:
+            if p is None or (r["tokens"] == 1 and signal is not False and not r["shouted"]):
+                continue
+            a, b = unit(r["window"]), unit(p)
+            s = round(float(a @ b / np.sqrt((a @ a) * (b @ b))), 6) if a.any() and b.any() else 0
+            if s >= 0.5:
+                mine = best.setdefault((r["key"], r["start"], r["end"]), {})
+                mine[t] = max(s, mine.get(t, 0))
+    got = {(r["key"], r["start"], r["end"]): r for r in M.vector_proposals(windows, spark.createDataFrame(phrases, PHRASES), 0.5, block=block).collect()}
+    assert set(got) == set(best) and (90, 0, 1) in got and (91, 0, 400) in got
+    for place, targets in best.items():
+        ordered = sorted((-s, t) for t, s in targets.items())
+        assert got[place]["targets"] == [t for s, t in ordered if s - ordered[0][0] < M.CLOSE][:3] and abs(got[place]["score"] + ordered[0][0]) < 1e-5
+
+
+def test_codes_of_many_texts_are_those_of_each():
+    rng = random.Random(2)
+    kind = Trigrams(0.75)
+    texts = ["", "a", "aaaa" * 90, "\U0001f600 x"] + ["".join(rng.choice("abcd é漢") for _ in range(rng.randint(0, 40))) for _ in range(5000)]
+    sizes, low, high, _ = kind.together(texts)
+    assert [kind.encode(t)[:2] for t in texts] == [(n, a | b << 64) for n, a, b in zip(sizes.tolist(), low.tolist(), high.tolist())]
